@@ -79,7 +79,7 @@ def compare(files: DataFrame) -> DataFrame:
     renamed = (F.size("gone") == 1) & (F.size("come") == 1) & (g["rank"] == c["rank"])
     row = lambda name, kind, new, old_rank, new_rank: F.struct(name.alias("field_name"), F.lit(kind).alias("change_kind"), new.alias("new_name"), _type(old_rank).alias("old_type"), _type(new_rank).alias("new_type"))
     no_name, no_rank = F.lit(None).cast("string"), F.lit(None).cast("int")
-    swap = F.when(renamed, F.array(row(g["name"], "renamed", c["name"], g["rank"], no_rank)))
+    swap = F.when(renamed, F.array(row(g["name"], "renamed", c["name"], g["rank"], c["rank"])))
     moves = F.concat(F.transform("gone", lambda x: row(x["name"], "removed", no_name, x["rank"], no_rank)), F.transform("come", lambda x: row(x["name"], "added", no_name, no_rank, x["rank"])))
     both = F.filter(F.transform("old", lambda x: F.struct(x.alias("o"), F.get(F.filter("new", lambda y: y["name"] == x["name"]), F.lit(0)).alias("n"))), lambda p: p["n"].isNotNull() & (p["o"]["rank"] != p["n"]["rank"]))
     typed = F.transform(both, lambda p: row(p["o"]["name"], "type_changed", no_name, p["o"]["rank"], p["n"]["rank"]))
