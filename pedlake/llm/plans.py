@@ -6,4 +6,4 @@ import importlib
 
 
 def modules() -> list:
-    return [importlib.import_module(f"pedlake.llm.plans_{m}") for m in ("splits",)]
+    return [importlib.import_module(f"pedlake.llm.plans_{m}") for m in ("splits", "text", "spam")]
