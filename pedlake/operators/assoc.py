@@ -75,7 +75,7 @@ def linear(c: Cohort, trait: str, weights: bool = False) -> DataFrame:
     sxx, sxy, syy = (c_(f"s{p}{q}") - c_(f"s{p}") * c_(f"s{q}") / c_("w") for p, q in (("x", "x"), ("x", "y"), ("y", "y")))
     ok = (c_("n") > 2) & (sxx > 1e-9)
     beta = F.when(ok, sxy / sxx)
-    se = F.sqrt(F.greatest(syy - beta * sxy, F.lit(0.0)) / (c_("n") - 2) / sxx)
+    se = F.when(ok, F.sqrt(F.greatest(syy - beta * sxy, F.lit(0.0)) / (c_("n") - 2) / sxx))
     return m.select("vidx", "n", beta.alias("beta"), se.alias("se"), (beta / F.nullif(se, F.lit(0.0))).alias("stat"))
 
 
