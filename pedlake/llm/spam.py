@@ -59,7 +59,8 @@ INLINE = re.compile(r"`([^`\n]*)`")
 LINK = re.compile(r"(?:https?://|www\.)\S+")
 LOG = re.compile(r"^\W{0,3}(?:\d[\d:.,TZ\-/ ]*\W*)?(?:\[[\d:., \-TZ]+\]\s*)?(?:WARN|WARNING|ERROR|INFO|DEBUG|TRACE|FATAL)\b")
 SYMBOL = re.compile(r"[(){}\[\]=<>\\_&`\"]")
-STATEMENT = re.compile(r"[;{}]\s*$|^\s*(?:\$|>>>|#!|//|--)\s?\S|\s--?[a-z][\w-]*[\s=]|<-|::|->|=>")
+STATEMENT = re.compile(r"[;{}]\s*$|\s-[a-z][\w-]*[\s=]|<-|::|->|=>")
+COMMAND = re.compile(r"^(?:\$ |>>> |#!|//|--\w)\s?\S|\s--[a-z][\w-]*[\s=]")
 TERM = regex.compile(
     r"(?P<u>(?:https?://|www\.)[^\s<>()\[\]\"']+)|(?P<t>[#＃][\p{L}\p{N}][\p{L}\p{M}\p{N}_\-]*)"
     r"|(?P<w>[\p{L}\p{M}][\p{L}\p{M}\p{N}'’_\-]*(?:[./][\p{L}\p{N}_]+)*)|(?P<n>[\p{N}][\p{N}\p{L}.,:/%\-]*)|\x02(?P<d>[0-9]+)|\x03(?P<x>[0-9]+)"
@@ -67,14 +68,21 @@ TERM = regex.compile(
 IDENTIFIER = re.compile(r"^(?:[A-Za-z]+[0-9][A-Za-z0-9_.\-]*|NA|NaN)$")
 WRITING = regex.compile(r"[\p{Han}\p{Katakana}ー]+|[\p{Hiragana}]+")
 HIRAGANA = regex.compile(r"\p{Hiragana}")
+SPACED_HINT = re.compile(r"(?:^| )\w \w \w \w \w ")
 SPACED = regex.compile(r"(?<![^\s])\p{Ll}(?:\s{1,3}[\p{L}\p{N}](?![^\s])){15,}", regex.I)
 
 
 def terms(text: str) -> list[tuple[str, str, int]]:
     """(kind, term, characters): u link, t tag, w content word, f function word, n number, d code or data, x spaced letters."""
-    text = HIDDEN.sub("", unicodedata.normalize("NFKC", text)).translate(CONTROLS)
-    text = FENCE.sub(lambda m: f"\n\x01{len(m.group())}\n", text)
-    text = MARKDOWN.sub(r" \2 \1 ", HTML.sub("\n", HREF.sub(r" \1 ", text)))
+    text = text.translate(CONTROLS)
+    if not text.isascii():
+        text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    if "`" in text or "~" in text or "<" in text:
+        text = FENCE.sub(lambda m: f"\n\x01{len(m.group())}\n", text)
+    if "<" in text:
+        text = HTML.sub("\n", HREF.sub(r" \1 ", text))
+    if "](" in text:
+        text = MARKDOWN.sub(r" \2 \1 ", text)
     out = []
     for line in text.split("\n"):
         s = line.strip()
@@ -83,62 +91,71 @@ def terms(text: str) -> list[tuple[str, str, int]]:
         if s[0] == "\x01":
             out.append(("d", "", int(s[1:])))
             continue
-        plain = INLINE.sub(" ", LINK.sub(" ", s))
+        plain = LINK.sub(" ", s) if "://" in s or "www." in s else s
+        ticks = "`" in s
+        if ticks:
+            plain = INLINE.sub(" ", plain)
         symbols = len(SYMBOL.findall(plain))
-        if LOG.match(s) or (line.startswith(("    ", "\t")) and not LINK.search(s)) or symbols > 0.05 * len(plain) + 1 or (symbols and STATEMENT.search(plain)):
+        if LOG.match(s) or (line.startswith(("    ", "\t")) and not LINK.search(s)) or symbols > 0.05 * len(plain) + 1 or COMMAND.search(s) or (symbols and STATEMENT.search(plain)):
             out.append(("d", "", len(s)))
             continue
         # words written letter by letter hide their terms: one stuffed place, unless it is a data row
-        s = SPACED.sub(lambda m: f" \x03{len(m.group())} " if len(set(m.group().lower())) > 7 else m.group(), s)
-        for m in TERM.finditer(INLINE.sub(lambda i: f" \x02{len(i.group(1))} ", s)):
+        if SPACED_HINT.search(s):
+            s = SPACED.sub(lambda m: f" \x03{len(m.group())} " if len(set(m.group().lower())) > 7 else m.group(), s)
+        ascii_line = s.isascii()
+        for m in TERM.finditer(INLINE.sub(lambda i: f" \x02{len(i.group(1))} ", s) if ticks else s):
             kind, t = m.lastgroup, m.group()
-            if kind == "d":
-                out.append(("d", "", int(m["d"])))
-            elif kind == "x":
-                out.append(("x", "", int(m["x"])))
-            elif kind != "w":
-                out.append((kind, t.lower(), len(t)))
-            elif IDENTIFIER.match(t) or "_" in t or "." in t or "/" in t:
-                out.append(("d", t, len(t)))
-            elif WRITING.search(t):
-                out += (("f" if HIRAGANA.match(x) else "w", x, 2 * len(x)) for x in WRITING.findall(t))
+            if kind == "w":
+                low = t.lower()
+                if low in FUNCTION:
+                    out.append(("f", low, len(t)))
+                elif "_" in t or "." in t or "/" in t or IDENTIFIER.match(t):
+                    out.append(("d", t, len(t)))
+                elif not ascii_line and WRITING.search(t):
+                    out += (("f" if HIRAGANA.match(x) else "w", x, 2 * len(x)) for x in WRITING.findall(t))
+                else:
+                    parts = low.replace("’", "'").split("'")
+                    out.append(("f" if any(p in FUNCTION for p in parts[1:]) else "w", low, len(t)))
+            elif kind in "dx":
+                out.append((kind, "", int(m[kind])))
             else:
-                low = t.lower().replace("’", "'")
-                out.append(("f" if low in FUNCTION or any(p in FUNCTION for p in low.split("'")[1:]) else "w", low, len(t)))
+                out.append((kind, t.lower(), len(t)))
     return out
 
 
 def _around(x: np.ndarray) -> np.ndarray:
-    """Sums over the window of HALF places to both sides."""
-    c, i = np.concatenate([[0.0], np.cumsum(x)]), np.arange(len(x))
-    return c[np.minimum(len(x), i + HALF + 1)] - c[np.maximum(0, i - HALF)]
+    """Sums of each row over the window of HALF places to both sides."""
+    n = x.shape[1]
+    c = np.zeros((len(x), n + 2 * HALF + 1), dtype=np.int64)
+    np.cumsum(x, axis=1, out=c[:, HALF + 1 : HALF + 1 + n])
+    c[:, HALF + 1 + n :] = c[:, HALF + n : HALF + n + 1]
+    return c[:, 2 * HALF + 1 :] - c[:, :n]
 
 
 def score(text: str | None) -> tuple[float, int]:
     """Share of the characters at stuffed places, and the number of terms (links twice)."""
     read = terms(text) if text else []
     total = sum(m for *_, m in read)
-    # a long block of code is one place
     n = len(read)
-    kind = np.array([k for k, *_ in read])
-    weight = int(np.isin(kind, ("u", "t", "w", "f")).sum() + (kind == "u").sum() + sum(m // 8 for k, _, m in read if k == "x")) if n else 0
+    kinds = "".join(k for k, *_ in read)
+    weight = n - kinds.count("n") - kinds.count("d") - kinds.count("x") + kinds.count("u") + sum(m // 8 for k, _, m in read if k == "x")
     if not total or not weight:
         return 0.0, weight
-    again, last = np.zeros(n), {}
+    again, last = bytearray(n), {}
     for i, (k, t, _) in enumerate(read):
         if k in "wtu":
             before = last.get(t)
             if before is not None and i - before <= LAG:
-                again[i] = again[before] = 1.0
+                again[i] = again[before] = 1
             last[t] = i
-    function, proper = (kind == "f").astype(float), (kind == "d").astype(float)
-    content = np.isin(kind, ("u", "t", "w")).astype(float)
-    counted = _around(content + function)
-    low = _around(function) < FEW_FUNCTION * np.maximum(counted, 1)
-    high = _around(again) >= MUCH_RECURRENCE * np.maximum(_around(content), 1)
-    stuffed = (low | high) & (proper == 0) & (counted > 0) & (_around(proper) <= counted)
-    stuffed |= kind == "x"
-    mass = np.array([m for *_, m in read], dtype=float)
+    kind = np.frombuffer(kinds.encode(), dtype=np.uint8)
+    function, proper, spaced = kind == ord("f"), kind == ord("d"), kind == ord("x")
+    content = ~(function | proper | spaced | (kind == ord("n")))
+    f, p, c, r = _around(np.array([function, proper, content, np.frombuffer(again, dtype=np.uint8)]))
+    counted = c + f  # a long block of code is one place
+    low, high = f < FEW_FUNCTION * np.maximum(counted, 1), r >= MUCH_RECURRENCE * np.maximum(c, 1)
+    stuffed = (low | high) & ~proper & (counted > 0) & (p <= counted) | spaced
+    mass = np.array([m for *_, m in read])
     return float(mass[stuffed].sum() / total), weight
 
 

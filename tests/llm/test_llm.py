@@ -129,7 +129,7 @@ SPAM = [
     "gene test Springford, Larham Bay gene test 24h, gene test Norbury, gene test Oldtown, Easton gene test 24h, gene test Weston, gene test Sutton",
     "B​uy ge​ne kIt, gene KIT cheap, GENE kit online, best gene kit, order gene kit, gene kit sale, gene kit now, gene kit top",
     "家系図 online, 家系図 best, 家系図 kaufen, 家系図 2025, 家系図 cheap, 家系図 review, 家系図 sale, 家系図 top, 家系図 fast, 家系図 order",
-    "g e n e k i t o n l i n e  b u y g e n e k i t c h e a p g e n e k i t",
+    "g e n e k i t o n l i n e  b u y g e n e k i t c h e a p  " * 4,
 ]
 PROPER = [
     "+1, same here", "See https://a.example/x and https://b.example/y", None, "", " \n\t ",
