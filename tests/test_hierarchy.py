@@ -48,7 +48,7 @@ def test_paths_and_cycles(spark, local_rows):
     assert (kid["path"], kid["depth"], kid["root"], kid["height"]) == (["KID", "DAD", "GRAN"], 2, "GRAN", 0)
     assert nodes["F", "GRAN"]["has_row"] is False and nodes["F", "GRAN"]["n_descendants"] == 2 and nodes["F", "GRAN"]["height"] == 2
     assert {k for k, r in nodes.items() if r["in_cycle"]} == {("F", "A"), ("F", "B"), ("F", "SELF")}
-    assert nodes["F", "C"]["path"] is None and not nodes["F", "C"]["in_cycle"] and nodes["F", "B"]["path"] == ["B"]
+    assert nodes["F", "C"]["path"] == ["C", "A", "B"] and not nodes["F", "C"]["in_cycle"] and nodes["F", "SELF"]["path"] is None and nodes["F", "UNDER"]["root"] is None and nodes["F", "B"]["path"] == ["B"]
     assert ("F", "A", "A") in pairs and ("F", "MUM", "UNDER") in pairs and nodes["G", "KID"]["depth"] == 0
     assert brute(rows) == ({k for k, r in nodes.items() if r["in_cycle"]}, pairs)
 
