@@ -76,7 +76,7 @@ def _thin(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
     return pdf.sort_values(["run", "pos", "vidx"])[kept][["vidx"]]
 
 
-def thin(variants: DataFrame, distance: int, tasks: int = 64) -> DataFrame:
+def thin(variants: DataFrame, distance: int) -> DataFrame:
     """Keeps the next variant only if it lies farther than ``distance`` from the last kept one.
 
     A gap of more than ``distance`` starts a run whose first variant is kept in any case, so runs are
@@ -84,6 +84,7 @@ def thin(variants: DataFrame, distance: int, tasks: int = 64) -> DataFrame:
     """
     w = Window.partitionBy("chrom").orderBy("pos", "vidx")
     v = variants.where("chrom is not null and pos is not null").select("vidx", "chrom", "pos")
+    tasks = 4 * int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.coalesce(F.col("pos") - F.lag("pos").over(w) > distance, F.lit(True))
     v = v.withColumn("first", first).withColumn("run", F.concat_ws(":", "chrom", F.sum(F.col("first").cast("int")).over(w)))
     return v.groupBy(F.pmod(F.xxhash64("run"), F.lit(tasks)).alias("task")).applyInPandas(lambda pdf: _thin(pdf, distance), "vidx long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedlake.operators import filters, models
+from pedlake.operators import filters, models, related
 from pedlake.operators.cohort import Cohort
 from pedlake.plans.association import BINARY
 from pedlake.plans.quality import _FREQ, _W, on_cohort
@@ -37,6 +37,18 @@ QUERIES = {
     "flipped_alleles": on_cohort(lambda c: filters.recode_alleles(c.variants, "flip").select("vidx", "major", "minor")),
     "standardized": on_cohort(lambda c: filters.standardized(c.traits).where("val is not null").select("iid", "trait", "val")),
     "event_windows": event_windows,
+    "blue_kinship": on_cohort(related.blue_freq),
+    "qls_kinship": on_cohort(lambda c: related.qls_kinship(c, "AGE")),
+    "mqls": on_cohort(lambda c: related.mqls(c, BINARY)),
+    "rare_tdt": on_cohort(lambda c: related.rare_tdt(c, BINARY)),
+    "weighted_sum": on_cohort(lambda c: related.weighted_sum(c, BINARY)),
+    "pruned": on_cohort(related.prune),
+    "lasso": on_cohort(lambda c: related.lasso(c, "AGE")),
+    "linkage": on_cohort(related.linkage),
+    "imputed": on_cohort(related.impute_mean),
+    "inverse_normal": on_cohort(lambda c: related.inverse_normal(c, "AGE")),
+    "kinship": on_cohort(related.kinship_pairs),
+    "thinned_sample": on_cohort(lambda c: filters.random_subset(c.samples, "iid", 0.5).select("iid")),
 }
 
 SQL = {
@@ -51,5 +63,10 @@ SQL = {
   SELECT min(vidx) vidx FROM o JOIN k USING (chrom, pos) GROUP BY chrom, pos""",
     "flipped_alleles": _W + " SELECT vidx, reverse(translate(major, 'ACGTacgt', 'TGCAtgca')) major, reverse(translate(minor, 'ACGTacgt', 'TGCAtgca')) minor FROM v",
     "standardized": _W + ", d AS (SELECT trait, stddev_samp(val) sd FROM p GROUP BY trait) SELECT iid, trait, val / nullif(sd, 0) val FROM p JOIN d USING (trait) WHERE val / nullif(sd, 0) IS NOT NULL",
+    "imputed": _W + ", f AS (SELECT vidx, avg(g) m FROM g WHERE g IS NOT NULL GROUP BY vidx) SELECT g.vidx, iid, coalesce(g::DOUBLE, m) d FROM g LEFT JOIN f ON f.vidx = g.vidx",
+    "rare_tdt": _W + f""", y AS (SELECT iid FROM p WHERE trait = '{BINARY}' AND val = 2), t AS (SELECT k.vidx, k.g c, a.g pa, b.g ma FROM g k JOIN s ON s.iid = k.iid JOIN y ON y.iid = k.iid JOIN g a ON a.vidx = k.vidx AND a.iid = s.pat JOIN g b ON b.vidx = k.vidx AND b.iid = s.mat WHERE k.g IS NOT NULL AND a.g IS NOT NULL AND b.g IS NOT NULL),
+  f AS (SELECT vidx, sum(pa + ma)::DOUBLE / (4 * count(*)) maf FROM t GROUP BY vidx), h AS (SELECT vidx, (pa = 1)::INT + (ma = 1)::INT het, c - (pa = 2)::INT - (ma = 2)::INT got FROM t),
+  m AS (SELECT gene, cut, sum(got)::BIGINT n_transmitted, sum(het - got)::BIGINT n_not, count(DISTINCT vidx) n_variant FROM h JOIN f USING (vidx) JOIN gs USING (vidx), (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) q(cut) WHERE het > 0 AND got BETWEEN 0 AND het AND maf <= cut GROUP BY ALL)
+  SELECT *, (n_transmitted - n_not) / sqrt((n_transmitted + n_not)::DOUBLE) z FROM m""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) n, sum(value) total FROM events GROUP BY ALL",
 }
