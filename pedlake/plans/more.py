@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedlake.operators import filters, models, related
+from pedlake.operators import family_rare, filters, interactions, models, related
 from pedlake.operators.cohort import Cohort
 from pedlake.plans.association import BINARY
 from pedlake.plans.quality import _FREQ, _W, on_cohort
@@ -48,6 +48,15 @@ QUERIES = {
     "imputed": on_cohort(related.impute_mean),
     "inverse_normal": on_cohort(lambda c: related.inverse_normal(c, "AGE")),
     "kinship": on_cohort(related.kinship_pairs),
+    "neighbours_dprime": on_cohort(interactions.neighbours_dprime),
+    "interaction": on_cohort(lambda c: interactions.interaction(c, BINARY)),
+    "mdr_triples": on_cohort(lambda c: interactions.mdr_triples(c, BINARY)),
+    "sibling_similarity": on_cohort(interactions.pair_similarity),
+    "dosage_histogram": on_cohort(interactions.dosage_histogram),
+    "family_scores": on_cohort(lambda c: family_rare.family_scores(c, BINARY)),
+    "family_burden": on_cohort(lambda c: family_rare.family_burden(c, BINARY)),
+    "threshold_tests": on_cohort(lambda c: family_rare.threshold_tests(c, BINARY)),
+    "joint_scores": on_cohort(lambda c: family_rare.joint_scores(c, "AGE")),
     "thinned_sample": on_cohort(lambda c: filters.random_subset(c.samples, "iid", 0.5).select("iid")),
 }
 
@@ -68,5 +77,15 @@ SQL = {
   f AS (SELECT vidx, sum(pa + ma)::DOUBLE / (4 * count(*)) maf FROM t GROUP BY vidx), h AS (SELECT vidx, (pa = 1)::INT + (ma = 1)::INT het, c - (pa = 2)::INT - (ma = 2)::INT got FROM t),
   m AS (SELECT gene, cut, sum(got)::BIGINT n_transmitted, sum(het - got)::BIGINT n_not, count(DISTINCT vidx) n_variant FROM h JOIN f USING (vidx) JOIN gs USING (vidx), (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) q(cut) WHERE het > 0 AND got BETWEEN 0 AND het AND maf <= cut GROUP BY ALL)
   SELECT *, (n_transmitted - n_not) / sqrt((n_transmitted + n_not)::DOUBLE) z FROM m""",
+    "sibling_similarity": _W + """, k AS (SELECT g.vidx, g.iid, g.g, pat, mat FROM g JOIN s USING (iid) WHERE g.g IS NOT NULL AND pat IS NOT NULL AND mat IS NOT NULL), m AS (SELECT a.iid iid1, b.iid iid2, count(*) n, avg(1 - abs(a.g - b.g) / 2.0::DOUBLE) ibs, avg((a.g <> b.g)::INT) hamming,
+    sum(a.g)::DOUBLE sx, sum(b.g)::DOUBLE sy, sum(a.g * a.g)::DOUBLE sxx, sum(b.g * b.g)::DOUBLE syy, sum(a.g * b.g)::DOUBLE sxy FROM k a JOIN k b ON a.vidx = b.vidx AND a.pat = b.pat AND a.mat = b.mat AND a.iid < b.iid GROUP BY ALL)
+  SELECT iid1, iid2, n, ibs, hamming, CASE WHEN n*sxx - sx*sx > 0 AND n*syy - sy*sy > 0 THEN (n*sxy - sx*sy) / sqrt((n*sxx - sx*sx) * (n*syy - sy*sy)) END pearson FROM m""",
+    "mdr_triples": _W + f""", y AS (SELECT iid, val = 2 c FROM p WHERE trait = '{BINARY}' AND val IN (1, 2)), k AS (SELECT gene, vidx, iid, g, c FROM g JOIN gs USING (vidx) JOIN y USING (iid) WHERE g IS NOT NULL),
+  t AS (SELECT a.gene, a.vidx vidx1, b.vidx vidx2, d.vidx vidx3, a.g g1, b.g g2, d.g g3, count(*) FILTER (a.c) x, count(*) FILTER (NOT a.c) w FROM k a JOIN k b ON a.gene = b.gene AND a.iid = b.iid AND a.vidx < b.vidx JOIN k d ON a.gene = d.gene AND a.iid = d.iid AND b.vidx < d.vidx GROUP BY ALL),
+  m AS (SELECT gene, vidx1, vidx2, vidx3, sum(x + w)::BIGINT n, sum(greatest(x, w))::BIGINT n_right, sum(x)::BIGINT n_case, sum(w)::BIGINT n_control, sum(CASE WHEN x > w THEN x ELSE 0 END)::DOUBLE tp, sum(CASE WHEN x <= w THEN w ELSE 0 END)::DOUBLE tn FROM t GROUP BY ALL)
+  SELECT gene, vidx1, vidx2, vidx3, n, n_right, n_case, n_control, n_right::DOUBLE / n score, (tp / nullif(n_case, 0) + tn / nullif(n_control, 0)) / 2 balanced FROM m ORDER BY score DESC, n DESC, gene, vidx1, vidx2, vidx3 LIMIT 20""",
+    "dosage_histogram": _W + ", f AS (SELECT vidx, avg(g) m FROM g WHERE g IS NOT NULL GROUP BY vidx), d AS (SELECT coalesce(g::DOUBLE, m) d FROM g LEFT JOIN f ON f.vidx = g.vidx) SELECT least(floor(d * 20 / 2), 19)::INTEGER bin, count(*) n FROM d WHERE d IS NOT NULL GROUP BY 1",
+    "family_scores": _W + f""", y AS (SELECT iid FROM p WHERE trait = '{BINARY}' AND val = 2), t AS (SELECT k.vidx, k.iid, k.g c, a.g pa, b.g ma FROM g k JOIN s ON s.iid = k.iid JOIN y ON y.iid = k.iid JOIN g a ON a.vidx = k.vidx AND a.iid = s.pat JOIN g b ON b.vidx = k.vidx AND b.iid = s.mat WHERE k.g IS NOT NULL AND a.g IS NOT NULL AND b.g IS NOT NULL),
+  f AS (SELECT vidx, (sum(pa + ma) + 1)::DOUBLE / (4 * count(*) + 1) q FROM t GROUP BY vidx) SELECT gene, iid, vidx, 25 * (1 - q)**24 * (c - (pa + ma) / 2.0::DOUBLE) u FROM t JOIN f USING (vidx) JOIN gs USING (vidx) WHERE 25 * (1 - q)**24 * (c - (pa + ma) / 2.0::DOUBLE) <> 0""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) n, sum(value) total FROM events GROUP BY ALL",
 }
