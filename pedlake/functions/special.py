@@ -176,14 +176,24 @@ def davies_sf(q: float, weights: np.ndarray) -> float:
     w = w[np.abs(w) > 1e-12 * max(1e-300, np.abs(w).max(initial=0.0))]
     if not len(w):
         return float(q < 0)
+    if np.ptp(w) <= 1e-9 * w.max() and w[0] > 0:
+        return float(chi2_sf(max(q / w.mean(), 0.0), len(w)))
     scale = np.abs(w).sum()
     w, q = w / scale, q / scale
-    u = (np.arange(200_000) + 0.5) * min(0.02, 0.5 / max(1.0, abs(q)))
-    with np.errstate(all="ignore"):
-        theta, logrho = np.zeros_like(u), np.zeros_like(u)
-        for x in w:
-            theta += 0.5 * np.arctan(2 * x * u)
-            logrho += 0.25 * np.log1p(4 * x * x * u * u)
-        f = np.sin(theta - q * u) / (u * np.exp(logrho))
-    p = 0.5 + float(f.sum() * (u[1] - u[0])) / math.pi
+    step, total, at = min(0.02, 0.5 / max(1.0, abs(q))), 0.0, 0
+    for size in (2_000, 8_000, 30_000, 160_000):  # until the integrand has died away
+        u = (at + np.arange(size) + 0.5) * step
+        wu = 2 * np.outer(w, u) if size * len(w) < 2_000_000 else None
+        if wu is None:
+            theta, logrho = np.zeros(size), np.zeros(size)
+            for x in w:
+                theta += 0.5 * np.arctan(2 * x * u)
+                logrho += 0.25 * np.log1p(4 * x * x * u * u)
+        else:
+            theta, logrho = 0.5 * np.arctan(wu).sum(0), 0.25 * np.log1p(wu * wu).sum(0)
+        total += float((np.sin(theta - q * u) / (u * np.exp(logrho))).sum()) * step
+        at += size
+        if -logrho[-1] - math.log(u[-1]) < math.log(1e-5):
+            break
+    p = 0.5 + total / math.pi
     return p if 1e-9 < p < 1 - 1e-12 else liu_sf(q, w)
