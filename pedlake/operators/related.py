@@ -72,7 +72,7 @@ def kinship_weights(c: Cohort, values: DataFrame) -> DataFrame:
                 sub = np.eye(len(ids))
             inv = np.linalg.pinv(sub)
             out.append(pd.DataFrame({"iid": ids, "a": inv @ y, "one": inv.sum(1), "val": y}))
-        return pd.concat(out) if out else pd.DataFrame({"iid": [], "a": [], "one": [], "val": []})
+        return pd.concat(out) if out else pd.DataFrame([], columns=["iid", "a", "one", "val"])
 
     return rows.groupBy(_task(c)).applyInPandas(solve, "iid string, a double, one double, val double")
 

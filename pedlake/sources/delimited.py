@@ -107,7 +107,7 @@ def _batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
         lines = [x if isinstance(x, str) else "" for x in pdf["raw_line"]]
         fields, offsets = tokenize(lines)
-        yield pd.DataFrame({"line_id": pdf["line_id"], "file_name": pdf["file_name"], "fields": fields, "error_at": offsets})
+        yield pd.DataFrame({"line_id": pdf["line_id"], "file_name": pdf["file_name"], "fields": pd.Series(fields, dtype=object, index=pdf.index), "error_at": offsets})
 
 
 #: An id has only these characters, at least one letter or digit, and is no missing code.

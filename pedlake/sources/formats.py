@@ -196,7 +196,7 @@ def read_bed(spark: SparkSession, path: str, n_samples: int, block: int = 4096)
                     f.seek(3 + a * width)
                     g = decode(f.read(n * width), n_samples).astype(object)
                     g[g == -1] = None
-                    yield pd.DataFrame({"vidx": np.arange(a, a + n), "g": list(g)})
+                    yield pd.DataFrame({"vidx": np.arange(a, a + n), "g": pd.Series(list(g), dtype=object)})
 
     return parts.mapInPandas(run, "vidx long, g array<tinyint>")
 
