@@ -52,12 +52,12 @@ os as um uma e do da dos das no na nos em com são foi não como quando porque j
 HIDDEN = re.compile("[­​-‏‪-‮⁠﻿]")
 CONTROLS = dict.fromkeys((1, 2, 3), " ")
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
-HREF = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]+)[^<>]*>", re.I)
+HREF = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]++)[^<>]*+>", re.I)
 HTML = re.compile(r"</?[a-zA-Z][^<>]*>")
-MARKDOWN = re.compile(r"\[([^\[\]\n]*)\]\(\s*([^()\s]+)[^()\n]*\)")
+MARKDOWN = re.compile(r"\[([^\[\]\n]*)\]\(\s*+([^()\s]++)[^()\n]*+\)")
 INLINE = re.compile(r"`([^`\n]*)`")
 LINK = re.compile(r"(?:https?://|www\.)\S+")
-LOG = re.compile(r"^\W{0,3}(?:\d[\d:.,TZ\-/ ]*\W*)?(?:\[[\d:., \-TZ]+\]\s*)?(?:WARN|WARNING|ERROR|INFO|DEBUG|TRACE|FATAL)\b")
+LOG = re.compile(r"^\W{0,3}(?:\d[\d:.,TZ\-/ ]{0,60}\W{0,20})?(?:\[[\d:., \-TZ]+\]\s*)?(?:WARN|WARNING|ERROR|INFO|DEBUG|TRACE|FATAL)\b")
 SYMBOL = re.compile(r"[(){}\[\]=<>\\_&`\"]")
 STATEMENT = re.compile(r"[;{}]\s*$|\s-[a-z][\w-]*[\s=]|<-|::|->|=>")
 COMMAND = re.compile(r"^(?:\$ |>>> |#!|//|--\w)\s?\S|\s--[a-z][\w-]*[\s=]")

@@ -150,3 +150,12 @@ def test_stuffed_pages(spark):
     assert spam.stuffed(spark.createDataFrame([], DOC)).count() == 0
     mixed = SPAM[0] + "\n\n" + PROPER[5] * 6
     assert spam.score(mixed)[0] < 0.5 and spam.score(PROPER[5] + SPAM[0] * 40)[0] > 0.9
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for text in ("[a](" + "x" * 200_000, "<a href=" + "y" * 200_000, "1" + "-" * 200_000 + "x", "[" * 100_000, "<" * 100_000, "a " * 100_000, "`" * 100_001, "; " * 100_000, "```" + "z\n" * 100_000, "# " * 100_000, "http://" * 30_000):
+        t = time.time()
+        spam.score(text)
+        assert time.time() - t < 10
