@@ -158,7 +158,7 @@ def unique_to(c: Cohort, by: str) -> DataFrame:
 def variant_summary(c: Cohort) -> DataFrame:
     """Per chromosome and over all (chrom null): positions, kinds of variants, monomorphic, single, double."""
     v = c.variants.join(rare_lists(c), "vidx", "left")
-    size = F.length("minor") - F.length("major")
+    size = (F.length("minor") - F.length("major")).cast("long")
     ins, dele = F.when(size > 0, size), F.when(size < 0, -size)
     t = v.where("chrom is not null").rollup("chrom").agg(F.count(F.lit(1)).alias("n_variant"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), count_if(_snv()).alias("n_snv"), *(count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("monomorphic", "singleton", "doubleton")), F.count(ins).alias("n_ins"), F.max(ins).alias("max_ins"), F.avg(ins).alias("avg_ins"), F.count(dele).alias("n_del"), F.max(dele).alias("max_del"), F.avg(dele).alias("avg_del"))
     return t
