@@ -3,9 +3,12 @@
 Each text is read as a sequence of terms: links, tags, content words, function words; code, logs, data
 and identifiers are marked apart and count as proper text. Two local measures are taken at each place:
 
-* recurrence: a content term that returns after a gap of at most ``LAG`` places. Its share among the
-  content terms of a lag window is the window's positional autocorrelation, summed over lags 1 to
-  ``LAG``. Sentences rarely return to a content word so soon; stuffed ones do so all the time.
+* recurrence: a content term that returns after a gap of at most ``LAG`` places, or at any distance with
+  regular gaps: gap after gap differs by at most 1 and an eighth, for at least as many gaps as one of them
+  has function words, and ``RETURNS`` at least. So a phrase may be of any length, but the more it is a
+  sentence, the more often it must return. The share of such terms among the content terms of a window
+  is its positional autocorrelation, summed over lags 1 to ``LAG`` and the lag at which the phrase returns.
+  Sentences rarely return to a content word so soon or so regularly; stuffed ones do so all the time.
 * function words: their share in the window. Lists of keywords, tags or links have almost none,
   whatever the language, while every sentence needs them.
 
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from pedlake.sources.tables import spread
 
-LAG, HALF = 5, 8
+LAG, HALF, RETURNS = 5, 8, 4
 FEW_FUNCTION, MUCH_RECURRENCE = 0.18, 0.5
 LEAST, SHARE = 16, 0.5
 
@@ -141,13 +144,28 @@ def score(text: str | None) -> tuple[float, int]:
     weight = n - kinds.count("n") - kinds.count("d") - kinds.count("x") + kinds.count("u") + sum(m // 8 for k, _, m in read if k == "x")
     if not total or not weight:
         return 0.0, weight
-    again, last = bytearray(n), {}
+    again, last, functions = bytearray(n), {}, 0
     for i, (k, t, _) in enumerate(read):
-        if k in "wtu":
-            before = last.get(t)
-            if before is not None and i - before <= LAG:
+        if k == "f":
+            functions += 1
+        elif k in "wtu":
+            seen = last.get(t)
+            if seen is None:
+                last[t] = [i, 0, functions, 0, [i]]
+                continue
+            before, lag, passed, returns, unmarked = seen
+            gap = i - before
+            if gap <= LAG:
                 again[i] = again[before] = 1
-            last[t] = i
+            if abs(gap - lag) > 1 + lag // 8 or not lag:
+                returns, unmarked = 0, [before]
+            returns += 1
+            unmarked.append(i)
+            if returns >= RETURNS and returns >= functions - passed:
+                for j in unmarked:
+                    again[j] = 1
+                unmarked = []
+            last[t] = [i, gap, functions, returns, unmarked]
     kind = np.frombuffer(kinds.encode(), dtype=np.uint8)
     function, proper, spaced = kind == ord("f"), kind == ord("d"), kind == ord("x")
     content = ~(function | proper | spaced | (kind == ord("n")))

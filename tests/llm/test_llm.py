@@ -159,3 +159,11 @@ def test_long_texts_take_linear_time():
         t = time.time()
         spam.score(text)
         assert time.time() - t < 10
+
+
+def test_phrases_of_any_length_return_regularly():
+    for phrase in ("best gene kit for your family tree online ", "the best gene kit for you and your family in Larham Bay and the towns of the coast ", "buy a saliva box for the family tree of your parents at the shop on the corner, "):
+        assert spam.score(phrase * 200)[0] > 0.9, phrase
+    assert spam.score("best gene kit for your family tree online " * 5)[0] > 0.9
+    assert spam.score(" ".join(f"best gene kit for your family tree in {x}." for x in ("York", "Larham Bay", "Ely", "East Port", "Old Town") * 8))[0] > 0.9
+    assert spam.score("I have the same question on the gene kit. " * 3)[0] < 0.5
