@@ -20,7 +20,9 @@ Scale: a narrow map over Arrow batches. A text of any length is handled whole, i
 length; nothing is shuffled unless a table has fewer splits than cores.
 
 Cases: null, empty and blank texts have score 0. Hidden characters and letter case are ignored, links in
-HTML or Markdown are read as the link and its words. Repeated texts get the same score.
+HTML or Markdown are read as the link and its words, whatever form the target has. Hosts without a scheme
+are links if their suffix is one of ``SUFFIX``, or any but a file's before a path; ``a.pl`` alone is a file.
+Repeated texts get the same score.
 """
 
 from __future__ import annotations
@@ -53,19 +55,27 @@ os as um uma e do da dos das no na nos em com são foi não como quando porque j
 )
 
 HIDDEN = re.compile("[­​-‏‪-‮⁠﻿]")
-CONTROLS = dict.fromkeys((1, 2, 3), " ")
+CONTROLS = dict.fromkeys((1, 2, 3, 4), " ")
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
 HREF = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]++)[^<>]*+>", re.I)
 HTML = re.compile(r"</?[a-zA-Z][^<>]*>")
 MARKDOWN = re.compile(r"\[([^\[\]\n]*)\]\(\s*+([^()\s]++)[^()\n]*+\)")
 INLINE = re.compile(r"`([^`\n]*)`")
-LINK = re.compile(r"(?:https?://|www\.)\S+")
+LINK = re.compile(r"(?:https?://|www\.|\x04)\S+")
+#: Suffixes of a bare host. Before a path any suffix of letters will do, but for those of files.
+SUFFIX = "com net org info biz edu gov example shop store online site web blog club top xyz vip app dev io co eu de fr uk es ru ua pt br jp cn kr ca au nl ch se fi dk cz gr hu ro tr mx ar cl tv it at be us nz ie no sk lt lv ee bg hr si kz by il za sg hk tw th vn ph my рф".split()
+FILE = "py sh pl rs md so js ts go rb cc cpp hpp java html htm php asp txt csv tsv json xml yaml yml log vcf bam bed bim fam ped map gz zip tar bz pdf png jpg conf cfg ini sql exe dll lib bin dat tmp bak old".split()
+HOST = regex.compile(
+    rf"(?<![\p{{L}}\p{{N}}_@/:.\-=\\`\x04])(?://)?(?:[\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}\p{{Nd}}][\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}\p{{Nd}}\-]*+\.)+"
+    rf"(?:(?!(?:{'|'.join(FILE)})\b)\p{{L}}{{2,24}}(?::\d+)?/[^\s<>()\[\]\"'\x01-\x04]*|(?:{'|'.join([*SUFFIX, *map(str.upper, SUFFIX)])})(?![\p{{L}}\p{{N}}_(\-]|\.[\p{{L}}\p{{N}}_]))"
+)
+DOTTED = re.compile(r"[^\W_]\.[^\W\d_]{2}")
 LOG = re.compile(r"^\W{0,3}(?:\d[\d:.,TZ\-/ ]{0,60}\W{0,20})?(?:\[[\d:., \-TZ]+\]\s*)?(?:WARN|WARNING|ERROR|INFO|DEBUG|TRACE|FATAL)\b")
 SYMBOL = re.compile(r"[(){}\[\]=<>\\_&`\"]")
 STATEMENT = re.compile(r"[;{}]\s*$|\s-[a-z][\w-]*[\s=]|<-|::|->|=>")
-COMMAND = re.compile(r"^(?:\$ |>>> |#!|//|--\w)\s?\S|\s--[a-z][\w-]*[\s=]")
+COMMAND = re.compile(r"^(?:\$ |>>> |#!|//(?!\x04)|--\w)\s?\S|\s--[a-z][\w-]*[\s=]")
 TERM = regex.compile(
-    r"(?P<u>(?:https?://|www\.)[^\s<>()\[\]\"']+)|(?P<t>[#＃][\p{L}\p{N}][\p{L}\p{M}\p{N}_\-]*)"
+    r"(?P<u>\x04\S+|(?:https?://|www\.)[^\s<>()\[\]\"']+)|(?P<t>[#＃][\p{L}\p{N}][\p{L}\p{M}\p{N}_\-]*)"
     r"|(?P<w>[\p{L}\p{M}][\p{L}\p{M}\p{N}'’_\-]*(?:[./][\p{L}\p{N}_]+)*)|(?P<n>[\p{N}][\p{N}\p{L}.,:/%\-]*)|\x02(?P<d>[0-9]+)|\x03(?P<x>[0-9]+)"
 )
 IDENTIFIER = re.compile(r"^(?:[A-Za-z]+[0-9][A-Za-z0-9_.\-]*|NA|NaN)$")
@@ -83,9 +93,11 @@ def terms(text: str) -> list[tuple[str, str, int]]:
     if "`" in text or "~" in text or "<" in text:
         text = FENCE.sub(lambda m: f"\n\x01{len(m.group())}\n", text)
     if "<" in text:
-        text = HTML.sub("\n", HREF.sub(r" \1 ", text))
+        text = HTML.sub("\n", HREF.sub(" \x04\\1 ", text))
     if "](" in text:
-        text = MARKDOWN.sub(r" \2 \1 ", text)
+        text = MARKDOWN.sub(" \x04\\2 \\1 ", text)
+    if DOTTED.search(text):
+        text = HOST.sub("\x04\\g<0>", text)
     out = []
     for line in text.split("\n"):
         s = line.strip()
@@ -100,7 +112,7 @@ def terms(text: str) -> list[tuple[str, str, int]]:
             plain = INLINE.sub(" ", plain)
         symbols = len(SYMBOL.findall(plain))
         if LOG.match(s) or (line.startswith(("    ", "\t")) and not LINK.search(s)) or symbols > 0.05 * len(plain) + 1 or COMMAND.search(s) or (symbols and STATEMENT.search(plain)):
-            out.append(("d", "", len(s)))
+            out.append(("d", "", len(s) - s.count("\x04")))
             continue
         # words written letter by letter hide their terms: one stuffed place, unless it is a data row
         if SPACED_HINT.search(s):
@@ -122,6 +134,7 @@ def terms(text: str) -> list[tuple[str, str, int]]:
             elif kind in "dx":
                 out.append((kind, "", int(m[kind])))
             else:
+                t = t.removeprefix("\x04")
                 out.append((kind, t.lower(), len(t)))
     return out
 

@@ -167,3 +167,11 @@ def test_phrases_of_any_length_return_regularly():
     assert spam.score("best gene kit for your family tree online " * 5)[0] > 0.9
     assert spam.score(" ".join(f"best gene kit for your family tree in {x}." for x in ("York", "Larham Bay", "Ely", "East Port", "Old Town") * 8))[0] > 0.9
     assert spam.score("I have the same question on the gene kit. " * 3)[0] < 0.5
+
+
+def test_links_without_a_scheme():
+    for form in ("shop{}.example/a", "kit{}shop.com", "//cdn{}.example/a", '<a href="/shop/all/the/shoes{}">shoes</a>', "[shoes](../shop/shoes{})", "магазин{}.рф"):
+        s, n = spam.score("\n".join(form.format(i) for i in range(300)))
+        assert s > 0.9 and n >= 600, form
+    for form in ("file{}.py", "dir/file{}.txt", "sample.id{}", "// note {} of it", "sum[{}](x) += f.io(y)", "a{}@lab.example.com"):
+        assert spam.score("\n".join(form.format(i) for i in range(300)))[0] == 0, form
