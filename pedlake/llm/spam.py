@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from pedlake.sources.tables import spread
 
 LAG, HALF, RETURNS = 5, 8, 4
 FEW_FUNCTION, MUCH_RECURRENCE = 0.18, 0.5
-LEAST, SHARE = 16, 0.5
+LEAST, SHARE, NAMES = 16, 0.5, 5
 
 #: Function words of seven languages; Japanese has them in hiragana, whatever the word.
 FUNCTION = frozenset(
@@ -72,6 +73,13 @@ HOST = regex.compile(
 DOTTED = re.compile(r"[^\W_]\.[^\W\d_]{2}")
 LOG = re.compile(r"^\W{0,3}(?:\d[\d:.,TZ\-/ ]{0,60}\W{0,20})?(?:\[[\d:., \-TZ]+\]\s*)?(?:WARN|WARNING|ERROR|INFO|DEBUG|TRACE|FATAL)\b")
 SYMBOL = re.compile(r"[(){}\[\]=<>\\_&`\"]")
+#: Quoted or bracketed groups of words, not an index, a call, a key or a nested list.
+GROUP = regex.compile(r"""(?<![\p{L}\p{N}_)\]=:\[({])(?:"([\p{L}\p{N}][\p{L}\p{M}\p{N}'’ ,\-]*+)"|\[([\p{L}\p{N}][\p{L}\p{M}\p{N}'’ ,\-]*+)\]|\(([\p{L}\p{N}][\p{L}\p{M}\p{N}'’ ,\-]*+)\)|\{([\p{L}\p{N}][\p{L}\p{M}\p{N}'’ ,\-]*+)\}|<([\p{L}][\p{L}\p{M}\p{N}'’ ,\-]*+)>)(?!\s*[=:]|[(\[\])}])""")
+#: Words of letters joined by underscores, in a row.
+JOINED = regex.compile(r"[\p{L}\p{M}]+(?:_[\p{L}\p{M}]+)+")
+JOINED_ROW = regex.compile(rf"(?:{JOINED.pattern}[\s,;|]*+){{3,}}")
+#: What an indented line of code has: an assignment, a call, a path or option, a number, a block's end.
+SHAPE = re.compile(r"[=(){}\[\]<>\\|&$@*^]|\w[:;]\s*$|;\s|::|\w_\w|(?:^|\s)[-~./]+\w|(?:^|[\s,])\d|^(?:for|while|if|else|elif|def|class|import|from|return|try|except|print|cd|ls|cat|grep|awk|sed|git|pip|sudo|export|echo)\b")
 STATEMENT = re.compile(r"[;{}]\s*$|\s-[a-z][\w-]*[\s=]|<-|::|->|=>")
 COMMAND = re.compile(r"^(?:\$ |>>> |#!|//(?!\x04)|--\w)\s?\S|\s--[a-z][\w-]*[\s=]")
 TERM = regex.compile(
@@ -85,6 +93,13 @@ SPACED_HINT = re.compile(r"(?:^| )\w \w \w \w \w ")
 SPACED = regex.compile(r"(?<![^\s])\p{Ll}(?:\s{1,3}[\p{L}\p{N}](?![^\s])){15,}", regex.I)
 
 
+def _keywords(row: str) -> bool:
+    """Joined words of three parts or more, or ones whose parts return: phrases rather than names of columns."""
+    joined = JOINED.findall(row.lower())
+    parts = [p for j in joined for p in j.split("_")]
+    return len(parts) >= 3 * len(joined) or len(set(parts)) <= 0.6 * len(parts)
+
+
 def terms(text: str) -> list[tuple[str, str, int]]:
     """(kind, term, characters): u link, t tag, w content word, f function word, n number, d code or data, x spaced letters."""
     text = text.translate(CONTROLS)
@@ -98,7 +113,7 @@ def terms(text: str) -> list[tuple[str, str, int]]:
         text = MARKDOWN.sub(" \x04\\2 \\1 ", text)
     if DOTTED.search(text):
         text = HOST.sub("\x04\\g<0>", text)
-    out = []
+    out, names = [], []
     for line in text.split("\n"):
         s = line.strip()
         if not s:
@@ -111,13 +126,18 @@ def terms(text: str) -> list[tuple[str, str, int]]:
         if ticks:
             plain = INLINE.sub(" ", plain)
         symbols = len(SYMBOL.findall(plain))
-        if LOG.match(s) or (line.startswith(("    ", "\t")) and not LINK.search(s)) or symbols > 0.05 * len(plain) + 1 or COMMAND.search(s) or (symbols and STATEMENT.search(plain)):
+        if symbols:
+            if "_" in plain and JOINED_ROW.fullmatch(plain) and _keywords(plain):
+                s = plain = plain.replace("_", " ")
+            plain = GROUP.sub(lambda m: next(filter(None, m.groups())), plain)
+            symbols = len(SYMBOL.findall(plain))
+        if LOG.match(s) or (line.startswith(("    ", "\t")) and not LINK.search(s) and SHAPE.search(plain)) or symbols > 0.05 * len(plain) + 1 or COMMAND.search(s) or (symbols and STATEMENT.search(plain)):
             out.append(("d", "", len(s) - s.count("\x04")))
             continue
         # words written letter by letter hide their terms: one stuffed place, unless it is a data row
         if SPACED_HINT.search(s):
             s = SPACED.sub(lambda m: f" \x03{len(m.group())} " if len(set(m.group().lower())) > 7 else m.group(), s)
-        ascii_line = s.isascii()
+        ascii_line, first = s.isascii(), len(out)
         for m in TERM.finditer(INLINE.sub(lambda i: f" \x02{len(i.group(1))} ", s) if ticks else s):
             kind, t = m.lastgroup, m.group()
             if kind == "w":
@@ -136,6 +156,14 @@ def terms(text: str) -> list[tuple[str, str, int]]:
             else:
                 t = t.removeprefix("\x04")
                 out.append((kind, t.lower(), len(t)))
+        places = [i for i in range(first, len(out)) if out[i][0] == "d" and out[i][1].isalnum() and out[i][1] not in ("NA", "NaN")]
+        if places and not any(k == "n" for k, *_ in out[first:]):
+            names += places
+    # names with digits that return are products or tags rather than a listing; beside numbers they are data
+    often = Counter(out[i][1] for i in names) if names else {}
+    for i in names:
+        if often[out[i][1]] >= NAMES:
+            out[i] = ("w", out[i][1].lower(), out[i][2])
     return out
 
 

@@ -175,3 +175,12 @@ def test_links_without_a_scheme():
         assert s > 0.9 and n >= 600, form
     for form in ("file{}.py", "dir/file{}.txt", "sample.id{}", "// note {} of it", "sum[{}](x) += f.io(y)", "a{}@lab.example.com"):
         assert spam.score("\n".join(form.format(i) for i in range(300)))[0] == 0, form
+
+
+def test_code_is_known_by_its_shape():
+    words = ["gene kit", "dna test", "saliva box", "family tree", "ancestry poster"] * 8
+    for text in (", ".join(f'"{w}"' for w in words), " ".join(f"[{w}]" for w in words), " ".join(f"({w})" for w in words), "\t" + ", ".join(words), "\n".join("    " + w for w in words), "cheap_gene_kit buy_gene_kit best_gene_kit " * 12, "iPhone15 PS5 GalaxyS24 " * 20):
+        s, n = spam.score(text)
+        assert s > 0.9 and n >= spam.LEAST, text
+    for text in ('x = ["gene", "kit", "box"]', '["gene kit", "dna test", "saliva box"]', '{"gene kit": "dna test"}', "    for g in genes:\n        print(g)", "    tool --fam a.fam", "call(a, b)\nrun(x)", "\tS1\tS2\t0\t1", "sample_id, family_id, father_id, mother_id, pheno_name, loaded_at"):
+        assert spam.score("\n".join([text] * 10))[0] == 0, text
