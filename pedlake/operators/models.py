@@ -216,9 +216,8 @@ def case_control(c: Cohort, trait: str) -> DataFrame:
     return c.trait(trait).where(F.col("val").isin(CASE, CONTROL)).groupBy((F.col("val") == CASE).alias("case")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def kinship(samples: list[tuple[str, str | None, str | None]]) -> tuple[list[str], np.ndarray]:
-    """Twice the kinship coefficients of one pedigree (iid, pat, mat), parents before children by peeling; a person
-    on a cycle raises. For a family that fits a task or the driver."""
+def peeled(samples: list[tuple[str, str | None, str | None]]) -> tuple[list[str], dict[str, list[str]]]:
+    """The members of one pedigree (iid, pat, mat), parents before children, and their parents; a person on a cycle raises."""
     up = {i: [p for p in (a, b) if p] for i, a, b in samples}
     for ps in list(up.values()):
         for p in ps:
@@ -238,6 +237,13 @@ def kinship(samples: list[tuple[str, str | None, str | None]]) -> tuple[list[str
                 todo.append(k)
     if len(order) < len(up):
         raise ValueError("the pedigree has a cycle")
+    return order, up
+
+
+def kinship(samples: list[tuple[str, str | None, str | None]]) -> tuple[list[str], np.ndarray]:
+    """Twice the kinship coefficients of one pedigree (iid, pat, mat), parents before children by peeling; a person
+    on a cycle raises. For a family that fits a task or the driver."""
+    order, up = peeled(samples)
     at, phi = {k: i for i, k in enumerate(order)}, np.zeros((len(order), len(order)))
     for i, k in enumerate(order):
         ps = [at[p] for p in up[k]]

@@ -1,12 +1,17 @@
 """Tests of related samples: kinship-weighted scores, family-based rare-variant tests, permutation tests, LD pruning.
 
-Kinship is block diagonal by family. A family's inverse kinship is only needed through its products
-with a trait or a constant, which are computed once per family inside tasks; per variant everything is a
-weighted sum of calls again.
+Kinship is block diagonal by pedigree. Its inverse is only needed through its products with a trait or a
+constant, which are computed once per pedigree inside tasks; per variant everything is a weighted sum of
+calls again. A pedigree of at most ``MOST_MEMBERS`` is a dense matrix. Results don't depend on that size:
+of a larger one, products with the inverse come from its sparse form in memory linear in the pedigree, and
+pairs come by generation from joins of sparse rows.
 """
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,11 +23,11 @@ from pedlake.operators.assoc import CASE, CONTROL
 from pedlake.operators.cohort import Cohort
 from pedlake.operators.components import components
 from pedlake.operators.genes import _minor
-from pedlake.operators.models import kinship
+from pedlake.operators.models import kinship, peeled
 from pedlake.operators.qc import _trios
 from pedlake.plans.scratch import Scratch
 
-#: A pedigree of more members than this is taken as nuclear blocks: its children's couples.
+#: A pedigree of more members than this is computed with sparse rows.
 MOST_MEMBERS = 2000
 
 
@@ -33,19 +38,76 @@ def _task(c: Cohort) -> Column:
 
 
 def pedigrees(c: Cohort) -> DataFrame:
-    """(iid, pat, mat, pedigree): connected pedigrees, whatever the family ids.
-
-    A pedigree of more than MOST_MEMBERS members is parted into sibships with their parents named, so no
-    task gets an unbounded matrix; kinship beyond those is then not used.
-    """
+    """(iid, pat, mat, pedigree): connected pedigrees, whatever the family ids."""
     scratch = Scratch(c.samples.sparkSession, "pedigrees")
     s = scratch.cut(c.samples.select("iid", "pat", "mat"))
     links = s.select(F.col("iid").alias("a"), F.explode(F.filter(F.array("pat", "mat"), lambda p: p.isNotNull())).alias("b"))
-    part = s.join(components(links), F.col("iid") == F.col("vertex"), "left").select("iid", "pat", "mat", F.coalesce("component", "iid").alias("component"))
-    part = scratch.cut(part)
-    large = scratch.cut(part.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MEMBERS).select("component", F.lit(True).alias("large")))
-    own = F.when(F.col("large"), F.concat_ws("\0", F.coalesce("pat", "iid"), F.coalesce("mat", "iid"))).otherwise(F.col("component"))
-    return part.join(large, "component", "left").select("iid", "pat", "mat", own.alias("pedigree"))
+    part = s.join(components(links), F.col("iid") == F.col("vertex"), "left").select("iid", "pat", "mat", F.coalesce("component", "iid").alias("pedigree"))
+    return scratch.cut(part)
+
+
+def _sparse_weights(up: list[tuple[int, ...]], have: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """inv(Phi[have, have]) y for each y of ``values``, Phi being twice the kinship; ``up`` has the parents' places, which come before their children's.
+
+    The inverse over all members is (I - P)' D (I - P) with half a unit at each parent in P; the members
+    without a value are eliminated by conjugate gradients.
+    """
+    n = len(up)
+    inbred = np.zeros(n)
+    d = np.zeros(n)
+    ties: dict[tuple[int, ...], float] = {}
+    for i, ps in enumerate(up):
+        d[i] = 1.0 - sum(0.25 * (1 + inbred[p]) for p in ps)
+        if len(ps) < 2:
+            continue
+        if ps not in ties:
+            # a person's inbreeding is half the parents' relationship: contributions of their ancestors, the youngest first
+            left, right = {ps[0]: 1.0}, {ps[1]: 1.0}
+            heap, tie = [-ps[0], -ps[1]] if ps[0] != ps[1] else [-ps[0]], 0.0
+            heapq.heapify(heap)
+            while heap:
+                j = -heapq.heappop(heap)
+                a, b = left.pop(j, 0.0), right.pop(j, 0.0)
+                tie += a * b * d[j]
+                for p in up[j]:
+                    if p not in left and p not in right:
+                        heapq.heappush(heap, -p)
+                    if a:
+                        left[p] = left.get(p, 0.0) + a / 2
+                    if b:
+                        right[p] = right.get(p, 0.0) + b / 2
+            ties[ps] = tie
+        inbred[i] = ties[ps] / 2
+    kid = np.array([i for i, ps in enumerate(up) for _ in ps], dtype=int)
+    par = np.array([p for ps in up for p in ps], dtype=int)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        r = (x - np.bincount(kid, 0.5 * x[par], n)) / d
+        return r - np.bincount(par, 0.5 * r[kid], n)
+
+    free = np.ones(n, dtype=bool)
+    free[have] = False
+    scale = 1 / d + np.bincount(par, 0.25 / d[kid], n)
+    out = []
+    for y in values:
+        x = np.zeros(n)
+        x[have] = y
+        r = np.where(free, -times(x), 0.0)
+        z = r / scale
+        q, rz = z.copy(), r @ z
+        least, rounds = 1e-26 * rz, 0
+        while rz > least:
+            rounds += 1
+            if rounds > 20 * n:
+                raise ArithmeticError("conjugate gradients didn't converge")
+            m = np.where(free, times(q), 0.0)
+            step = rz / (q @ m)
+            x, r = x + step * q, r - step * m
+            z = r / scale
+            before, rz = rz, r @ z
+            q = z + rz / before * q
+        out.append(times(x)[have])
+    return out
 
 
 def kinship_weights(c: Cohort, values: DataFrame) -> DataFrame:
@@ -64,11 +126,22 @@ def kinship_weights(c: Cohort, values: DataFrame) -> DataFrame:
                 continue
             ids, y = have["iid"].tolist(), have["val"].to_numpy(float)
             text = lambda v: v if isinstance(v, str) else None
+            members = [(i, text(a), text(b)) for i, a, b in ped[["iid", "pat", "mat"]].itertuples(index=False)]
             try:
-                order, phi = kinship([(i, text(a), text(b)) for i, a, b in ped[["iid", "pat", "mat"]].itertuples(index=False)])
+                if len(members) > MOST_MEMBERS:
+                    order, up = peeled(members)
+                    at = {k: j for j, k in enumerate(order)}
+                    places, index = [tuple(sorted(at[p] for p in up[k])) for k in order], np.array([at[i] for i in ids])
+                    a, one = _sparse_weights(places, index, y, np.ones(len(ids)))
+                    out.append(pd.DataFrame({"iid": ids, "a": a, "one": one, "val": y}))
+                    continue
+                order, phi = kinship(members)
                 at = {k: j for j, k in enumerate(order)}
                 sub = phi[np.ix_([at[i] for i in ids], [at[i] for i in ids])]
             except ValueError:
+                if len(members) > MOST_MEMBERS:
+                    out.append(pd.DataFrame({"iid": ids, "a": y, "one": np.ones(len(ids)), "val": y}))
+                    continue
                 sub = np.eye(len(ids))
             inv = np.linalg.pinv(sub)
             out.append(pd.DataFrame({"iid": ids, "a": inv @ y, "one": inv.sum(1), "val": y}))
@@ -286,6 +359,10 @@ def inverse_normal(c: Cohort, trait: str, ranges: int = 256) -> DataFrame:
 
 def kinship_pairs(c: Cohort) -> DataFrame:
     """(iid1, iid2, kinship2): related pairs and each person with self, twice the kinship, within pedigrees."""
+    rows = pedigrees(c)
+    scratch = Scratch(c.samples.sparkSession, "large")
+    large = scratch.cut(rows.groupBy("pedigree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MEMBERS).select("pedigree"))
+    any_large = scratch.rows > 0
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -302,4 +379,42 @@ def kinship_pairs(c: Cohort) -> DataFrame:
                     out.append((a, b, phi[i, j]))
         return pd.DataFrame(out, columns=["iid1", "iid2", "kinship2"])
 
-    return pedigrees(c).groupBy(_task(c)).applyInPandas(solve, "iid1 string, iid2 string, kinship2 double")
+    small = rows.join(large, "pedigree", "left_anti") if any_large else rows
+    out = small.groupBy(_task(c)).applyInPandas(solve, "iid1 string, iid2 string, kinship2 double")
+    return out.unionByName(_large_pairs(rows.join(large, "pedigree", "left_semi"))) if any_large else out
+
+
+def _large_pairs(rows: DataFrame) -> DataFrame:
+    """``kinship_pairs`` by generation: the rows (i, j, k) of a generation with all before it come from its parents' rows.
+
+    rows: (iid, pat, mat, pedigree). A round has two joins by a parent's id; only related pairs have rows. In a
+    pedigree with a cycle everyone is related to self only.
+    """
+    scratch = Scratch(rows.sparkSession, "kinship")
+    recorded = scratch.cut(rows)
+    links = scratch.cut(recorded.select("pedigree", F.col("iid").alias("i"), F.explode(F.filter(F.array("pat", "mat"), lambda p: p.isNotNull())).alias("p")))
+    named = recorded.select("pedigree", F.col("iid").alias("i")).unionByName(links.select("pedigree", F.col("p").alias("i"))).distinct()
+    generations = [scratch.cut(named.join(links, "i", "left_anti"))]
+    while scratch.rows:
+        placed = reduce(DataFrame.unionByName, generations).select(F.col("i").alias("p"), F.lit(True).alias("placed"))
+        ready = links.join(placed, "p", "left").groupBy("pedigree", "i").agg(F.count_if(F.col("placed").isNull()).alias("n")).where("n = 0").select("pedigree", "i")
+        generations.append(scratch.cut(ready.join(placed.select(F.col("p").alias("i")), "i", "left_anti")))
+    cyclic = scratch.cut(named.join(reduce(DataFrame.unionByName, generations), "i", "left_anti").select("pedigree").distinct())
+    self = lambda df: df.select("i", F.col("i").alias("j"), F.lit(1.0).alias("k"))
+    related: list[DataFrame] = []
+    for g in generations[:-1]:
+        g = g.join(cyclic, "pedigree", "left_anti")
+        if not related:
+            related.append(scratch.cut(self(g)))
+            continue
+        before = reduce(DataFrame.unionByName, related)
+        ties = links.join(g.select("i"), "i", "left_semi").select("i", "p")
+        older = scratch.cut(ties.join(before.select(F.col("i").alias("p"), "j", "k"), "p").groupBy("i", "j").agg((F.sum("k") / 2).alias("k")))
+        same = older.join(ties.select(F.col("i").alias("j2"), F.col("p").alias("j")), "j").where("i <> j2").groupBy("i", F.col("j2").alias("j")).agg((F.sum("k") / 2).alias("k"))
+        parents = recorded.join(g.select(F.col("i").alias("iid")), "iid", "left_semi").select("iid", "pat", "mat")
+        own = parents.join(before.select(F.col("i").alias("pat"), F.col("j").alias("mat"), "k"), ["pat", "mat"], "left").select(F.col("iid").alias("i"), F.col("iid").alias("j"), (1 + F.coalesce("k", F.lit(0.0)) / 2).alias("k"))
+        related.append(scratch.cut(older.unionByName(older.select(F.col("j").alias("i"), F.col("i").alias("j"), "k")).unionByName(same).unionByName(own)))
+    pairs = reduce(DataFrame.unionByName, [*related, self(recorded.join(cyclic, "pedigree", "left_semi").select(F.col("iid").alias("i")))]).where("i <= j")
+    for side in ("i", "j"):  # parents without a row of their own count but don't come out
+        pairs = pairs.join(recorded.select(F.col("iid").alias(side)), side, "left_semi")
+    return pairs.select(F.col("i").alias("iid1"), F.col("j").alias("iid2"), F.col("k").alias("kinship2"))

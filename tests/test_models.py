@@ -238,3 +238,23 @@ def test_filters(spark, data):
     assert n == c.samples.where("sex = 1 and founder").count()
     r = spark.createDataFrame([(1, 0, 2001), (1, 1000, 3000), (2, 5000, 4000)], "chrom int, start int, end int")
     assert sorted(x["vidx"] for x in filters.in_regions(c.variants, r).collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("loops", [False, True])
+def test_large_pedigrees_have_all_their_kinship(spark, monkeypatch, loops):
+    rng = np.random.default_rng(4)
+    rows = [(f"p{i}", None, None) for i in range(4)] + [("s", "p0", "p0"), ("o", "ghost", "p1")]
+    for i in range(16):
+        a, b = rng.choice(len(rows), 2, replace=False)
+        rows.append((f"c{i}", rows[a][0], rows[b][0] if rng.random() < 0.8 else None))
+    rows += [("x", "y", "p2"), ("y", "x", None)] if loops else []
+    rows += [("z1", "z2", None), ("z2", None, None), ("lone", None, None)]
+    values = spark.createDataFrame([(i, float(rng.normal())) for i, *_ in rows if rng.random() < 0.6], "iid string, val double")
+    c = Cohort(spark.createDataFrame(rows, "iid string, pat string, mat string"), None, None, None, None)
+    pairs = lambda: sorted(map(tuple, related.kinship_pairs(c).collect()))
+    weights = lambda: sorted(map(tuple, related.kinship_weights(c, values).collect()))
+    want, want_w = pairs(), weights()
+    monkeypatch.setattr(related, "MOST_MEMBERS", 5)
+    got, got_w = pairs(), weights()
+    assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
+    assert [r[0] for r in got_w] == [r[0] for r in want_w] and np.allclose([r[1:] for r in got_w], [r[1:] for r in want_w])
