@@ -26,6 +26,7 @@ from pedlake.plans.scratch import Scratch
 
 #: A component of more than this share of all rows is placed on its own.
 BIG = 0.001
+MOST_TARGETS = 1000
 RANGE_BITS = 12
 
 
@@ -62,7 +63,10 @@ def assign(samples: DataFrame, targets: DataFrame, big: float = BIG) -> DataFram
     scratch = Scratch(spark, "splits")
     rows = scratch.cut(units(samples))
     total = scratch.rows
-    goals = [(r["split_name"], max(0.0, r["target_share"] or 0.0)) for r in targets.distinct().orderBy("split_name").limit(1000).collect()]
+    named = targets.distinct().orderBy("split_name").limit(MOST_TARGETS + 1).collect()
+    if len(named) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    goals = [(r["split_name"], max(0.0, r["target_share"] or 0.0)) for r in named]
     whole = sum(s for _, s in goals)
     joined = components(ties(rows)).select(F.col("vertex").alias("unit"), "component")
     sized = scratch.cut(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).join(joined, "unit", "left").select("unit", F.coalesce("component", "unit").alias("component"), "n"))

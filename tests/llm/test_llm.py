@@ -184,3 +184,9 @@ def test_code_is_known_by_its_shape():
         assert s > 0.9 and n >= spam.LEAST, text
     for text in ('x = ["gene", "kit", "box"]', '["gene kit", "dna test", "saliva box"]', '{"gene kit": "dna test"}', "    for g in genes:\n        print(g)", "    tool --fam a.fam", "call(a, b)\nrun(x)", "\tS1\tS2\t0\t1", "sample_id, family_id, father_id, mother_id, pheno_name, loaded_at"):
         assert spam.score("\n".join([text] * 10))[0] == 0, text
+
+
+def test_too_many_split_targets_raise(spark):
+    targets = spark.createDataFrame([(f"s{i}", 1.0) for i in range(1001)], "split_name string, target_share double")
+    with pytest.raises(ValueError, match="targets"):
+        splits.assign(spark.createDataFrame([(1, "a", "x", None, None, "")], S), targets)
