@@ -1,18 +1,27 @@
 """Mixing sources to target weights, by entropy balancing.
 
-Each document d of source s gets a rate r_d in (0, cap_s), the expected number of its copies. Among all
-rates whose tokens sum to the source's budget, those of greatest token-weighted entropy are wanted; the
-convex dual has one multiplier per source, and tilts the documents' own log weights b_d exponentially:
+Each document d of source s gets a rate r_d in [0, cap_s], the expected number of its copies. Wanted are the
+rates nearest to the documents' own base rates q_d (1 unless ``log_weight`` is given) in relative entropy,
 
-    r_d = cap_s / (1 + exp(-(b_d + m_s))),   sum over s of tokens_d * r_d = share_s * total.
+    minimise sum_d r_d log(r_d / q_d) - r_d   with   sum over s of tokens_d * r_d = share_s * total  for all s.
 
-Newton iterations solve for m. Each is one distributed aggregate over (source, log weight) sums that
-returns a row per source. Rates are then rounded into copies: the whole part always, one more for
-documents in the order of a hash of doc_id relative to their fraction, until the budget is reached. That
-order is cut in two steps (sums of 4096 ranges, then the documents of one range), so the largest
-source isn't sorted, and the shares are met to within about one document per source.
+The convex dual has one multiplier per token constraint, and the tokens enter the tilt:
 
-The total is the largest that all caps allow, or ``total_tokens`` if that is less.
+    r_d = min(cap_s, q_d * exp(lambda_s * tokens_d)).
+
+All multipliers are solved together by Newton steps: every round is one distributed aggregate that returns, for
+each source, the dual's gradient and curvature at the Newton point and at points spread over the interval that
+is known to hold the solution; the best bracket and its Newton step make the next round. Rates depend on
+(source, tokens, weight) only, so a round reads a row per such triple and not the documents. A solution that
+isn't reached in ``rounds`` raises.
+
+Rates are then rounded into copies: the whole part always, one more for documents in the order of a hash of
+doc_id relative to their fraction, until the budget is reached. That order is cut in two steps (sums of 4096
+ranges, then the documents of one range), so the largest source isn't sorted, and the shares are met to within
+about one document per source.
+
+The total is the largest that all caps allow, or ``total_tokens`` if that is less; ``shares`` tells what was asked
+for, so a total or a source that falls short is seen there.
 
 Cases: documents of sources that have no target, or of null source, are not used, nor are those
 without tokens; a source without tokens is reported with share 0 and the others keep their
@@ -43,41 +52,52 @@ def _targets(mix_targets: DataFrame) -> dict[str, tuple[float, float]]:
     return {r["source"]: (max(0.0, r["target_share"] or 0.0), max(0, r["max_repeats"] or 0)) for r in rows}
 
 
-def solve(sums: DataFrame, budgets: dict[str, float], caps: dict[str, float], rounds: int = 60) -> dict[str, float]:
-    """The multiplier of each source. sums: (source, b, tokens).
+#: Points of one round, the Newton point among them.
+POINTS = 8
+
+
+def solve(sums: DataFrame, budgets: dict[str, float], caps: dict[str, float], rounds: int = 60, tolerance: float = 1e-9) -> dict[str, float]:
+    """The multiplier lambda of each source. sums: (source, b, tokens, n), n documents of one size and log weight b.
 
-    A budget that needs every copy has an infinite multiplier. Newton steps that leave the bracket known
-    to hold the solution are replaced by its middle, so the iteration converges from anywhere.
+    A budget that needs every copy has an infinite multiplier, one of nothing a negative infinite.
     """
     spark = sums.sparkSession
-    m = {s: 0.0 for s in budgets}
-    low, high = {s: -math.inf for s in m}, {s: math.inf for s in m}
-    todo = set(m)
+    cap_of = F.broadcast(spark.createDataFrame([(s, max(caps[s], 1e-300)) for s in sorted(caps)], "source string, cap double"))
+    t, n, b = F.col("tokens").cast("double"), F.col("n").cast("double"), F.col("b")
+    first = sums.join(cap_of, "source").groupBy("source").agg(F.sum(n * t).alias("whole"), F.sum(n * t * F.exp(b)).alias("free"), F.min(t).alias("least"), F.max((F.log("cap") - b) / t).alias("top"))
+    m, low, high, points = {}, {}, {}, {}
+    for r in first.collect():  # a row per source
+        s = r["source"]
+        if budgets[s] >= caps[s] * r["whole"] * (1 - tolerance):
+            m[s] = math.inf
+        elif budgets[s] <= 0:
+            m[s] = -math.inf
+        else:  # at low the budget isn't reached even without caps, at high every document is at its cap
+            low[s], high[s] = min(0.0, math.log(budgets[s] / r["free"]) / r["least"]) - 1e-12, max(r["top"], 0.0) + 1e-12
+            points[s] = [low[s] + (high[s] - low[s]) * (k + 1) / (POINTS + 1) for k in range(POINTS)]
     for _ in range(rounds):
-        if not todo:
-            break
-        now = F.broadcast(spark.createDataFrame([(s, m[s]) for s in sorted(todo)], "source string, m double"))
-        p = 1 / (1 + F.exp(-(F.col("b") + F.col("m"))))
-        got = sums.join(now, "source").groupBy("source").agg(F.sum(F.col("tokens") * p).alias("value"), F.sum(F.col("tokens") * p * (1 - p)).alias("slope"), F.sum("tokens").alias("all"))
-        for r in got.collect():  # a row per source
-            s, cap = r["source"], caps[r["source"]]
-            gap = cap * r["value"] - budgets[s]
-            if budgets[s] >= cap * r["all"] * (1 - 1e-9):
-                m[s] = math.inf
-            elif budgets[s] <= 0:
-                m[s] = -math.inf
-            if math.isinf(m[s]) or abs(gap) <= 1e-9 * budgets[s]:
-                todo.discard(s)
+        if not points:
+            return m
+        now = F.broadcast(spark.createDataFrame([(s, max(caps[s], 1e-300), x) for s, x in sorted(points.items())], "source string, cap double, x array<double>"))
+        sides = []
+        for k in range(POINTS):
+            free = F.exp(b + F.get("x", F.lit(k)) * t)
+            sides += [F.sum(n * t * F.least("cap", free)).alias(f"v{k}"), F.sum(n * t * t * F.when(free < F.col("cap"), free).otherwise(0.0)).alias(f"s{k}")]
+        for r in sums.join(now, "source").groupBy("source").agg(*sides).collect():  # a row per source
+            s = r["source"]
+            found = sorted((x, r[f"v{k}"] - budgets[s], r[f"s{k}"]) for k, x in enumerate(points[s]))
+            x, gap, slope = min(found, key=lambda f: abs(f[1]))
+            if abs(gap) <= tolerance * budgets[s] or high[s] - low[s] <= 1e-15 * max(1.0, abs(x)):
+                m[s] = x
+                del points[s]
                 continue
-            if gap > 0:
-                high[s] = m[s]
-            else:
-                low[s] = m[s]
-            step = m[s] - gap / max(cap * r["slope"], 1e-300)
-            if not low[s] < step < high[s] or abs(step) > 60:
-                a, z = max(low[s], -60.0), min(high[s], 60.0)
-                step = (a + z) / 2
-            m[s] = step
+            low[s], high[s] = max([low[s], *(f[0] for f in found if f[1] < 0)]), min([high[s], *(f[0] for f in found if f[1] > 0)])
+            step = x - gap / slope if slope > 0 else math.nan
+            near = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+            spread = [low[s] + (high[s] - low[s]) * (k + 1) / POINTS for k in range(POINTS - 1)]
+            points[s] = [near, *spread]
+    if points:
+        raise ArithmeticError(f"no solution in {rounds} rounds for {sorted(points)[:5]}")
     return m
 
 
@@ -89,8 +109,8 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCA
     weighted = documents.select("doc_id", "source", "text", (F.lit(0.0) if log_weight is None else F.coalesce(log_weight.cast("double"), F.lit(0.0))).alias("b"))
     wanted = [s for s, (share, cap) in goal.items() if share > 0 and cap > 0]
     docs = scratch.cut(count_tokens(weighted.where(F.col("source").isin(wanted)), vocabulary, ("doc_id", "source", "b")).where("n_tokens > 0"))
-    sums = scratch.cut(docs.groupBy("source", "b").agg(F.sum("n_tokens").alias("tokens")))
-    have = {r["source"]: r["tokens"] for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    sums = scratch.cut(docs.groupBy("source", "b", F.col("n_tokens").alias("tokens")).agg(F.count(F.lit(1)).alias("n")))
+    have = {r["source"]: r["tokens"] for r in sums.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens")).collect()}
     schema = "doc_id bigint, source string, n_tokens bigint, rate double, copies int"
     if not have:
         return spark.createDataFrame([], schema)
@@ -102,7 +122,7 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCA
     m = solve(sums, budgets, caps)
 
     per_source = F.broadcast(spark.createDataFrame([(s, caps[s], m[s], budgets[s]) for s in sorted(have)], "source string, cap double, m double, budget double"))
-    rated = docs.join(per_source, "source").withColumn("rate", F.col("cap") / (1 + F.exp(-(F.col("b") + F.col("m")))))
+    rated = docs.join(per_source, "source").withColumn("rate", F.least("cap", F.exp(F.col("b") + F.col("m") * F.col("n_tokens"))))
     # a hash in (0, 1), relative to the fraction: the documents below 1 are those of independent rounding
     u = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rated = rated.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.col("rate") - F.col("base"), F.lit(0.0)))
@@ -132,8 +152,13 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCA
     return out.where("copies > 0")
 
 
-def shares(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The share each source really reaches, with its documents, copies and greatest repeat."""
-    got = mixture(documents, mix_targets, vocabulary).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_repeats"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
-    out = mix_targets.distinct().join(got, "source", "left").fillna(0, ["n_documents", "n_copies", "most_repeats", "tokens"])
-    return out.withColumn("share", F.col("tokens") / F.nullif(F.sum("tokens").over(Window.partitionBy()), F.lit(0)))
+def shares(documents: DataFrame, mix_targets: DataFrame, vocabulary: str = VOCABULARY, total_tokens: float | None = None) -> DataFrame:
+    """The share each source really reaches, with its documents, copies and greatest repeat; and how many tokens it lacks
+    of its target share of the total (``total_tokens`` if given), beyond what its copies can give."""
+    got = mixture(documents, mix_targets, vocabulary, total_tokens).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_repeats"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
+    out = mix_targets.select("source", "target_share", "max_repeats").distinct().join(got, "source", "left").fillna(0, ["n_documents", "n_copies", "most_repeats", "tokens"])
+    one = Window.partitionBy()  # a row per source
+    goal = F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))
+    total = F.sum("tokens").over(one) if total_tokens is None else F.lit(float(total_tokens))
+    out = out.withColumn("share", F.col("tokens") / F.nullif(F.sum("tokens").over(one), F.lit(0)))
+    return out.withColumn("lacks", F.greatest(F.lit(0.0), goal / F.nullif(F.sum(goal).over(one), F.lit(0.0)) * total - F.col("tokens")))

@@ -349,16 +349,16 @@ def _split(text: str) -> list[str]:
     return words if text.isascii() else [x for w in words for x in (WRITING.findall(w) or (w,))]
 
 
-def corpus_words(documents: DataFrame, text: str = "text", share: float = SPREAD) -> Words:
+def corpus_words(documents: DataFrame, text: str = "text", share: float = SPREAD, key: str = "doc_id") -> Words:
     """Words known to the corpus and its sentence words, from the number of documents that hold them.
 
     Shares are those of the documents in the word's own writing (Latin, Cyrillic and so on)."""
-    rows = spread(documents.select(text), text)
+    rows = spread(documents.select(key, text), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spread_over, counts = Counter(), (Counter(), Counter())
-            for t in b.column(0).to_pylist():
+            for t in b.column(1).to_pylist():
                 if not t or len(SYMBOL.findall(t)) > 0.02 * len(t):
                     continue
                 t = APART.sub(", ", t.lower() if t.isascii() else HIDDEN.sub("", unicodedata.normalize("NFKC", t)).lower())
@@ -393,7 +393,7 @@ def _writing(word: str) -> str:
 
 def stuffed(documents: DataFrame, key: str = "doc_id", text: str = "text", words: Words | None = None) -> DataFrame:
     """(key, score, n_terms, stuffed) for every row. Words are those of the documents themselves unless given."""
-    data = documents.sparkSession.sparkContext.broadcast(corpus_words(documents, text) if words is None else words)
+    data = documents.sparkSession.sparkContext.broadcast(corpus_words(documents, text, key=key) if words is None else words)
     rows = spread(documents.select(key, text), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,12 +112,38 @@ def test_mixture(spark):
 
 
 def test_newton_with_log_weights(spark):
-    sums = spark.createDataFrame([("a", 0.0, 100), ("a", 2.0, 50), ("b", -1.0, 30)], "source string, b double, tokens long")
-    m = mixing.solve(sums, {"a": 90.0, "b": 60.0}, {"a": 1.0, "b": 2.0})
     import math
 
-    f = lambda x: 1 / (1 + math.exp(-x))
-    assert abs(100 * f(m["a"]) + 50 * f(2 + m["a"]) - 90) < 1e-5 and m["b"] == math.inf
+    rng = random.Random(4)
+    rows = [(x, rng.choice([-2.0, 0.0, 1.5]), rng.randrange(1, 3000), rng.randrange(1, 9)) for x in "abcd" for _ in range(60)]
+    sums = spark.createDataFrame(rows, "source string, b double, tokens long, n long")
+    caps, whole = {"a": 1.0, "b": 4.0, "c": 2.0, "d": 3.0}, {x: sum(t * n for y, _, t, n in rows if y == x) for x in "abcd"}
+    budgets = {"a": 0.6 * whole["a"], "b": 3.9 * whole["b"], "c": 1e-7 * whole["c"], "d": 3.0 * whole["d"]}
+    m = mixing.solve(sums, budgets, caps)
+    value = lambda s, x: sum(t * n * min(caps[s], math.exp(min(600.0, b + x * t))) for y, b, t, n in rows if y == s)
+    for s in "abc":  # brute force by bisection
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if value(s, mid) < budgets[s] else (low, mid)
+        assert abs(value(s, m[s]) / budgets[s] - 1) < 1e-8 and abs(m[s] - low) < 1e-6
+    assert m["d"] == math.inf
+    with pytest.raises(ArithmeticError):
+        mixing.solve(sums, {"a": 0.6 * whole["a"]}, {"a": 1.0}, rounds=1)
+
+
+def test_rates_are_tilted_by_tokens(spark):
+    import math
+
+    rows = [(i, "gene " * (1 + i % 40), "a" if i % 3 else "b", 1.0) for i in range(900)]
+    targets = spark.createDataFrame([("a", 0.5, 50), ("b", 0.5, 50)], "source string, target_share double, max_repeats int")
+    got = mixing.mixture(spark.createDataFrame(rows, DOC), targets, total_tokens=14_000.0).collect()
+    for s in "ab":
+        r = {x["n_tokens"]: math.log(x["rate"]) for x in got if x["source"] == s}
+        tilt = {round(y / t, 9) for t, y in r.items()}
+        assert len(r) > 5 and len(tilt) == 1 and len(set(r.values())) == len(r)  # one multiplier, as many rates as sizes
+    lack = mixing.shares(spark.createDataFrame(rows, DOC), targets, total_tokens=1e9).collect()
+    assert all(x["lacks"] > 1e8 for x in lack) and abs(sum(x["share"] for x in lack) - 1) < 1e-9
 
 
 SPAM = [
