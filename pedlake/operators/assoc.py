@@ -167,36 +167,58 @@ def adjust(df: DataFrame, p: str = "p") -> DataFrame:
 
 def genomic_control(df: DataFrame, stat: str) -> DataFrame:
     """lambda = median of the statistics / 0.456, at least 1, and the number of statistics."""
-    return df.where(F.col(stat).isNotNull()).agg(F.greatest(F.percentile(stat, 0.5) / 0.456, F.lit(1.0)).alias("lambda"), F.count(F.lit(1)).alias("n"))
+    return df.where(F.col(stat).isNotNull()).agg(F.greatest(F.percentile(stat, 0.5) / 0.456, F.lit(1.0)).alias("lambda"), F.count(F.lit(1)).alias("n"))  # counts of distinct values are combined map-side
+
+
+def epistasis_z(m: DataFrame) -> DataFrame:
+    """Pair tables of cases and controls to allele tables and z, the difference of their log odds ratios."""
+    alleles = {"11": lambda i, j: i * j, "10": lambda i, j: i * (2 - j), "01": lambda i, j: (2 - i) * j, "00": lambda i, j: (2 - i) * (2 - j)}
+    d = {f"{s}_{k}": sum(F.col(f"{s}{i}{j}") * f(i, j) for i in range(3) for j in range(3) if f(i, j)) for s in "au" for k, f in alleles.items()}
+    t = m.select("gene", "vidx1", "vidx2", *(x.alias(k) for k, x in d.items()))
+    d = {k: F.col(k).cast("double") for k in d}
+    lor = {s: F.log(d[f"{s}_11"] * d[f"{s}_00"] / (d[f"{s}_10"] * d[f"{s}_01"])) for s in "au"}
+    return t.withColumn("z", F.when(F.least(*d.values()) > 0, F.abs(lor["a"] - lor["u"]) / F.sqrt(sum(1 / x for x in d.values()))))
 
 
 def quick_epistasis(c: Cohort, trait: str) -> DataFrame:
-    """Pairs of variants within a gene: difference of log odds ratios of allele tables in cases and controls.
+    """Pairs of variants within a gene: difference of log odds ratios of allele tables in cases and controls."""
+    from pedlake.operators.blocks import pair_tables
 
-    Pairs are formed inside genes by an equi join on (gene, iid): their number follows the gene sizes.
-    """
-    y = c.trait(trait).where(F.col("val").isin(CASE, CONTROL)).select("iid", (F.col("val") == CASE).alias("case"))
-    g = c.called().join(c.sets, "vidx").join(y, "iid").select("gene", "iid", "case", "vidx", "g")
-    b = g.select("gene", "iid", F.col("vidx").alias("vidx2"), F.col("g").alias("g2"))
-    t = g.withColumnsRenamed({"vidx": "vidx1", "g": "g1"}).join(b, ["gene", "iid"]).where("vidx1 < vidx2")
-    cell = {"11": F.col("g1") * F.col("g2"), "10": F.col("g1") * (2 - F.col("g2")), "01": (2 - F.col("g1")) * F.col("g2"), "00": (2 - F.col("g1")) * (2 - F.col("g2"))}
-    aggs = [F.coalesce(F.sum(F.when(F.col("case") == v, x.cast("long"))), F.lit(0)).alias(f"{side}_{k}") for side, v in (("a", True), ("u", False)) for k, x in cell.items()]
-    m = t.groupBy("gene", "vidx1", "vidx2").agg(*aggs)
-    d = {f"{s}_{k}": F.col(f"{s}_{k}").cast("double") for s in "au" for k in cell}
-    full = F.least(*d.values()) > 0
-    lor = {s: F.log(d[f"{s}_11"] * d[f"{s}_00"] / (d[f"{s}_10"] * d[f"{s}_01"])) for s in "au"}
-    se = F.sqrt(sum(1 / x for x in d.values()))
-    return m.select("gene", "vidx1", "vidx2", *(F.col(k) for k in d), F.when(full, F.abs(lor["a"] - lor["u"]) / se).alias("z"))
+    return epistasis_z(pair_tables(c, trait))
+
+
+def quick_epistasis_queries(c: Cohort, trait: str, queries: DataFrame, block: int = 512) -> DataFrame:
+    """Each query variant against all other variants, whatever their genes, in blocks of about ``block`` variants."""
+    from pedlake.operators.blocks import pair_tables
+
+    n = max(1, -(-c.variants.count() // block))
+    ids = c.variants.select("vidx", F.pmod(F.xxhash64("vidx"), F.lit(n)).cast("string").alias("gene"))
+    asked = queries.select("vidx").distinct().join(ids.select("gene").distinct())  # the queries stand in each block once
+    return epistasis_z(pair_tables(c, trait, ids.select("gene", "vidx").unionByName(asked.select("gene", "vidx")).distinct(), queries)).drop("gene").distinct()
+
+
+def epistasis_summary(pairs: DataFrame, p: float = 0.0001) -> DataFrame:
+    """Per variant: pairs tested, pairs below p, their share, and the best partner with its z."""
+    both = pairs.select(F.col("vidx1").alias("vidx"), F.col("vidx2").alias("other"), "z").unionByName(pairs.select(F.col("vidx2").alias("vidx"), F.col("vidx1").alias("other"), "z")).where("z is not null").distinct()
+    best = both.groupBy("vidx").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("z") > z_above(p)).alias("n_sig"), F.max_by("other", F.struct("z", -F.col("other"))).alias("best"), F.max("z").alias("best_z"))
+    return best.select("vidx", "n_sig", "n_total", (F.col("n_sig") / F.col("n_total")).alias("prop"), "best", "best_z")
+
+
+def z_above(p: float) -> float:
+    """The z above which a two-sided normal p-value is below p."""
+    from pedlake.functions.special import norm_quantile
+
+    return float(-norm_quantile(p / 2))
 
 
 def mdr(c: Cohort, trait: str, top: int = 20) -> DataFrame:
     """Two-way multifactor dimensionality reduction within genes: a cell of two genotypes is high-risk if it has
     more cases than controls; the score is the share classified right. The ``top`` pairs by score."""
-    y = c.trait(trait).where(F.col("val").isin(CASE, CONTROL)).select("iid", (F.col("val") == CASE).alias("case"))
-    g = c.called().join(c.sets, "vidx").join(y, "iid").select("gene", "iid", "case", "vidx", "g")
-    b = g.select("gene", "iid", F.col("vidx").alias("vidx2"), F.col("g").alias("g2"))
-    cells = g.withColumnsRenamed({"vidx": "vidx1", "g": "g1"}).join(b, ["gene", "iid"]).where("vidx1 < vidx2").groupBy("vidx1", "vidx2", "gene", "g1", "g2").agg(F.count_if("case").alias("a"), F.count_if(~F.col("case")).alias("u"))
-    score = cells.groupBy("gene", "vidx1", "vidx2").agg(F.sum(F.col("a") + F.col("u")).alias("n"), F.sum(F.greatest("a", "u")).alias("n_right"))
+    from pedlake.operators.blocks import CELLS, pair_tables
+
+    m = pair_tables(c, trait)
+    a, u = ({(i, j): F.col(f"{s}{i}{j}") for i, j in CELLS} for s in "au")
+    score = m.select("gene", "vidx1", "vidx2", sum(a[k] + u[k] for k in CELLS).alias("n"), sum(F.greatest(a[k], u[k]) for k in CELLS).alias("n_right"))
     out = score.withColumn("score", F.col("n_right") / F.col("n"))
     return out.orderBy(F.desc("score"), F.desc("n"), "gene", "vidx1", "vidx2").limit(top)
 

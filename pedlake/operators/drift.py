@@ -42,10 +42,11 @@ def _data_lines(lines: DataFrame) -> DataFrame:
 
 
 def file_fields(lines: DataFrame) -> DataFrame:
-    """(center, file_id, received_at, fields array<struct<name,type_rank>>), a row per file."""
-    ranks = F.transform("fmt", lambda f, i: F.struct(f.alias("name"), F.coalesce(F.array_max(F.transform("cells", lambda x: rank(F.get(x, i)))), F.lit(0)).alias("rank")))
-    found = _data_lines(lines).select("file_id", F.explode(ranks).alias("f")).groupBy("file_id", F.col("f.name").alias("name")).agg(F.greatest(F.max("f.rank"), F.lit(1)).alias("rank"))
-    fields = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("name", "rank"))).alias("fields"))
+    """(center, file_id, received_at, fields array<struct<name,rank,wide>>), a row per file; wide tells of values that
+    are too long for a 64-bit number."""
+    ranks = F.transform("fmt", lambda f, i: F.struct(f.alias("name"), F.coalesce(F.array_max(F.transform("cells", lambda x: rank(F.get(x, i)))), F.lit(0)).alias("rank"), F.exists("cells", lambda x: F.coalesce(F.length(F.get(x, i)) > 18, F.lit(False))).alias("wide")))
+    found = _data_lines(lines).select("file_id", F.explode(ranks).alias("f")).groupBy("file_id", F.col("f.name").alias("name")).agg(F.greatest(F.max("f.rank"), F.lit(1)).alias("rank"), F.bool_or("f.wide").alias("wide"))
+    fields = found.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("name", "rank", "wide"))).alias("fields"))
     files = lines.groupBy("file_id").agg(F.min("center").alias("center"), F.min("received_at").alias("received_at"))
     nothing = F.array().cast(dict(fields.dtypes)["fields"])
     return files.join(fields, "file_id", "left").select("center", "file_id", "received_at", F.coalesce("fields", nothing).alias("fields"))
@@ -131,7 +132,8 @@ def calls(lines: DataFrame) -> DataFrame:
     """One row per sample cell of all files, with a typed column for each field of the union schema.
 
     Columns center, file_id, line_id, sample_no, chrom, pos, variant, ref, alt, then the fields by
-    name, cast to the lowest type of the lattice that holds all values of all files. Names that a
+    name, cast to the lowest type of the lattice that holds all values of all files; whole numbers that don't fit
+    64 bits make a field a string, a position that is no number is null. Names that a
     center changed are read under the name most files use. The driver learns the names of the fields and
     their types only: the schema of the result.
     """
@@ -139,8 +141,8 @@ def calls(lines: DataFrame) -> DataFrame:
     files = scratch.cut(file_fields(lines))
     names = scratch.cut(one_name(files))
     kept = F.coalesce(F.try_element_at("names", F.col("f.name")), F.col("f.name"))
-    union = files.join(names, "center", "left").select("names", F.explode("fields").alias("f")).groupBy(kept.alias("name")).agg(F.max("f.rank").alias("rank"))
-    schema = sorted((r["name"], TYPES[r["rank"] - 1]) for r in union.collect())
+    union = files.join(names, "center", "left").select("names", F.explode("fields").alias("f")).groupBy(kept.alias("name")).agg(F.max("f.rank").alias("rank"), F.bool_or("f.wide").alias("wide"))
+    schema = sorted((r["name"], "string" if r["rank"] == 1 and r["wide"] else TYPES[r["rank"] - 1]) for r in union.collect())
     fixed = ["center", "file_id", "line_id"]
     data = _data_lines(lines.select(*fixed, "raw_line").distinct()).join(names, "center", "left")
     data = data.withColumn("fmt", F.when(F.col("names").isNull(), F.col("fmt")).otherwise(F.transform("fmt", lambda f: F.coalesce(F.try_element_at("names", f), f))))
@@ -150,7 +152,7 @@ def calls(lines: DataFrame) -> DataFrame:
     def value(name: str, kind: str) -> Column:
         v = F.get("cell", F.array_position("fmt", name).cast("int") - 1)
         v = F.when((F.array_position("fmt", name) > 0) & ~missing(v), v)
-        return v.cast(SPARK_TYPES[kind]).alias(name)
+        return v.try_cast(SPARK_TYPES[kind]).alias(name)
 
     taken = {"center", "file_id", "line_id", "sample_no", "chrom", "pos", "variant", "ref", "alt"}
     fields = []
@@ -160,4 +162,4 @@ def calls(lines: DataFrame) -> DataFrame:
             column = f"field_{column}"
         taken.add(column.lower())
         fields.append(value(n, k).alias(column))
-    return cell.select(*fixed, "sample_no", at(0).alias("chrom"), at(1).cast("bigint").alias("pos"), at(2).alias("variant"), at(3).alias("ref"), at(4).alias("alt"), *fields)
+    return cell.select(*fixed, "sample_no", at(0).alias("chrom"), at(1).try_cast("bigint").alias("pos"), at(2).alias("variant"), at(3).alias("ref"), at(4).alias("alt"), *fields)

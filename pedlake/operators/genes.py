@@ -140,7 +140,8 @@ def neighbours_ld(c: Cohort, k: int = 2) -> DataFrame:
     """r and r squared between each variant and the next k of its chromosome, over samples with both calls."""
     w = Window.partitionBy("chrom").orderBy("pos", "vidx")
     order = c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", F.row_number().over(w).alias("i"))
-    pairs = order.alias("a").withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("i") + k))).join(order.select(F.col("vidx").alias("vidx2"), F.col("chrom").alias("chrom2"), F.col("i").alias("j")), "j").where("chrom = chrom2").select("vidx", "vidx2")
+    step = order.select("vidx", "chrom", F.explode(F.sequence(F.col("i") + 1, F.col("i") + k)).alias("i"))
+    pairs = step.join(order.select(F.col("vidx").alias("vidx2"), "chrom", "i"), ["chrom", "i"]).select("vidx", "vidx2")
     g = c.called()
     t = g.join(pairs, "vidx").join(g.select(F.col("vidx").alias("vidx2"), "iid", F.col("g").alias("h")), ["vidx2", "iid"])
     x, y = F.col("g").cast("double"), F.col("h").cast("double")

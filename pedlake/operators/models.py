@@ -21,9 +21,20 @@ from pedlake.operators.cohort import Cohort
 MOST_SAMPLES = 10_000
 
 
+def _singular(m: np.ndarray) -> bool:
+    """Whether a matrix of sums of products is singular once its diagonal is scaled to 1."""
+    d = np.sqrt(np.diag(m))
+    if not np.all(d > 0):
+        return True
+    val = np.linalg.eigvalsh(m / np.outer(d, d))
+    return val[0] < 1e-10 * val[-1]
+
+
 def linear_covariates(c: Cohort, trait: str, covariates: list[str], interaction: bool = False) -> DataFrame:
     """y ~ 1 + covariates + g [+ g x covariates] per variant, from sums of products: beta, t and p of each term.
 
+    A variant that can't be fitted has null values and the reason: too few ``samples`` or ``collinear`` terms.
+
     Sums are partial aggregates of k (k + 3) / 2 numbers per variant for k terms; a small solve per variant follows.
     """
     y = c.trait(trait).withColumnRenamed("val", "y")
@@ -39,6 +50,8 @@ def linear_covariates(c: Cohort, trait: str, covariates: list[str], interaction:
     sums = F.array(*(F.sum(x[i] * x[j]) for i, j in cells))
     t = c.called().join(y, "iid").groupBy("vidx").agg(F.count(F.lit(1)).alias("n"), sums.alias("xx"), F.array(*(F.sum(v * F.col("y")) for v in x)).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"))
 
+    none = lambda x: None if x != x else float(x)
+
     def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
@@ -47,21 +60,27 @@ def linear_covariates(c: Cohort, trait: str, covariates: list[str], interaction:
                 for (i, j), s in zip(cells, xx):
                     m[i, j] = m[j, i] = s
                 df = n - k
-                if df <= 0 or np.linalg.matrix_rank(m) < k:
+                reason = "samples" if df <= 0 else "collinear" if _singular(m) else None
+                if reason:
+                    out += [(vidx, n, name, None, None, None, reason) for name in terms]
                     continue
                 inv = np.linalg.inv(m)
                 b = inv @ xy
                 s2 = max(0.0, yy - b @ xy) / df
                 se = np.sqrt(s2 * np.diag(inv))
                 stat = np.divide(b, se, out=np.full(k, np.nan), where=se > 0)
-                out += [(vidx, n, name, b[i], stat[i], p) for i, (name, p) in enumerate(zip(terms, special.t_sf2(stat, df)))]
-            yield pd.DataFrame(out, columns=["vidx", "n", "term", "beta", "stat", "p_regr"])
+                out += [(vidx, n, name, b[i], none(stat[i]), none(p), None) for i, (name, p) in enumerate(zip(terms, special.t_sf2(stat, df)))]
+            yield pd.DataFrame(out, columns=["vidx", "n", "term", "beta", "stat", "p_regr", "reason"]).astype({c: "Float64" for c in ("beta", "stat", "p_regr")})
 
-    return t.mapInPandas(solve, "vidx long, n long, term string, beta double, stat double, p_regr double")
+    return t.mapInPandas(solve, "vidx long, n long, term string, beta double, stat double, p_regr double, reason string")
 
 
 def logistic(c: Cohort, trait: str, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """case ~ 1 + g per variant by Newton steps on the 2 x 3 table, which is sufficient; Wald z and p."""
+    """case ~ 1 + g per variant by Newton steps on the 2 x 3 table, which is sufficient; Wald z and p.
+
+    Where no fit exists, values are null and the reason is given: ``groups`` (no cases, no controls or one genotype
+    only) or ``separation`` (steps that don't settle, as when carriers are all cases).
+    """
 
     def fit(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = np.array([0.0, 1.0, 2.0])
@@ -86,15 +105,18 @@ def logistic(c: Cohort, trait: str, rounds: int = 20, tolerance: float = 1e-6) -
                     if not live.any():
                         break
                 z = b1 / np.sqrt(h00 / det)
-            good = ok & ~live & np.isfinite(z)
-            out = pdf[["vidx"]].assign(n_iter=turns, beta=b1, stat=z, p_regr=2 * special.norm_sf(np.abs(np.where(good, z, 0))))
-            yield out[good]
+            good = ok & ~live & np.isfinite(z) & (np.abs(b1) < 15)
+            p = 2 * special.norm_sf(np.abs(np.where(good, z, 0)))
+            value = lambda x: pd.array(np.where(good, x, 0.0), dtype="Float64").copy()
+            out = pdf[["vidx"]].assign(n_iter=turns, beta=value(b1), stat=value(z), p_regr=value(p), reason=np.where(good, None, np.where(ok, "separation", "groups")))
+            out.loc[~good, ["beta", "stat", "p_regr"]] = pd.NA
+            yield out
 
-    return case_counts(c, trait).mapInPandas(fit, "vidx long, n_iter int, beta double, stat double, p_regr double")
+    return case_counts(c, trait).mapInPandas(fit, "vidx long, n_iter int, beta double, stat double, p_regr double, reason string")
 
 
 def _matrix(calls: DataFrame, order: dict[str, int]) -> DataFrame:
-    """(vidx, x array<double>) standardized, a place per sample, missing 0; variants with frequency in (0, 1)."""
+    """(vidx, x array<double>) standardized, a place per sample, missing NaN; variants with frequency in (0, 1)."""
     n = len(order)
 
     def rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +127,7 @@ def _matrix(calls: DataFrame, order: dict[str, int]) -> DataFrame:
                 g = np.array([r["g"] for r in cells], float)
                 p = g.mean() / 2
                 if 0 < p < 1:
-                    x = np.zeros(n)
+                    x = np.full(n, np.nan)
                     x[i] = (g - 2 * p) / np.sqrt(2 * p * (1 - p))
                     out.append((vidx, x))
             yield pd.DataFrame(out, columns=["vidx", "x"])
@@ -130,8 +152,9 @@ def relationship(c: Cohort, iids: list[str]) -> np.ndarray:
         for pdf in it:
             if len(pdf):
                 x = np.vstack(pdf["x"].to_numpy())
+                seen = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
                 total += x.T @ x
-                seen = (x != 0).astype(float)
                 count += seen.T @ seen
         yield pd.DataFrame({"i": np.arange(n), "total": list(total), "count": list(count)})
 
@@ -199,7 +222,7 @@ def mixed_scan(c: Cohort, y: dict[str, float], k: np.ndarray, iids: list[str]) -
         for pdf in it:
             if not len(pdf):
                 continue
-            g = np.vstack(pdf["x"].to_numpy()) @ vec
+            g = np.nan_to_num(np.vstack(pdf["x"].to_numpy())) @ vec
             xx, xy = (xr * xr / d).sum(), (xr * yr / d).sum()
             gx, gg, gy = (g * xr / d).sum(1), (g * g / d).sum(1), (g * yr / d).sum(1)
             pxx, pxy = gg - gx * gx / xx, gy - gx * xy / xx

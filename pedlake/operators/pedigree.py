@@ -83,13 +83,21 @@ def pair_counts(c: Cohort) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def consanguineous(c: Cohort) -> DataFrame:
-    """Couples with children who share a named grandparent or parent of theirs: both mates have a parent in common."""
+def consanguineous(c: Cohort, generations: int = 2) -> DataFrame:
+    """Couples with children whose nearest common ancestor, either mate included, is at most ``generations`` up
+    from both, with the least sum of both distances."""
     couples = c.samples.where("pat is not null and mat is not null").select("pat", "mat").distinct()
     links = _links(c)
-    a = couples.join(links.select(F.col("iid").alias("pat"), F.col("parent").alias("p1")), "pat")
-    shared = a.join(links.select(F.col("iid").alias("mat"), F.col("parent").alias("p1")), ["mat", "p1"])
-    return shared.select("pat", "mat").distinct()
+    mates = couples.select(F.explode(F.array("pat", "mat")).alias("iid")).distinct()
+    up = mates.select("iid", F.col("iid").alias("top"), F.lit(0).alias("d"))
+    lines = [up]
+    for d in range(1, generations + 1):  # at most 2 ** d rows a mate
+        up = up.join(links.select(F.col("iid").alias("top"), "parent"), "top").select("iid", F.col("parent").alias("top"), F.lit(d).alias("d")).distinct()
+        lines.append(up)
+    ancestors = reduce(DataFrame.unionByName, lines)
+    a = couples.join(ancestors.select(F.col("iid").alias("pat"), "top", F.col("d").alias("d1")), "pat")
+    shared = a.join(ancestors.select(F.col("iid").alias("mat"), "top", F.col("d").alias("d2")), ["mat", "top"])
+    return shared.groupBy("pat", "mat").agg(F.min(F.col("d1") + F.col("d2")).alias("distance"))
 
 
 def _corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:

@@ -110,13 +110,13 @@ def _sparse_weights(up: list[tuple[int, ...]], have: np.ndarray, *values: np.nda
     return out
 
 
-def kinship_weights(c: Cohort, values: DataFrame) -> DataFrame:
+def kinship_weights(c: Cohort, values: DataFrame, ped: DataFrame | None = None) -> DataFrame:
     """(iid, a, one): the samples with a value, with the entries of inv(Phi) y and of inv(Phi) 1.
 
     values: (iid, val). Phi is twice the kinship of the valued members of a pedigree; a pedigree with a
     cycle counts as unrelated. A task gets whole pedigrees.
     """
-    rows = pedigrees(c).join(values, "iid", "left")
+    rows = (pedigrees(c) if ped is None else ped).join(values, "iid", "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -172,14 +172,32 @@ def qls_kinship(c: Cohort, trait: str) -> DataFrame:
     return out.withColumn("p_qls", z_p("stat"))
 
 
-def mqls(c: Cohort, trait: str, prevalence: float = 0.1) -> DataFrame:
-    """More powerful quasi-likelihood score: cases 1, controls -K / (1 - K), unknown 0, with kinship weights."""
+def coded_phenotype(c: Cohort, trait: str, prevalence: float = 0.1, plain: bool = False) -> DataFrame:
+    """(iid, val) of every sample: cases 1, controls -K / (1 - K), unknown 0; ``plain``: 1, 0 and K."""
     y = c.trait(trait)
-    coded = c.samples.select("iid").join(y, "iid", "left").select("iid", F.when(F.col("val") == CASE, 1.0).when(F.col("val") == CONTROL, -prevalence / (1 - prevalence)).otherwise(0.0).alias("val"))
+    case, control, unknown = (1.0, 0.0, prevalence) if plain else (1.0, -prevalence / (1 - prevalence), 0.0)
+    return c.samples.select("iid").join(y, "iid", "left").select("iid", F.when(F.col("val") == CASE, case).when(F.col("val") == CONTROL, control).otherwise(unknown).alias("val"))
+
+
+def mqls(c: Cohort, trait: str, prevalence: float = 0.1, plain: bool = False) -> DataFrame:
+    """More powerful quasi-likelihood score of the coded phenotype a over called samples (``plain``: of 1, 0, K):
+
+    T = sum a (g - p) / sqrt((a' Phi a - (sum a)^2 / (1' inv(Phi) 1)) p (1 - p / 2)), p the kinship-weighted mean.
+    a' Phi a is summed over called pairs of relatives, which have a row each; nothing else meets in pairs.
+    """
+    coded = coded_phenotype(c, trait, prevalence, plain)
     scratch = Scratch(c.samples.sparkSession, "mqls")
-    w = scratch.cut(kinship_weights(c, coded).select("iid", F.col("val").alias("a"), "one"))
-    t = c.called().join(w, "iid")
-    m = t.groupBy("vidx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * F.col("g")).alias("xa"), F.sum("a").alias("sa"), F.sum(F.col("a") * F.col("a")).alias("aa"), (F.sum(F.col("one") * F.col("g")) / F.nullif(F.sum("one"), F.lit(0.0))).alias("p"), F.sum("one").alias("s1"))
+    ped = pedigrees(c)
+    w = scratch.cut(kinship_weights(c, coded, ped).select("iid", F.col("val").alias("a"), "one"))
+    pairs = scratch.cut(kinship_pairs(c, ped))
+    own = pairs.where("iid1 = iid2").select(F.col("iid1").alias("iid"), F.col("kinship2").alias("self"))
+    t = scratch.cut(c.called().join(w, "iid").join(own, "iid"))
+    m = t.groupBy("vidx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a") * F.col("g")).alias("xa"), F.sum("a").alias("sa"), F.sum(F.col("a") * F.col("a") * F.col("self")).alias("saa"), (F.sum(F.col("one") * F.col("g")) / F.nullif(F.sum("one"), F.lit(0.0))).alias("p"), F.sum("one").alias("s1"))
+    with_a = t.where("a != 0").select("vidx", "iid", "a")
+    kin = pairs.where("iid1 < iid2 and kinship2 != 0")
+    two = with_a.join(kin.withColumnRenamed("iid1", "iid"), "iid").join(with_a.select("vidx", F.col("iid").alias("iid2"), F.col("a").alias("b")), ["vidx", "iid2"])
+    off = two.groupBy("vidx").agg(F.sum(2 * F.col("a") * F.col("b") * F.col("kinship2")).alias("off"))
+    m = m.join(off, "vidx", "left").withColumn("aa", F.col("saa") + F.coalesce("off", F.lit(0.0)))
     var = (F.col("aa") - F.col("sa") * F.col("sa") / F.nullif("s1", F.lit(0.0))) * F.col("p") * (1 - F.col("p") / 2)
     out = m.select("vidx", "n", ((F.col("xa") - F.col("p") * F.col("sa")) / F.sqrt(F.when(var > 1e-12, var))).alias("stat"))
     return out.withColumn("p_mqls", z_p("stat"))
@@ -241,7 +259,7 @@ def prune(c: Cohort, window: int = 50, step: int = 5, r2: float = 0.5) -> DataFr
     """Variants kept by pairwise LD pruning: in each window the later of a pair above r2 goes.
 
     Windows of ``window`` variants start every ``step``; a pair is judged in the first window that holds
-    both. Only pairs less than a window apart are correlated, by an equi join on (block, sample), where a
+    both, if any does, and windows one after the other. Only pairs less than a window apart are correlated, by an equi join on (block, sample), where a
     block is twice a window long; the order-dependent part runs over the pairs found, per chromosome.
     """
     w = Window.partitionBy("chrom").orderBy("pos", "vidx")
@@ -254,11 +272,12 @@ def prune(c: Cohort, window: int = 50, step: int = 5, r2: float = 0.5) -> DataFr
     m = t.groupBy("chrom", "vidx", "i", "v2", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
     n = F.col("n")
     vx, vy, cxy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy"), n * F.col("sxy") - F.col("sx") * F.col("sy")
-    pairs = m.where((vx > 0) & (vy > 0) & (cxy * cxy > F.lit(r2) * vx * vy)).select("chrom", "vidx", "i", "v2", "j")
+    start = F.greatest(F.lit(0), F.ceil((F.col("j") - window) / F.lit(step)) * step)  # places count from 1, so j is the (j - 1)th
+    pairs = m.where((vx > 0) & (vy > 0) & (cxy * cxy > F.lit(r2) * vx * vy)).select("chrom", "vidx", "i", "v2", "j", start.alias("s")).where("s <= i - 1")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         gone: set[int] = set()
-        for a, z in pdf.sort_values(["i", "j"])[["vidx", "v2"]].itertuples(index=False):
+        for a, z in pdf.sort_values(["s", "i", "j"])[["vidx", "v2"]].itertuples(index=False):
             if a not in gone and z not in gone:
                 gone.add(z)
         return pd.DataFrame({"vidx": sorted(gone)}, dtype="int64")
@@ -267,39 +286,36 @@ def prune(c: Cohort, window: int = 50, step: int = 5, r2: float = 0.5) -> DataFr
     return order.select("vidx").join(dropped, "vidx", "left_anti")
 
 
-def _lasso(pdf: pd.DataFrame, lambdas: int) -> pd.DataFrame:
-    gene = pdf["gene"].iloc[0]
-    v, vi = np.unique(pdf["vidx"].to_numpy(), return_inverse=True)
-    s, si = np.unique(pdf["iid"].to_numpy(), return_inverse=True)
-    x, seen = np.zeros((len(s), len(v))), np.zeros((len(s), len(v)))
-    x[si, vi], seen[si, vi] = pdf["g"].to_numpy(float), 1
-    mean = x.sum(0) / np.maximum(1, seen.sum(0))
-    x = np.where(seen > 0, x - mean, 0.0)
-    y = np.zeros(len(s))
-    y[si] = pdf["val"].to_numpy(float)
-    y -= y.mean()
-    norm = (x**2).sum(0)
-    top = np.abs(x.T @ y).max() / len(s) if len(v) else 0.0
+def _lasso(gene: str, v: np.ndarray, n: int, xx: np.ndarray, xy: np.ndarray, lambdas: int) -> list[tuple]:
+    """Coordinate descent on the moments of centred genotypes and trait."""
+    norm = np.diag(xx)
+    top = np.abs(xy).max(initial=0.0) / n
     beta, out = np.zeros(len(v)), []
     for lam in top * np.logspace(0, -2, lambdas):
         for _ in range(200):
             before = beta.copy()
-            r = y - x @ beta
-            for j in np.nonzero(norm > 0)[0]:
-                r = r + x[:, j] * beta[j]
-                z = x[:, j] @ r
-                beta[j] = np.sign(z) * max(0.0, abs(z) - lam * len(s)) / norm[j]
-                r = r - x[:, j] * beta[j]
-            if np.abs(beta - before).max(initial=0) < 1e-7:
+            for j in np.nonzero(norm > 1e-9)[0]:
+                z = xy[j] - xx[j] @ beta + norm[j] * beta[j]
+                beta[j] = np.sign(z) * max(0.0, abs(z) - lam * n) / norm[j]
+            if np.abs(beta - before).max(initial=0) < 1e-9:
                 break
         out += [(gene, int(v[j]), float(lam), float(beta[j])) for j in np.nonzero(beta)[0]]
-    return pd.DataFrame(out, columns=["gene", "vidx", "lambda", "beta"])
+    return out
 
 
 def lasso(c: Cohort, trait: str, lambdas: int = 10) -> DataFrame:
-    """Lasso path per gene by coordinate descent, missing genotypes at the mean: the nonzero coefficients."""
-    t = c.called().join(c.sets, "vidx").join(c.trait(trait), "iid").select("gene", "vidx", "iid", "g", "val")
-    return t.groupBy("gene").applyInPandas(lambda pdf: _lasso(pdf, lambdas), "gene string, vidx long, lambda double, beta double")
+    """Lasso path per gene by coordinate descent, missing genotypes at the mean: the nonzero coefficients.
+
+    The fit needs the moments of a gene's variants only: sums over blocks of samples, V x V numbers a gene.
+    """
+    from pedlake.operators.blocks import moments
+
+    y = c.trait(trait)
+
+    def fit(gene, v, n, xx, xy, yy, mean):
+        return pd.DataFrame(_lasso(gene, v, n, xx, xy, lambdas), columns=["gene", "vidx", "lambda", "beta"])
+
+    return moments(c.called(), c.sets, y, fit, "gene string, vidx long, lambda double, beta double")
 
 
 def linkage(c: Cohort, thetas: tuple[float, ...] = (0.0, 0.01, 0.05, 0.1, 0.2, 0.3, 0.4)) -> DataFrame:
@@ -357,9 +373,9 @@ def inverse_normal(c: Cohort, trait: str, ranges: int = 256) -> DataFrame:
     return y.join(start, "range_").withColumn("rank", rank).select("iid", "val", "rank", norm_quantile((F.col("rank") - 0.5) / n).alias("z"))
 
 
-def kinship_pairs(c: Cohort) -> DataFrame:
+def kinship_pairs(c: Cohort, ped: DataFrame | None = None) -> DataFrame:
     """(iid1, iid2, kinship2): related pairs and each person with self, twice the kinship, within pedigrees."""
-    rows = pedigrees(c)
+    rows = pedigrees(c) if ped is None else ped
     scratch = Scratch(c.samples.sparkSession, "large")
     large = scratch.cut(rows.groupBy("pedigree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_MEMBERS).select("pedigree"))
     any_large = scratch.rows > 0

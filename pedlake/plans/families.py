@@ -51,7 +51,9 @@ SQL = {
   UNION ALL SELECT 'brother_sister', count(*) FROM sib WHERE (si = 1 AND sj = 2) OR (si = 2 AND sj = 1) UNION ALL SELECT 'grandparent', count(*) FROM l a JOIN l b ON a.parent = b.iid
   UNION ALL SELECT 'avuncular', count(*) FROM l JOIN (SELECT i, j FROM sib UNION ALL SELECT j, i FROM sib) q ON l.parent = q.i
   UNION ALL SELECT 'half_sib', (SELECT count(*) FROM bp) - 2 * (SELECT count(*) FROM sib) UNION ALL SELECT 'cousin', count(*) FROM l a JOIN sib ON sib.i = a.parent JOIN l b ON b.parent = sib.j""",
-    "consanguineous": _L + " SELECT DISTINCT k.pat, k.mat FROM k JOIN l a ON a.iid = k.pat JOIN l b ON b.iid = k.mat AND a.parent = b.parent",
+    "consanguineous": _L + """, m AS (SELECT DISTINCT pat, mat FROM k), x AS (SELECT DISTINCT unnest([pat, mat]) iid FROM m),
+  u AS (SELECT iid, iid top, 0 d FROM x UNION SELECT x.iid, l.parent, 1 FROM x JOIN l ON l.iid = x.iid UNION SELECT x.iid, b.parent, 2 FROM x JOIN l a ON a.iid = x.iid JOIN l b ON b.iid = a.parent)
+  SELECT m.pat, m.mat, min(a.d + b.d) distance FROM m JOIN u a ON a.iid = m.pat JOIN u b ON b.iid = m.mat AND a.top = b.top GROUP BY ALL""",
     "familial_correlation": _FC + " SELECT 'parent_offspring' relation, count(*) n_pair, CASE WHEN count(*) > 2 THEN corr(x, y) END r FROM po UNION ALL SELECT 'sib', count(*) // 2, CASE WHEN count(*) > 4 THEN corr(x, y) END FROM sb",
     "trait_summary": _W + " SELECT trait, sex, founder, count(*) n, avg(val) mean, stddev_samp(val) sd FROM p JOIN s USING (iid) WHERE val IS NOT NULL GROUP BY ALL",
     "ibs_relatives": _L + " SELECT l.iid, l.parent, count(*) n, avg(1 - abs(a.g - b.g) / 2.0::DOUBLE) ibs, avg((a.g <> b.g)::INT) hamming FROM l JOIN g a ON a.iid = l.iid JOIN g b ON b.iid = l.parent AND a.vidx = b.vidx WHERE a.g IS NOT NULL AND b.g IS NOT NULL GROUP BY ALL",

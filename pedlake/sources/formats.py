@@ -71,31 +71,39 @@ def number(df: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("n", base.cast("long") + F.col(order).bitwiseAND(F.lit((1 << 33) - 1))).drop("part_")
 
 
-def read_vcf(spark: SparkSession, path: str | list[str], field: str = "GT") -> tuple[DataFrame, DataFrame]:
-    """(variants, calls). Sites with more than two ALT alleles are left out; those with two only if no
-    called allele is the reference, and then the second ALT counts. ID ``.`` becomes chr:pos. g counts ALT alleles, null
-    if any allele is missing; ``field="DS"`` gives dosages d instead. Sample names come from the header."""
+def read_vcf(spark: SparkSession, path: str | list[str], field: str = "GT", phase: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(variants, calls), both with vidx, the number of the site in the order of files and lines. Sites with more than
+    two ALT alleles are left out; those with two only if no called allele is the reference, and then the second ALT
+    counts. ID ``.`` becomes chr:pos, ids may repeat; of a repeated INFO key the last value counts. g counts ALT
+    alleles, null if any allele is missing; ``field="DS"`` gives dosages d instead. ``phase`` keeps the genotypes
+    written with | ("phased") or / ("unphased") and makes others missing. Sample names come from the header."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), "_metadata.file_path")
-    head = lines.where(F.startswith("line", F.lit("#CHROM"))).select("file_path", F.slice(F.split("line", "\t"), 10, 1 << 30).alias("names"))
-    c = F.split("line", "\t")
+    head = lines.where(F.startswith("line", F.lit("#CHROM"))).select("file_path", F.slice(F.split(F.btrim("line", F.lit("\r")), "\t"), 10, 1 << 30).alias("names"))
+    c = F.split(F.btrim("line", F.lit("\r")), "\t")
     at = lambda i: F.get(c, F.lit(i))
-    rows = lines.where(~F.startswith("line", F.lit("#")) & (F.size(c) >= 8)).select("file_path", at(0).alias("chr"), at(1).try_cast("int").alias("pos"), at(2).alias("name"), at(3).alias("ref"), F.split(at(4), ",").alias("alt"), at(5).try_cast("double").alias("qual"), at(6).alias("filt"), at(7).alias("info"), F.split(at(8), ":").alias("fmt"), F.slice(c, 10, 1 << 30).alias("cells"))
+    rows = lines.where(~F.startswith("line", F.lit("#")) & (F.size(c) >= 8)).select("file_path", F.monotonically_increasing_id().alias("at"), at(0).alias("chr"), at(1).try_cast("int").alias("pos"), at(2).alias("name"), at(3).alias("ref"), F.split(at(4), ",").alias("alt"), at(5).try_cast("double").alias("qual"), at(6).alias("filt"), at(7).alias("info"), F.split(at(8), ":").alias("fmt"), F.slice(c, 10, 1 << 30).alias("cells"))
+    rows = number(rows, "at").withColumnRenamed("n", "vidx").drop("at")
     k = F.array_position("fmt", field).cast("int")
     raw = F.transform("cells", lambda x: F.get(F.split(x, ":"), k - 1))
     rows = rows.where(F.size("alt") <= 2).withColumn("raw", F.when(k > 0, raw))
     if field == "GT":
         alleles = F.transform("raw", lambda x: F.split(x, r"[/|]"))
+        if phase:
+            mark = {"phased": "|", "unphased": "/"}[phase]
+            alleles = F.transform("raw", lambda x: F.when(F.contains(x, F.lit(mark)), F.split(x, r"[/|]")).otherwise(F.array(F.lit("."))))
         reference = F.exists(alleles, lambda a: F.array_contains(a, "0"))
         rows = rows.withColumn("a", alleles).where((F.size("alt") == 1) | ~F.coalesce(reference, F.lit(False)))
     pairs = F.transform(F.split("info", ";"), lambda e: F.struct(F.get(F.split(e, "="), F.lit(0)).alias("k"), F.coalesce(F.get(F.split(e, "=", 2), F.lit(1)), F.lit("1")).alias("v")))
-    variants = rows.select(chromosome(F.col("chr")).alias("chrom"), F.when(F.col("name") == ".", F.concat_ws(":", "chr", "pos")).otherwise(F.col("name")).alias("id"), "pos", F.when(F.size("alt") == 1, F.col("ref")).otherwise(F.get("alt", F.lit(0))).alias("major"), F.element_at("alt", -1).alias("minor"), "qual", "filt", F.map_from_entries(F.array_distinct(pairs)).alias("info"))
-    long = rows.join(head, "file_path").select(F.when(F.col("name") == ".", F.concat_ws(":", "chr", "pos")).otherwise(F.col("name")).alias("id"), "names", F.size("alt").alias("n_alt"), F.posexplode("a" if field == "GT" else "raw").alias("i", "x"))
+    last = F.filter(F.col("pairs"), lambda p, i: ~F.exists(F.slice("pairs", i + 2, F.size("pairs")), lambda q: q["k"] == p["k"]))
+    name = F.when(F.col("name") == ".", F.concat_ws(":", "chr", "pos")).otherwise(F.col("name"))
+    variants = rows.withColumn("pairs", pairs).select("vidx", chromosome(F.col("chr")).alias("chrom"), name.alias("id"), "pos", F.when(F.size("alt") == 1, F.col("ref")).otherwise(F.get("alt", F.lit(0))).alias("major"), F.element_at("alt", -1).alias("minor"), "qual", "filt", F.map_from_entries(last).alias("info"))
+    long = rows.join(head, "file_path").select("vidx", name.alias("id"), "names", F.size("alt").alias("n_alt"), F.posexplode("a" if field == "GT" else "raw").alias("i", "x"))
     iid = F.get("names", F.col("i")).alias("iid")
     if field != "GT":
-        return variants, long.select("id", iid, F.col("x").try_cast("double").alias("d"))
+        return variants, long.select("vidx", "id", iid, F.col("x").try_cast("double").alias("d"))
     known = ~F.exists("x", lambda a: ~a.rlike(r"^[0-9]+$"))
     g = F.when(known & (F.size("x") <= 2), F.size(F.filter("x", lambda a: a == F.col("n_alt").cast("string"))))
-    return variants, long.select("id", iid, g.cast("tinyint").alias("g"))
+    return variants, long.select("vidx", "id", iid, g.cast("tinyint").alias("g"))
 
 
 def read_lgen(spark: SparkSession, path: str, minor: DataFrame) -> DataFrame:

@@ -78,3 +78,21 @@ def test_expression_variables_and_errors(spark):
     for bad in ("1 +", "(x", "x !", "x x"):
         with pytest.raises(ValueError):
             expression(bad)
+
+
+def test_large_shapes():
+    from pedlake.functions import special
+
+    assert abs(float(special.chi2_sf(1e6, 1e6)) - 0.49981193) < 1e-7 and abs(float(special.chi2_sf(1e8, 1e8)) - 0.49998119) < 1e-7
+    a = np.full(7, 15_000.0)
+    x = a * np.array([0.97, 0.99, 0.9999, 1.0, 1.0001, 1.01, 1.03])
+    assert np.allclose(special._large_gamma_q(a, x), special.gamma_q(a, x), rtol=1e-6)
+
+
+def test_normal_far_out():
+    from pedlake.functions import special
+
+    z = np.array([-8.0, -1.0, 0.0, 0.5, 3.0, 12.0, 30.0])
+    assert np.allclose(special.norm_sf(z), [0.5 * math.erfc(x / math.sqrt(2)) for x in z], rtol=1e-11)
+    p = np.array([1e-200, 1e-12, 0.02, 0.3, 0.5, 0.77, 1 - 1e-9])
+    assert np.allclose(special.norm_sf(-special.norm_quantile(p)), p, rtol=1e-9)

@@ -150,7 +150,7 @@ def test_prune_against_a_loop(spark, data):
     twin = c.calls.where("vidx = 4").selectExpr("100L vidx", "iid", "g").unionByName(c.calls.where("vidx = 4").selectExpr("102L vidx", "iid", "cast(2 - g as tinyint) g"))
     more = c.variants.where("vidx = 4").selectExpr("100L vidx", "chrom", "'x' id", "pos + 1 pos", "major", "minor", "qual", "filt", "anno", "info").unionByName(c.variants.where("vidx = 4").selectExpr("102L vidx", "chrom", "'y' id", "pos + 2 pos", "major", "minor", "qual", "filt", "anno", "info"))
     d = Cohort(c.samples, c.calls.unionByName(twin), c.traits, c.variants.unionByName(more), c.sets)
-    kept = {r["vidx"] for r in related.prune(d, window=3, r2=0.9).collect()}
+    kept = {r["vidx"] for r in related.prune(d, window=3, step=1, r2=0.9).collect()}
     assert kept == set(range(20))
 
 
@@ -258,3 +258,62 @@ def test_large_pedigrees_have_all_their_kinship(spark, monkeypatch, loops):
     got, got_w = pairs(), weights()
     assert [r[:2] for r in got] == [r[:2] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want])
     assert [r[0] for r in got_w] == [r[0] for r in want_w] and np.allclose([r[1:] for r in got_w], [r[1:] for r in want_w])
+
+
+def test_prune_steps(spark, data):
+    """Windows that start every ``step`` variants, against a loop over all windows."""
+    c, cells, _ = data
+    founders = [r["iid"] for r in c.samples.where("founder").collect()]
+    calls = {(r["vidx"], r["iid"]): r["g"] for r in c.calls.where("g is not null").collect()}
+    for window, step, r2 in ((4, 2, 0.02), (5, 5, 0.01), (6, 1, 0.03)):
+        gone = set()
+        for chrom in (1, 2):
+            order = [v for v in range(20) if 1 + v % 2 == chrom]
+            judged = set()
+            for s in range(0, len(order), step):
+                inside = order[s : s + window]
+                for i, a in enumerate(inside):
+                    for b in inside[i + 1 :]:
+                        both = [(calls[a, f], calls[b, f]) for f in founders if (a, f) in calls and (b, f) in calls]
+                        x, y = np.array(both, float).T
+                        if (a, b) not in judged and a not in gone and b not in gone and x.std() > 0 and y.std() > 0 and np.corrcoef(x, y)[0, 1] ** 2 > r2:
+                            gone.add(b)
+                        judged.add((a, b))
+        assert {r["vidx"] for r in related.prune(c, window, step, r2).collect()} == set(range(20)) - gone and gone
+
+
+def test_mqls_of_relatives(spark, data):
+    """Against the matrix formula on all called samples."""
+    c, cells, y = data
+    full = Cohort(c.samples, c.calls.where("vidx in (0, 3)").na.fill(1, ["g"]), c.traits, c.variants, c.sets)
+    ids = [r["iid"] for r in c.samples.collect()]
+    order, phi = models.kinship([(r["iid"], r["pat"], r["mat"]) for r in c.samples.collect()])
+    at = {k: i for i, k in enumerate(order)}
+    phi = phi[np.ix_([at[i] for i in ids], [at[i] for i in ids])]
+    a = np.array([1.0 if y[i] > 1.5 else -1 / 9 for i in ids])
+    h = np.linalg.solve(phi, np.ones(len(ids)))
+    for v in (0, 3):
+        called = {r["iid"]: r["g"] for r in full.calls.where(f"vidx = {v}").collect()}
+        g = np.array([called[i] for i in ids], float)
+        p = h @ g / h.sum()
+        t = (a @ g - p * a.sum()) / math.sqrt((a @ phi @ a - a.sum() ** 2 / h.sum()) * p * (1 - p / 2))
+        assert abs(related.mqls(full, "D").where(f"vidx = {v}").first()["stat"] - t) < 1e-9
+
+
+def test_fits_that_do_not_exist_keep_a_row(spark, data):
+    c, _, _ = data
+    few = Cohort(c.samples, c.calls.where("vidx = 1").selectExpr("900L vidx", "iid", "cast(0 as tinyint) g").unionByName(c.calls.where("vidx = 1").limit(2)), c.traits, c.variants, c.sets)
+    got = {r["vidx"]: (r["reason"], r["beta"]) for r in models.logistic(few, "D").collect()}
+    assert got[900] == ("groups", None) and set(got) == {1, 900}
+    rows = {(r["vidx"], r["term"]): (r["reason"], r["beta"], r["stat"]) for r in models.linear_covariates(few, "Y", ["C"]).collect()}
+    assert rows[900, "g"] == ("collinear", None, None) and rows[1, "g"] == ("samples", None, None)
+
+
+def test_relationship_counts_zeros(spark, data):
+    """A heterozygote at frequency one half is zero, yet called."""
+    c, _, _ = data
+    ids = ["a0", "b0", "e0", "a1"]
+    calls = spark.createDataFrame([(0, i, g) for i, g in zip(ids, (0, 1, 1, 2))] + [(1, i, g) for i, g in zip(ids, (0, 2, 0, 2))], "vidx long, iid string, g tinyint")
+    k = models.relationship(Cohort(c.samples, calls, c.traits, c.variants, c.sets), ids)
+    x = np.array([[(g - 1) / math.sqrt(0.5) for g in row] for row in ((0, 1, 1, 2), (0, 2, 0, 2))])
+    assert np.allclose(k, x.T @ x / 2)

@@ -77,3 +77,16 @@ def test_calls_have_one_schema(spark):
     assert dict(out.dtypes)["DS"] == "double" and "field_center" in out.columns and "DOS" not in out.columns
     got = sorted((r["file_id"], r["sample_no"], r["GT"], r["DS"]) for r in out.collect())
     assert got == [(1, 0, "0/0", 1.0), (1, 1, None, 2.0), (2, 0, "0/1", 3.0), (2, 1, None, None), (3, 0, "0/0", 0.5)]
+
+
+def test_values_that_do_not_fit(spark):
+    """Whole numbers over 64 bits make a field a string, a position that is no number is null."""
+    import datetime
+
+    from pedlake.operators import drift
+
+    t = datetime.datetime(2024, 1, 1)
+    lines = [(1, 1, "c", "f", t, 1, "1\t.\tx\tA\tG\t.\t.\t.\tGT:DP\t0/1:12345678901234567890\t0/0:5")]
+    df = spark.createDataFrame(lines, "line_id long, file_id long, center string, file_name string, received_at timestamp_ntz, line_no int, raw_line string")
+    got = drift.calls(df).orderBy("sample_no").collect()
+    assert [r["DP"] for r in got] == ["12345678901234567890", "5"] and got[0]["pos"] is None
