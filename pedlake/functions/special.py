@@ -239,3 +239,128 @@ def davies_sf(q: float, weights: np.ndarray) -> float:
             break
     p = 0.5 + total / math.pi
     return p if 1e-9 < p < 1 - 1e-12 else liu_sf(q, w)
+
+
+def normal_max_sf(z: float, corr: np.ndarray, draws: int = 20_000, seed: int = 1) -> float:
+    """P(max |Z| >= z) of correlated standard normals: nested conditional intervals over quasi-random points."""
+    n = len(corr)
+    if n == 1:
+        return float(2 * norm_sf(z))
+    root = np.linalg.cholesky(corr + 1e-9 * np.eye(n))
+    rng = np.random.default_rng(seed)
+    # Richtmyer's lattice, shifted and folded
+    steps = np.sqrt(_primes(n - 1))
+    u = np.abs(2 * ((np.outer(np.arange(1, draws + 1), steps) + rng.random(n - 1)) % 1.0) - 1)
+    x, inside = np.zeros((draws, n)), np.ones(draws)
+    for i in range(n):
+        mean = x[:, :i] @ root[i, :i]
+        low, high = norm_sf(-(-z - mean) / root[i, i]), norm_sf(-(z - mean) / root[i, i])
+        width = np.maximum(high - low, 0.0)
+        inside *= width
+        if i < n - 1:
+            x[:, i] = norm_quantile(np.clip(low + u[:, i] * width, 1e-300, 1 - 1e-16))
+    return float(min(1.0, max(1 - inside.mean(), 2 * float(norm_sf(z)))))
+
+
+def _primes(n: int) -> np.ndarray:
+    out, k = [], 2
+    while len(out) < n:
+        if all(k % p for p in out if p * p <= k):
+            out.append(k)
+        k += 1
+    return np.array(out, float)
+
+
+def best_mixture_p(q1: float, q2: float, df: int, draws: int = 20_000, grid: int = 11, seed: int = 1) -> float:
+    """p of the least p over mixtures r q1 + (1 - r) q2, where q2 is q1 and an independent chi-square with df - 1."""
+    if df < 2:
+        return float(chi2_sf(q2, df))
+    rng = np.random.default_rng(seed)
+    a, b = rng.chisquare(1, draws), rng.chisquare(df - 1, draws)
+    least_seen, least_null = 1.0, np.ones(draws)
+    for r in np.linspace(0, 1, grid):
+        mixed = np.sort(a + (1 - r) * b)
+        tail = lambda x: (draws - np.searchsorted(mixed, x, side="left") + 1) / (draws + 1)
+        least_seen = min(least_seen, float(tail(q1 + (1 - r) * max(q2 - q1, 0.0))))
+        least_null = np.minimum(least_null, tail(a + (1 - r) * b))
+    return float(((least_null <= least_seen).sum() + 1) / (draws + 1))
+
+
+def ks_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Two-sample Kolmogorov-Smirnov distance and its asymptotic p."""
+    both = np.sort(np.concatenate([x, y]))
+    d = float(np.abs(np.searchsorted(np.sort(x), both, side="right") / len(x) - np.searchsorted(np.sort(y), both, side="right") / len(y)).max())
+    n = len(x) * len(y) / (len(x) + len(y))
+    t = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
+    p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101)) if t > 0.2 else 1.0
+    return d, float(min(1.0, max(0.0, p)))
+
+
+def rank_sum_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Rank-sum z with ties at their mean rank, and its two-sided p."""
+    both = np.concatenate([x, y])
+    order = np.unique(both, return_inverse=True, return_counts=True)
+    upto = np.cumsum(order[2])
+    rank = (upto - (order[2] - 1) / 2)[order[1]]
+    m, n = len(x), len(both)
+    ties = float((order[2] ** 3 - order[2]).sum())
+    var = m * (n - m) / 12 * (n + 1 - ties / (n * (n - 1)))
+    z = (rank[:m].sum() - m * (n + 1) / 2) / math.sqrt(var) if var > 0 else 0.0
+    return float(z), float(2 * norm_sf(abs(z)))
+
+
+def fisher_exact_2x3_p(table: np.ndarray) -> float:
+    """Fisher's exact p of a 2 x 3 table: all tables with its margins that are as likely or less."""
+    t = np.asarray(table, int).reshape(2, 3)
+    k, r = t.sum(0), int(t[0].sum())
+    a, b = np.meshgrid(np.arange(k[0] + 1), np.arange(k[1] + 1), indexing="ij")
+    c = r - a - b
+    ok = (c >= 0) & (c <= k[2])
+    a, b, c = a[ok], b[ok], c[ok]
+    part = lambda n, x: lgamma(n + 1.0) - lgamma(x + 1.0) - lgamma(n - x + 1.0)
+    logp = part(k[0], a) + part(k[1], b) + part(k[2], c)
+    p = np.exp(logp - logp.max())
+    seen = p[(a == t[0, 0]) & (b == t[0, 1])][0]
+    return float(min(1.0, p[p <= seen * (1 + 1e-9)].sum() / p.sum()))
+
+
+def saddlepoint_sf(q: float, weights: np.ndarray) -> float:
+    """Tail of a weighted sum of chi-squares (1 df) by the saddlepoint formula of Kuonen."""
+    w = np.asarray(weights, float)
+    k = lambda t: -0.5 * np.log1p(-2 * t * w).sum()
+    k1, k2 = (lambda t: (w / (1 - 2 * t * w)).sum()), (lambda t: 2 * (w * w / (1 - 2 * t * w) ** 2).sum())
+    top = 1 / (2 * w.max()) if w.max() > 0 else np.inf
+    lo, hi = -1e4 / np.abs(w).max(), top * (1 - 1e-10)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if k1(mid) < q else (lo, mid)
+    t = (lo + hi) / 2
+    if abs(t) * np.abs(w).sum() < 1e-5:
+        return liu_sf(q, w)
+    a = math.copysign(math.sqrt(max(2 * (t * q - k(t)), 0.0)), t)
+    b = t * math.sqrt(k2(t))
+    return float(norm_sf(a + math.log(b / a) / a))
+
+
+def least_at(f, lo: float, hi: float, points: int = 17, rounds: int = 12) -> float:
+    """Place of the least value of a function over arrays: a grid that closes in on its best point."""
+    for _ in range(rounds):
+        x = np.linspace(lo, hi, points)
+        k = int(np.nanargmin(f(x)))
+        lo, hi = x[max(0, k - 1)], x[min(points - 1, k + 1)]
+    return float((lo + hi) / 2)
+
+
+def integrate(f, lo: float, hi: float, tolerance: float = 1e-10, depth: int = 40) -> float:
+    """Integral of f by adaptive Simpson steps."""
+
+    def part(a, b, fa, fm, fb, whole, eps, left):
+        m = (a + b) / 2
+        l, r = f((a + m) / 2), f((m + b) / 2)
+        one, two = (m - a) / 6 * (fa + 4 * l + fm), (b - m) / 6 * (fm + 4 * r + fb)
+        if left <= 0 or abs(one + two - whole) <= 15 * eps:
+            return one + two + (one + two - whole) / 15
+        return part(a, m, fa, l, fm, one, eps / 2, left - 1) + part(m, b, fm, r, fb, two, eps / 2, left - 1)
+
+    fa, fm, fb = f(lo), f((lo + hi) / 2), f(hi)
+    return part(lo, hi, fa, fm, fb, (hi - lo) / 6 * (fa + 4 * fm + fb), tolerance, depth)

@@ -78,57 +78,66 @@ def pair_tables(c: Cohort, trait: str | None, sets: DataFrame | None = None, que
     return out.where(sum(F.col(n) for n in names) > 0)
 
 
-def moments(calls: DataFrame, sets: DataFrame, y: DataFrame, fit: Callable[..., pd.DataFrame], schema: str, extra: list[str] | None = None) -> DataFrame:
-    """fit(gene, variants, n, X'X, X'y, y'y, means[, extra]) for each gene, over samples with a trait and any call in it.
-
-    calls: (vidx, iid, g) and per-variant columns ``extra``; y: (iid, val). X has missing genotypes at the variant's
-    mean and is centred, y too. All of it follows from sums over buckets of samples: with g = 0 where missing and c the
-    indicator of a call, X = g - mean c for a centred column.
+def moments(calls: DataFrame, sets: DataFrame | None, y: DataFrame, fit: Callable[..., pd.DataFrame], schema: str, extra: list[str] | None = None) -> DataFrame:
+    """fit(gene, variants, n, X'X, X'Y, Y'Y, means[, rows of extra columns]) for each gene, over samples with traits and any
+    call in the gene.
+
+    calls: (vidx, iid, g) and per-variant columns ``extra``; with ``gene`` too if sets is None. y: (iid, one or more
+    columns of numbers). X has missing genotypes at the variant's mean and is centred, Y is centred. X'Y is a vector
+    and Y'Y a number for one column. All of it follows from sums over buckets of samples: with g = 0 where missing and c
+    the indicator of a call, a centred column is g - mean c.
     """
     scratch = Scratch(calls.sparkSession, "moments")
-    val = scratch.cut(y.select("iid", "val"))
+    traits = [x for x in y.columns if x != "iid"]
+    val = scratch.cut(y.select("iid", *(F.col(x).cast("double").alias(f"y{k}") for k, x in enumerate(traits))))
     n_all = scratch.rows
+    ys = [f"y{k}" for k in range(len(traits))]
     extra = extra or []
-    t = buckets(calls.join(val, "iid").join(sets, "vidx"), n_all).select("gene", "bucket", "vidx", "iid", "g", "val", *extra)
-    square = "gene string, v1 long, v2 long, gg double, gc double, cg double, cc double"
+    t = calls.join(val, "iid")
+    t = t if sets is None else t.join(sets, "vidx")
+    t = buckets(t, n_all).select("gene", "bucket", "vidx", "iid", "g", *ys, *extra)
+    keys = ["gene", "v1", "v2", "k", "l"]
+    values = ["gg", "gc", "cg", "cc"]
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
         v, first, x = _dense(pdf)
-        yy = pdf["val"].to_numpy(float)[first]
+        yy = pdf[ys].to_numpy(float)[first]
         c = (x >= 0).astype(float)
         g = np.where(x >= 0, x, 0).astype(float)
         one, two = np.triu_indices(len(v))
         gg, gc, cc = g.T @ g, g.T @ c, c.T @ c
-        pairs = pd.DataFrame({"v1": v[one], "v2": v[two], "gg": gg[one, two], "gc": gc[one, two], "cg": gc.T[one, two], "cc": cc[one, two]})
-        # a row per variant with v2 null holds sums with the trait, one with both null those of the trait itself
-        single = pd.DataFrame({"v1": v, "v2": pd.NA, "gg": g.T @ yy, "gc": c.T @ yy, "cg": 0.0, "cc": 0.0})
-        whole = pd.DataFrame({"v1": [pd.NA], "v2": [pd.NA], "gg": [float(len(yy))], "gc": [yy.sum()], "cg": [(yy * yy).sum()], "cc": [0.0]})
-        out = pd.concat([pairs, single, whole], ignore_index=True).astype({"v1": "Int64", "v2": "Int64"})
-        return out.assign(gene=pdf["gene"].iloc[0])[["gene", "v1", "v2", "gg", "gc", "cg", "cc"]]
-
-    sums = t.groupBy("gene", "bucket").applyInPandas(products, square).groupBy("gene", "v1", "v2").agg(*(F.sum(x).alias(x) for x in ("gg", "gc", "cg", "cc")))
+        out = [pd.DataFrame({"v1": v[one], "v2": v[two], "k": -1, "l": -1, "gg": gg[one, two], "gc": gc[one, two], "cg": gc.T[one, two], "cc": cc[one, two]})]
+        for k in range(len(ys)):  # v2 null: sums of a variant with a trait; both null: of a trait with a trait
+            out.append(pd.DataFrame({"v1": v, "v2": None, "k": k, "l": -1, "gg": g.T @ yy[:, k], "gc": c.T @ yy[:, k], "cg": 0.0, "cc": 0.0}))
+            out += [pd.DataFrame({"v1": [None], "v2": [None], "k": k, "l": m, "gg": [float(len(yy))], "gc": [yy[:, k].sum()], "cg": [(yy[:, k] * yy[:, m]).sum()], "cc": [0.0]}) for m in range(k, len(ys))]
+        return pd.concat([o.astype({"v1": "Int64", "v2": "Int64"}) for o in out], ignore_index=True).assign(gene=pdf["gene"].iloc[0])[[*keys, *values]]
+
+    sums = t.groupBy("gene", "bucket").applyInPandas(products, "gene string, v1 long, v2 long, k int, l int, gg double, gc double, cg double, cc double").groupBy(*keys).agg(*(F.sum(x).alias(x) for x in values))
     if extra:
-        per = t.select("gene", F.col("vidx").alias("v1"), *extra).dropDuplicates(["gene", "v1"])
-        sums = sums.join(per, ["gene", "v1"], "left")
+        sums = sums.join(t.select("gene", F.col("vidx").alias("v1"), *extra).dropDuplicates(["gene", "v1"]), ["gene", "v1"], "left")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        gene = pdf["gene"].iloc[0]
-        total = pdf[pdf["v1"].isna()].iloc[0]
-        n, sy, syy = float(total["gg"]), float(total["gc"]), float(total["cg"])
-        single = pdf[pdf["v1"].notna() & pdf["v2"].isna()].sort_values("v1")
-        v = single["v1"].to_numpy(np.int64)
-        k, at = len(v), {a: i for i, a in enumerate(v)}
+        total = pdf[pdf["v1"].isna()]
+        single = pdf[pdf["v1"].notna() & pdf["v2"].isna()].sort_values(["k", "v1"])
+        zero = single[single["k"] == 0]
+        v, n = zero["v1"].to_numpy(np.int64), float(total["gg"].iloc[0])
+        m, nk, at = len(v), len(ys), {a: i for i, a in enumerate(v)}
+        sy, yy = np.zeros(nk), np.zeros((nk, nk))
+        for k, l, a, b in total[["k", "l", "gc", "cg"]].itertuples(index=False):
+            yy[k, l] = yy[l, k] = b
+            sy[k] = a if l >= k else sy[k]
         pairs = pdf[pdf["v2"].notna()]
         i, j = pairs["v1"].map(at).to_numpy(int), pairs["v2"].map(at).to_numpy(int)
-        gg, gc, cc = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
+        gg, gc, cc = np.zeros((m, m)), np.zeros((m, m)), np.zeros((m, m))
         gg[i, j] = gg[j, i] = pairs["gg"].to_numpy(float)
         gc[i, j], gc[j, i] = pairs["gc"].to_numpy(float), pairs["cg"].to_numpy(float)
         cc[i, j] = cc[j, i] = pairs["cc"].to_numpy(float)
-        mean = np.diag(gg * 0 + gc) / np.maximum(1, np.diag(cc))
+        mean = np.diag(gc) / np.maximum(1, np.diag(cc))
         xx = gg - gc * mean[None, :] - gc.T * mean[:, None] + cc * np.outer(mean, mean)
-        ybar = sy / n
-        xy = single["gg"].to_numpy(float) - mean * single["gc"].to_numpy(float)  # centred columns sum to 0
-        args = (gene, v, int(n), xx, xy, syy - n * ybar * ybar, mean)
-        return fit(*args, single) if extra else fit(*args)
+        xy = np.column_stack([s["gg"].to_numpy(float) - mean * s["gc"].to_numpy(float) for _, s in single.groupby("k")])  # centred columns sum to 0
+        yy = yy - np.outer(sy, sy) / n
+        xy, yy = (xy[:, 0], float(yy[0, 0])) if nk == 1 else (xy, yy)
+        args = (pdf["gene"].iloc[0], v, int(n), xx, xy, yy, mean)
+        return fit(*args, zero) if extra else fit(*args)
 
     return sums.groupBy("gene").applyInPandas(solve, schema)

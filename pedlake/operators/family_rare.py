@@ -12,6 +12,7 @@ from pedlake.operators.assoc import CASE
 from pedlake.operators.cohort import Cohort
 from pedlake.operators.genes import _minor
 from pedlake.operators.qc import _trios
+from pedlake.plans.scratch import Scratch
 
 
 def family_scores(c: Cohort, trait: str, weight: bool = True) -> DataFrame:
@@ -44,8 +45,8 @@ def family_burden(c: Cohort, trait: str) -> DataFrame:
         var = float((child**2).sum())
         burden = float(child.sum() ** 2 / var) if var > 0 else np.nan
         q = float((u.sum(0) ** 2).sum())
-        k = u @ u.T
-        mean, spread = float(np.trace(k)), 2 * float((k**2).sum() - (np.diag(k) ** 2).sum())
+        g = u.T @ u  # squared entries of u u' sum to those of u'u: V x V instead of children x children
+        mean, spread = float(np.trace(g)), 2 * float((g**2).sum() - ((u**2).sum(1) ** 2).sum())
         df = 2 * mean * mean / spread if spread > 1e-12 else np.nan
         skat = q * df / mean if df == df else np.nan
         p = lambda x, d: float(special.chi2_sf(x, d)) if x == x else None
@@ -63,26 +64,43 @@ def _block(pdf: pd.DataFrame) -> tuple[str, np.ndarray, np.ndarray, np.ndarray,
     return pdf["gene"].iloc[0], g, w, maf, int(pdf["n"].iloc[0])
 
 
+#: Distinct values of a trait that are sent to all tasks; a trait with more must be rounded first.
+MOST_VALUES = 1_000_000
+
+
 def threshold_tests(c: Cohort, trait: str, permutations: int = 500, rare: float = 0.05, seed: int = 1) -> DataFrame:
     """Variable-threshold test with its permutation p-value (x + 1) / (n + 1), burden z and kernel score of pedgene's form, per gene.
 
-    Permuting the trait of all samples and looking at carriers only is drawing the carriers' values from the
-    normal scores of the trait: its mean is 0 and its variance known, so non-carriers never enter a task.
+    Permuting the trait over all samples and looking at a gene's carriers only is drawing their values without
+    replacement from the trait's values. Those are counted, and a task draws places in their order, so
+    non-carriers never enter a task.
     """
-    y = c.trait(trait)
+    scratch = Scratch(c.samples.sparkSession, "threshold")
+    y = scratch.cut(c.trait(trait))
     m = y.agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sd"), F.count(F.lit(1)).alias("n"))
-    t = _minor(c).where((F.col("maf") <= rare) & (F.col("m") > 0)).join(c.sets, "vidx").join(y.crossJoin(F.broadcast(m)), "iid").where("sd > 0")  # one row
+    counts = scratch.cut(y.groupBy("val").agg(F.count(F.lit(1)).alias("k")))
+    if scratch.rows > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} distinct values: round the trait")
+    values = sorted((r["val"], r["k"]) for r in counts.collect())
+    t = rare_carriers(c, rare).join(y.crossJoin(F.broadcast(m)), "iid").where("sd > 0")  # one row
     block = t.select("gene", "vidx", "iid", "m", "maf", ((F.col("val") - F.col("mean")) / F.col("sd")).alias("w"), "n")
+    val, upto = np.array([v for v, _ in values], float), np.cumsum([k for _, k in values])
+    total = int(upto[-1]) if len(upto) else 0
+    spread = float(np.sqrt(np.average((val - np.average(val, weights=np.diff(upto, prepend=0))) ** 2, weights=np.diff(upto, prepend=0)) * total / max(1, total - 1))) if total > 1 else 1.0
+    centre = float(np.average(val, weights=np.diff(upto, prepend=0))) if total else 0.0
+    scores = c.samples.sparkSession.sparkContext.broadcast(((val - centre) / (spread or 1.0), upto))
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         gene, g, w, maf, n = _block(pdf)
+        drawn_from, ends = scores.value
         cuts = np.unique(maf)
         sums = np.column_stack([g[:, maf <= x].sum(1) for x in cuts])
         scale = np.sqrt(np.array([(g[:, maf <= x] ** 2).sum() for x in cuts]))
-        best = lambda y: float(np.max(np.abs(y @ sums) / scale))
-        stat = best(w)
+        best = lambda y: np.max(np.abs(y @ sums) / scale, axis=-1)
+        stat = float(best(w))
         rng = np.random.default_rng([seed, *gene.encode()])
-        more = sum(best(rng.standard_normal(len(w))) >= stat for _ in range(permutations))
+        draw = lambda: drawn_from[np.searchsorted(ends, rng.choice(total, len(w), replace=False), side="right")]
+        more = int((best(np.array([draw() for _ in range(permutations)])) >= stat - 1e-12).sum())
         f = np.sqrt(np.maximum(1e-12, maf * (1 - maf)))
         cov = g.T @ g - np.outer(g.sum(0), g.sum(0)) / n
         var = float((1 / f) @ cov @ (1 / f))
@@ -95,29 +113,6 @@ def threshold_tests(c: Cohort, trait: str, permutations: int = 500, rare: float
     return block.groupBy("gene").applyInPandas(test, "gene string, n_variant int, stat_vt double, p_vt double, z_burden double, stat_kernel double, p_kernel double")
 
 
-def joint_scores(c: Cohort, trait: str) -> DataFrame:
-    """Joint tests of a gene's variants from single-variant scores: inverse-variance pooled Q1 (1 df) and decorrelated Q2.
-
-    Variants that are copies of another one in the gene's carriers are taken once; genes need two variants.
-    """
-    y = c.trait(trait)
-    m = y.agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("sd"), F.count(F.lit(1)).alias("n"))
-    t = _minor(c).where("m > 0").join(c.sets, "vidx").join(y.crossJoin(F.broadcast(m)), "iid").where("sd > 0")  # one row
-    block = t.select("gene", "vidx", "iid", "m", "maf", ((F.col("val") - F.col("mean")) / F.col("sd")).alias("w"), "n")
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        gene, g, w, maf, n = _block(pdf)
-        g = np.unique(g, axis=1)
-        cols = ["gene", "n_variant", "stat_q1", "p_q1", "stat_q2", "p_q2"]
-        if g.shape[1] < 2:
-            return pd.DataFrame([], columns=cols)
-        cov = g.T @ g - np.outer(g.sum(0), g.sum(0)) / n
-        u = w @ g
-        var = float(cov.sum())
-        q1 = float(u.sum() ** 2 / var) if var > 0 else np.nan
-        val, vec = np.linalg.eigh(cov)
-        keep = val > 1e-8 * max(1e-300, val.max())
-        q2 = float((((vec[:, keep].T @ u) ** 2) / val[keep]).sum())
-        return pd.DataFrame([(gene, g.shape[1], None if q1 != q1 else q1, None if q1 != q1 else float(special.chi2_sf(q1, 1)), q2, float(special.chi2_sf(q2, int(keep.sum()))))], columns=cols)
-
-    return block.groupBy("gene").applyInPandas(test, "gene string, n_variant int, stat_q1 double, p_q1 double, stat_q2 double, p_q2 double")
+def rare_carriers(c: Cohort, rare: float) -> DataFrame:
+    """(vidx, iid, m, maf, gene) of cells that carry a rare minor allele."""
+    return _minor(c).where((F.col("maf") <= rare) & (F.col("m") > 0)).join(c.sets, "vidx")

@@ -1,19 +1,15 @@
 """Gene sets and rare-variant tests.
 
 Sets come from lists, from ranges or from consecutive variants. Per (gene, sample) collapses are partial
-aggregations; test statistics are closed forms over one row per gene, or, where a test needs the block
-of one gene, an Arrow function over its sparse carriers, whose number is bounded by the gene's
-variants times their carriers and not by the cohort.
+aggregations; test statistics are closed forms over one row per gene. Tests that need a gene's matrix of
+variants are in ``gene_tests``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedlake.functions import special
 from pedlake.operators.cohort import Cohort
 from pedlake.operators.qc import allele_freq
 
@@ -96,46 +92,6 @@ def burden_tests(c: Cohort, trait: str, rare: float = 0.05) -> DataFrame:
     return m.select("gene", "n", "mac", stat("carrier").alias("stat_cmc"), stat("burden").alias("stat_clp"))
 
 
-def _gene_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """SKAT, C-alpha-free SKAT-O grid and variable threshold of one gene from its carriers."""
-    gene, n, yy = pdf["gene"].iloc[0], int(pdf["n"].iloc[0]), float(pdf["ww"].iloc[0])
-    v, vi = np.unique(pdf["vidx"].to_numpy(), return_inverse=True)
-    s, si = np.unique(pdf["iid"].to_numpy(), return_inverse=True)
-    g = np.zeros((len(s), len(v)))
-    g[si, vi] = pdf["m"].to_numpy(float)
-    w = np.zeros(len(s))
-    w[si] = pdf["w"].to_numpy(float)
-    maf = np.zeros(len(v))
-    maf[vi] = pdf["maf"].to_numpy(float)
-    beta = (1 - maf) ** 24
-    sigma2 = yy / max(1, n - 1)
-    score = (g.T @ w) * beta
-    cov = (g.T @ g - np.outer(g.sum(0), g.sum(0)) / n) * np.outer(beta, beta) * sigma2
-    q = float(score @ score)
-    lam = np.linalg.eigvalsh(cov)
-    p_skat = special.davies_sf(q, lam[lam > 1e-10 * max(1e-300, lam.max())]) if lam.max() > 0 else 1.0
-    best, at = 1.0, 0.0
-    for rho in (0.0, 0.25, 0.5, 0.75, 1.0):
-        r = (1 - rho) * np.eye(len(v)) + rho
-        root = np.linalg.cholesky(r + 1e-12 * np.eye(len(v)))
-        ev = np.linalg.eigvalsh(root.T @ cov @ root)
-        p = special.liu_sf(float(score @ r @ score), ev[ev > 1e-10 * max(1e-300, ev.max())]) if ev.max() > 0 else 1.0
-        if p < best:
-            best, at = p, rho
-    order = np.argsort(maf)
-    zs = [float((g[:, order[: i + 1]] @ np.ones(i + 1)) @ w) / np.sqrt(max(1e-300, (g[:, order[: i + 1]] ** 2).sum() * sigma2)) for i in range(len(v)) if i + 1 == len(v) or maf[order[i]] < maf[order[i + 1]]]
-    return pd.DataFrame([(gene, len(v), len(s), q, float(p_skat), float(best), at, max(map(abs, zs)))], columns=["gene", "n_variant", "n_carrier", "stat_skat", "p_skat", "p_min_skato", "rho", "stat_vt"])
-
-
-def skat(c: Cohort, trait: str, rare: float = 0.05) -> DataFrame:
-    """Kernel tests per gene: SKAT by Davies with Liu's fallback, least p over the SKAT-O grid, variable threshold."""
-    y = c.trait(trait)
-    m = y.agg(F.avg("val").alias("mean"), (F.var_samp("val") * (F.count(F.lit(1)) - 1)).alias("ww"), F.count(F.lit(1)).alias("n"))
-    t = _minor(c).where((F.col("maf") <= rare) & (F.col("m") > 0)).join(c.sets, "vidx").join(y.crossJoin(F.broadcast(m)), "iid")  # one row
-    block = t.select("gene", "vidx", "iid", "m", "maf", (F.col("val") - F.col("mean")).alias("w"), "n", "ww")
-    return block.groupBy("gene").applyInPandas(_gene_block, "gene string, n_variant int, n_carrier int, stat_skat double, p_skat double, p_min_skato double, rho double, stat_vt double")
-
-
 def neighbours_ld(c: Cohort, k: int = 2) -> DataFrame:
     """r and r squared between each variant and the next k of its chromosome, over samples with both calls."""
     w = Window.partitionBy("chrom").orderBy("pos", "vidx")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pedlake.operators import genes, pedigree
+from pedlake.operators import gene_tests, genes, pedigree
 from pedlake.plans.association import BINARY, CONTINUOUS
 from pedlake.plans.quality import _FREQ, _W, on_cohort
 
@@ -24,7 +24,7 @@ QUERIES = {
     "annotated": on_cohort(genes.annotated),
     "collapsed": on_cohort(genes.collapsed),
     "burden_tests": on_cohort(lambda c: genes.burden_tests(c, BINARY)),
-    "skat": on_cohort(lambda c: genes.skat(c, BINARY)),
+    "skat": on_cohort(lambda c: gene_tests.skat(c, BINARY)),
     "neighbours_ld": on_cohort(genes.neighbours_ld),
 }
 

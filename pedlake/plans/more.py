@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedlake.operators import family_rare, filters, interactions, models, related
+from pedlake.operators import family_rare, filters, gene_tests, interactions, models, related
 from pedlake.operators.cohort import Cohort
 from pedlake.plans.association import BINARY
 from pedlake.plans.quality import _FREQ, _W, on_cohort
@@ -56,7 +56,15 @@ QUERIES = {
     "family_scores": on_cohort(lambda c: family_rare.family_scores(c, BINARY)),
     "family_burden": on_cohort(lambda c: family_rare.family_burden(c, BINARY)),
     "threshold_tests": on_cohort(lambda c: family_rare.threshold_tests(c, BINARY)),
-    "joint_scores": on_cohort(lambda c: family_rare.joint_scores(c, "AGE")),
+    "joint_scores": on_cohort(lambda c: gene_tests.joint_scores(c, "AGE")),
+    "farvat": on_cohort(lambda c: gene_tests.farvat(c, "AGE")),
+    "family_threshold": on_cohort(lambda c: gene_tests.family_threshold(c, "AGE")),
+    "pedcmc": on_cohort(lambda c: gene_tests.pedcmc(c, "AGE")),
+    "multi_trait_genes": on_cohort(lambda c: gene_tests.multi_trait_scores(c, ["AGE", "AO"], c.sets)),
+    "multi_trait_variants": on_cohort(lambda c: gene_tests.multi_trait_scores(c, ["AGE", "AO"], c.variants.select(F.col("vidx").cast("string").alias("gene"), "vidx"))),
+    "score_export": on_cohort(lambda c: gene_tests.score_export(c, "AGE")),
+    "kbac": on_cohort(lambda c: gene_tests.kbac(c, BINARY)),
+    "rare_patterns": on_cohort(lambda c: gene_tests.pattern_counts(c, BINARY)),
     "thinned_sample": on_cohort(lambda c: filters.random_subset(c.samples, "iid", 0.5).select("iid")),
 }
 

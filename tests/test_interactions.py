@@ -1,7 +1,7 @@
 import numpy as np
 
 from pedlake.functions import special
-from pedlake.operators import family_rare, interactions
+from pedlake.operators import family_rare, gene_tests, interactions
 from tests.test_models import cohort
 
 
@@ -44,5 +44,5 @@ def test_family_tests(spark):
     assert abs(out["G0"]["stat_burden"] - child.sum() ** 2 / (child**2).sum()) < 1e-9 and 0 < out["G0"]["p_skat"] <= 1
     vt = {r["gene"]: r for r in family_rare.threshold_tests(c, "Y", 100, rare=0.5).collect()}
     assert vt["G0"]["p_vt"] < 0.05 and vt["G0"]["p_kernel"] < 1e-4 and vt["G1"]["p_kernel"] > 1e-4
-    q = {r["gene"]: r for r in family_rare.joint_scores(c, "Y").collect()}
+    q = {r["gene"]: r for r in gene_tests.joint_scores(c, "Y").collect()}
     assert q["G0"]["p_q2"] < 1e-6 and set(q) == {"G0", "G1"}

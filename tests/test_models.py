@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from pedlake.operators import assoc, filters, genes, models, qc, related, simulate
+from pedlake.operators import assoc, filters, gene_tests, genes, models, qc, related, simulate
 from pedlake.operators.cohort import Cohort
 from pedlake.streaming import counts
 
@@ -137,7 +137,7 @@ def test_relationship_and_mixed_model(data):
 
 def test_gene_tests(data):
     c, *_ = data
-    rows = {r["gene"]: r for r in genes.skat(c, "Y", rare=0.5).collect()}
+    rows = {r["gene"]: r for r in gene_tests.skat(c, "Y", rare=0.5).collect()}
     assert min(rows, key=lambda k: rows[k]["p_skat"]) == "G0" and all(0 <= r["p_skat"] <= 1 for r in rows.values())
     w = {r["gene"]: r for r in related.weighted_sum(c, "D", 200, rare=0.5).collect()}
     assert set(w) == {f"G{i}" for i in range(4)} and min(w, key=lambda k: w[k]["p_wsum"]) == "G0"
