@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pedlake.operators import assoc
-from pedlake.plans.quality import _GS, _W, on_cohort
+from pedlake.plans.quality import _FREQ, _GS, _W, on_cohort
 
 BINARY, CONTINUOUS = "ET", "AGE"
 
@@ -40,13 +40,42 @@ r AS (SELECT vidx, (u0*(0-mean) + u1*(1-mean) + u2*(2-mean))**2 / nullif(phi*(1-
   """ + " + ".join(f"({x}{k} - {m}*c{k}/n)**2 / nullif({m}*c{k}/n, 0)" for x, m in (("a", "n1"), ("u", "n0")) for k in (0, 1, 2)) + " stat_geno FROM z)"
 
 
+# tails of distributions by Simpson's rule, with relative precision
+_SIMPSON = "(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+
+
+def p_normal(z: str) -> str:
+    """SQL of the two-sided normal p-value: density times the integral of exp(-z t - t^2 / 2)."""
+    return f"CASE WHEN ({z}) IS NOT NULL THEN least(1.0, 2 * exp(0 - ({z})**2 / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 4001), lambda i: {_SIMPSON} * exp(-abs({z}) * i * 0.003 - (i * 0.003)**2 / 2))) * 0.001) END"
+
+
+def p_student(t: str, df: str) -> str:
+    """SQL of the two-sided p-value of Student's t: the integral of a power of the cosine."""
+    a = f"atan(abs({t}) / sqrt(({df})::DOUBLE))"
+    return f"2 * exp(lgamma((({df}) + 1) / 2.0::DOUBLE) - lgamma(({df}) / 2.0::DOUBLE)) / sqrt(pi()) * list_sum(list_transform(range(0, 4001), lambda i: {_SIMPSON} * greatest(cos({a} + (pi() / 2 - {a}) * i / 4000), 0)**(({df}) - 1))) * (pi() / 2 - {a}) / 12000"
+
+
+def p_fisher(a: str, b: str, c: str, d: str) -> str:
+    """SQL of Fisher's two-sided p: all tables with the margins that are as likely or less."""
+    log = lambda x: f"-(lgamma({x} + 1) + lgamma({a} + {b} - {x} + 1) + lgamma({a} + {c} - {x} + 1) + lgamma({d} - {a} + {x} + 1))"
+    tables = f"range(greatest(0, {a} - {d}), least({a} + {b}, {a} + {c}) + 1)"
+    return f"CASE WHEN {a} + {b} + {c} + {d} > 0 THEN least(1.0, list_sum(list_transform({tables}, lambda x: CASE WHEN {log('x')} <= {log(a)} + 1e-9 THEN exp({log('x')} - ({log(a)})) ELSE 0 END)) / list_sum(list_transform({tables}, lambda x: exp({log('x')} - ({log(a)}))))) END"
+
+
 def _linear(w: str, join: str) -> str:
     return _W + _Y + f""", m AS (SELECT vidx, count(*) n, sum({w}) w, sum({w}*g) sx, sum({w}*val) sy, sum({w}*g*g) sxx, sum({w}*g*val) sxy, sum({w}*val*val) syy FROM g JOIN q USING (iid) {join} WHERE g IS NOT NULL GROUP BY vidx),
   k AS (SELECT vidx, n, sxx - sx*sx/w xx, sxy - sx*sy/w xy, syy - sy*sy/w yy FROM m), b AS (SELECT *, CASE WHEN n > 2 AND xx > 1e-9 THEN xy / xx END beta FROM k),
   o AS (SELECT vidx, n, beta, sqrt(greatest(yy - beta*xy, 0) / nullif(n - 2, 0) / xx) se FROM b)"""
 
 
+_ADJ = _TREND + f""", pv AS (SELECT vidx, {p_normal('sqrt(stat_trend)')} p FROM r WHERE stat_trend IS NOT NULL), rk AS (SELECT *, row_number() OVER (ORDER BY p, vidx) rank, count(*) OVER () m FROM pv),
+  ad AS (SELECT *, least(p * m, 1) bonferroni, 1 - (1 - p)**m sidak_ss, greatest(max((m - rank + 1) * p) OVER u, 0) h, max(1 - (1 - p)**(m - rank + 1)) OVER u sidak_sd, min(m * p / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) b FROM rk WINDOW u AS (ORDER BY rank ROWS UNBOUNDED PRECEDING))"""
+
 SQL = {
+    "fisher_p": _N + f", t AS (SELECT vidx, (a1 + a2)::DOUBLE a, a0::DOUBLE b, (u1 + u2)::DOUBLE c, u0::DOUBLE d FROM n) SELECT vidx, {p_fisher('a', 'b', 'c', 'd')} p_fisher FROM t".replace("range(greatest(0, a - d), least(a + b, a + c) + 1)", "range(greatest(0, a - d)::BIGINT, (least(a + b, a + c) + 1)::BIGINT)"),
+    "trend_p": _TREND + f" SELECT vidx, {p_normal('sqrt(stat_trend)')} p_trend, {p_normal('sqrt(stat_abt)')} p_abt, exp(-stat_geno / 2) p_geno2df FROM r",
+    "adjust": _ADJ + " SELECT vidx, p, rank, bonferroni, least(h, 1) holm, sidak_ss, sidak_sd, least(b, 1) bh, least(b * (SELECT sum(1.0::DOUBLE / i) FROM range(1, (SELECT count(*) + 1 FROM pv)) t(i)), 1) \"by\" FROM ad",
+    "variant_weights": _FREQ + " SELECT vidx, maf, 25 * (1 - maf)**24 weight FROM freq",
     "case_counts": _N + " SELECT * FROM n",
     "fisher_tables": _N + " SELECT vidx, a1 + a2 case_carrier, a0 case_other, u1 + u2 control_carrier, u0 control_other FROM n",
     "trend": _TREND + " SELECT * FROM r",
@@ -66,3 +95,8 @@ SQL = {
     "blue_freq": _W + " SELECT vidx, sum(weight * g) / sum(weight) / 2 p_weighted, count(*) n FROM g JOIN s USING (iid) WHERE g IS NOT NULL AND weight IS NOT NULL GROUP BY vidx",
     "genetic_models": _W + " SELECT vidx, avg(g) additive, avg((g > 0)::INT) dominant, avg((g = 2)::INT) recessive, avg(g * g) multiplicative FROM g WHERE g IS NOT NULL GROUP BY vidx",
 }
+SQL |= {
+    "linear_p": SQL["linear"].replace("SELECT vidx, n, beta, CASE", ", q2 AS (SELECT vidx, n, beta, CASE", 1) + f") SELECT vidx, CASE WHEN stat IS NOT NULL THEN {p_student('stat', 'n - 2')} END p_regr FROM q2",
+    "qls_p": "WITH b AS (" + SQL["qls"] + f") SELECT vidx, {p_normal('stat')} p_qls FROM b",
+    "tdt_p": "WITH b AS (" + SQL["tdt"] + f") SELECT vidx, {p_normal('sqrt(stat_tdt)')} p_tdt FROM b",
+}

@@ -68,7 +68,23 @@ QUERIES = {
     "thinned_sample": on_cohort(lambda c: filters.random_subset(c.samples, "iid", 0.5).select("iid")),
 }
 
+# kinship over common ancestors: T D T', T the halves of all lines up, D the Mendelian parts; parents of nobody related (checked below)
+_KIN = "WITH RECURSIVE " + _W.removeprefix("WITH ") + """, l AS (SELECT iid, pat parent FROM s WHERE pat IS NOT NULL UNION ALL SELECT iid, mat FROM s WHERE mat IS NOT NULL),
+  every AS (SELECT iid FROM s UNION SELECT parent FROM l), up(iid, top, w) AS (SELECT iid, iid, 1.0::DOUBLE FROM every UNION ALL SELECT up.iid, l.parent, up.w / 2 FROM up JOIN l ON l.iid = up.top),
+  t AS MATERIALIZED (SELECT iid, top, sum(w) w FROM up GROUP BY ALL), d0 AS (SELECT e.iid, 1 - 0.25::DOUBLE * count(l.parent) d FROM every e LEFT JOIN l USING (iid) GROUP BY ALL),
+  f0 AS (SELECT s.iid, coalesce(sum(a.w * b.w * d), 0) / 2 f FROM s LEFT JOIN t a ON a.iid = s.pat LEFT JOIN t b ON b.iid = s.mat AND b.top = a.top LEFT JOIN d0 ON d0.iid = a.top AND b.top IS NOT NULL GROUP BY s.iid),
+  dd AS (SELECT d0.iid, d - 0.25 * coalesce((SELECT sum(f) FROM f0 JOIN l ON l.parent = f0.iid WHERE l.iid = d0.iid), 0) d FROM d0),
+  kin AS (SELECT a.iid iid1, b.iid iid2, sum(a.w * b.w * d) kinship2 FROM t a JOIN t b ON a.top = b.top AND a.iid <= b.iid JOIN dd ON dd.iid = a.top GROUP BY ALL)"""
+
 SQL = {
+    "kinship": _KIN + " SELECT iid1, iid2, kinship2 FROM kin WHERE iid1 IN (SELECT iid FROM s) AND iid2 IN (SELECT iid FROM s) AND kinship2 <> 0",
+    "linkage": _W + """, o AS (SELECT vidx, lead(vidx) OVER (PARTITION BY chrom ORDER BY pos, vidx) v2 FROM v WHERE chrom IS NOT NULL AND pos IS NOT NULL),
+  t AS (SELECT k.vidx, k.iid, k.g child, s.pat, s.mat, a.g pa, b.g ma FROM g k JOIN s ON s.iid = k.iid JOIN g a ON a.vidx = k.vidx AND a.iid = s.pat JOIN g b ON b.vidx = k.vidx AND b.iid = s.mat WHERE k.g IS NOT NULL AND a.g IS NOT NULL AND b.g IS NOT NULL),
+  e AS (SELECT vidx, iid, child, pat parent, pa p, ma o FROM t UNION ALL SELECT vidx, iid, child, mat, ma, pa FROM t),
+  n AS (SELECT vidx, iid, parent, p, CASE WHEN p <> 1 THEN p // 2 WHEN o <> 1 THEN child - o // 2 WHEN child <> 1 THEN child // 2 END a FROM e), sent AS (SELECT * FROM n WHERE a IN (0, 1)),
+  ff AS (SELECT sent.vidx, sent.iid parent, a from_father FROM sent JOIN s ON s.iid = sent.iid AND s.pat = sent.parent), kn AS (SELECT sent.vidx, sent.iid, sent.parent, (a = from_father)::INT origin FROM sent JOIN ff ON ff.vidx = sent.vidx AND ff.parent = sent.parent WHERE p = 1),
+  m AS (SELECT a.vidx vidx1, o.v2 vidx2, count(*) FILTER (a.origin <> b.origin) n_rec, count(*) FILTER (a.origin = b.origin) n_non FROM kn a JOIN o ON o.vidx = a.vidx JOIN kn b ON b.vidx = o.v2 AND b.iid = a.iid AND b.parent = a.parent GROUP BY ALL)
+  SELECT m.*, theta, CASE WHEN theta = 0 AND n_rec > 0 THEN NULL ELSE CASE WHEN n_rec > 0 THEN n_rec * log10(CASE WHEN theta > 0 THEN theta END) ELSE 0 END + n_non * log10(1 - theta) + (n_rec + n_non) * log10(2) END lod FROM m, (VALUES (0.0::DOUBLE), (0.01), (0.05), (0.1), (0.2), (0.3), (0.4)) q(theta)""",
     "filtered_variants": _FREQ + """, cr AS (SELECT vidx, 1 - (count(*) FILTER (g IS NULL))::DOUBLE / count(*) call_rate FROM g GROUP BY vidx),
   j AS (SELECT v.*, coalesce(maf, 0) m, coalesce(call_rate, 0) r, TRY_CAST(info['NS'] AS DOUBLE) ns, TRY_CAST(info['AF'] AS DOUBLE) af FROM v LEFT JOIN freq USING (vidx) LEFT JOIN cr USING (vidx))
   SELECT vidx, array_to_string(list_filter([CASE WHEN NOT chrom BETWEEN 1 AND 22 THEN 'autosome' END, CASE WHEN NOT (length(major) = 1 AND length(minor) = 1) THEN 'snv' END, CASE WHEN qual IS NULL OR qual < 30 THEN 'qual' END,

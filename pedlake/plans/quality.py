@@ -78,6 +78,9 @@ SQL = {
     "allele_freq": _FREQ + " SELECT * FROM freq",
     "hwe": _hwe_sql(""),
     "hwe_founders": _hwe_sql("WHERE founder"),
+    "hwe_exact": _GS + """, n AS (SELECT vidx, count(*) FILTER (g = 0) n0, count(*) FILTER (g = 1) n1, count(*) FILTER (g = 2) n2 FROM c GROUP BY vidx), q AS (SELECT *, n0 + n1 + n2 n, 2 * least(n0, n2) + n1 r FROM n),
+  l AS (SELECT vidx, n1, unnest(range(r % 2, r + 1, 2)) h, n, r FROM q), w AS (SELECT vidx, n1, h, h * ln(2) - lgamma(((r - h) // 2 + 1)::DOUBLE) - lgamma((h + 1)::DOUBLE) - lgamma((n - h - (r - h) // 2 + 1)::DOUBLE) lp FROM l),
+  o AS (SELECT vidx, max(lp) FILTER (h = n1) seen FROM w GROUP BY vidx) SELECT w.vidx, least(1.0, sum(exp(lp - seen)) FILTER (lp <= seen + 1e-9) / sum(exp(lp - seen))) p_exact FROM w JOIN o USING (vidx) GROUP BY w.vidx""",
     "variant_missing": _W + " SELECT vidx, count(*) n_cells, count(*) FILTER (g IS NULL) n_missing, 1 - (count(*) FILTER (g IS NULL))::DOUBLE / count(*) call_rate FROM g GROUP BY vidx",
     "sample_counts": _W + ", n AS (SELECT iid, count(*) FILTER (g = 0) n0, count(*) FILTER (g = 1) n1, count(*) FILTER (g = 2) n2, count(*) FILTER (g IS NULL) n_missing FROM g GROUP BY iid) SELECT *, n1::DOUBLE / nullif(n0 + n2, 0) het_hom FROM n",
     "heterozygosity": _GS + """, q AS (SELECT vidx, sum(g)::DOUBLE a, count(*)::DOUBLE n FROM c GROUP BY vidx), e AS (SELECT vidx, 1 - 2 * (a / (2 * n)) * (1 - a / (2 * n)) * (2 * n / (2 * n - 1)) e FROM q JOIN v USING (vidx) WHERE a > 0 AND a < 2 * n AND chrom BETWEEN 1 AND 22),
