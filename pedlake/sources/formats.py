@@ -7,10 +7,7 @@ of any size is spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,27 +183,10 @@ def encode(g: np.ndarray) -> bytes:
 
 
 def read_bed(spark: SparkSession, path: str, n_samples: int, block: int = 4096) -> DataFrame:
-    """(vidx, g array<tinyint>) of a variant-major file that all executors can open; null is missing."""
-    import os
-
-    with open(path, "rb") as f:
-        if f.read(3) != MAGIC:
-            raise ValueError("not a variant-major binary genotype file")
-    width = -(-n_samples // 4)
-    total = (os.path.getsize(path) - 3) // width
-    parts = spark.range(0, total, block, numPartitions=max(1, min(-(-total // block), 10_000)))
+    """(vidx, g array<tinyint>) of a variant-major file; null is missing. See ``writers.read_bed``."""
+    from pedlake.sources import writers
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "rb") as f:
-            for pdf in it:
-                for a in pdf["id"]:
-                    n = min(block, total - a)
-                    f.seek(3 + a * width)
-                    g = decode(f.read(n * width), n_samples).astype(object)
-                    g[g == -1] = None
-                    yield pd.DataFrame({"vidx": np.arange(a, a + n), "g": pd.Series(list(g), dtype=object)})
-
-    return parts.mapInPandas(run, "vidx long, g array<tinyint>")
+    return writers.read_bed(spark, path, n_samples, block=block)
 
 
 # Writers: lines in the order of the first column of the cohort tables.
@@ -232,13 +212,14 @@ def lgen_lines(calls: DataFrame, variants: DataFrame, samples: DataFrame) -> Dat
 
 
 def vcf_lines(calls: DataFrame, variants: DataFrame, samples: list[str]) -> DataFrame:
-    """Data lines of a VCF file for a given order of samples; absent calls are missing."""
-    gt = F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.col("g").cast("int") + 1)
-    per = calls.where("g is not null").groupBy("vidx").agg(F.map_from_entries(F.collect_list(F.struct("iid", gt.alias("gt")))).alias("m"))
-    cells = F.transform(F.array(*map(F.lit, samples)), lambda s: F.coalesce(F.try_element_at("m", s), F.lit("./.")))
+    """Data lines of a VCF file for a given order of samples; absent calls are missing. ``writers.vcf_file`` has a header."""
+    from pedlake.sources import writers
+
+    order = calls.sparkSession.createDataFrame(list(enumerate(samples)), "k long, iid string")
+    cells = F.array_join(F.transform("g", lambda x: F.when(x < 0, "./.").when(x == 0, "0/0").when(x == 1, "0/1").otherwise("1/1")), "\t")
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    t = variants.join(per, "vidx", "left").orderBy("chrom", "pos", "vidx")
-    return t.select(F.concat_ws("\t", dot("chrom"), dot("pos"), dot("id"), dot("major"), dot("minor"), dot("qual"), dot("filt"), F.lit("."), F.lit("GT"), F.array_join(cells, "\t")).alias("line"))
+    t = variants.join(writers.dense_rows(calls, order, len(samples)), "vidx", "left").withColumn("g", F.coalesce("g", F.array_repeat(F.lit(-1).cast("tinyint"), len(samples)))).orderBy("chrom", "pos", "vidx")
+    return t.select(F.concat_ws("\t", dot("chrom"), dot("pos"), dot("id"), dot("major"), dot("minor"), dot("qual"), dot("filt"), F.lit("."), F.lit("GT"), cells).alias("line"))
 
 
 def ped_lines(calls: DataFrame, variants: DataFrame, samples: DataFrame) -> DataFrame:
