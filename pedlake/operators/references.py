@@ -107,9 +107,25 @@ def dangling_report(samples: DataFrame, phenotype: DataFrame, genotype: DataFram
     return sizes.alias("s").join(bad.alias("b"), (F.col("s.ref_table") == F.col("b.ref_table")) & F.col("s.month").eqNullSafe(F.col("b.month")), "left").select("s.ref_table", "s.month", "n_read", F.coalesce("n_dangling", F.lit(0)).alias("n_dangling"))
 
 
-def current_orphans(samples: DataFrame, phenotype: DataFrame, genotype: DataFrame) -> DataFrame:
-    """Keys referred to by distinct rows while no record of them is in force after all deltas."""
-    keys = ["fid", "iid"]
+def current_state(samples: DataFrame, phenotype: DataFrame, genotype: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Signed counts (ref_table, month, fid, iid, refs, exists) after all deltas, ``earlier`` states included.
+
+    References stand under their table and month, existence under null ones, so a state can be stored and folded with the
+    deltas of later rows. A parent is an individual of whatever family: its fid is null. Exact duplicates count once.
+    """
+    rows = sample_references(phenotype.distinct(), genotype.distinct()).unionByName(parent_references(samples.distinct()).withColumn("fid", F.lit(None).cast("string")))
+    refs = rows.select("ref_table", F.when(F.col("at") > F.lit(NEVER), F.date_format("at", "yyyy-MM")).alias("month"), "fid", "iid", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("exists"))
     recorded = samples.select(same_id("fid").alias("fid"), same_id("iid").alias("iid"), "loaded_at", "deleted_at", "sample_id").distinct()
-    rows = sample_references(phenotype.distinct(), genotype.distinct())
-    return orphans(fold(keys, reference_deltas(rows, keys), existence_deltas(recorded, keys)))
+    by_person = existence_deltas(recorded, ["fid", "iid"])
+    by_parent = existence_deltas(recorded, ["iid"]).withColumn("fid", F.lit(None).cast("string"))
+    exists = by_person.unionByName(by_parent.select(by_person.columns)).select(F.lit(None).cast("string").alias("ref_table"), F.lit(None).cast("string").alias("month"), "fid", "iid", "refs", "exists")
+    parts = [refs, exists] if earlier is None else [refs, exists, earlier.select(refs.columns)]
+    return fold(["ref_table", "month", "fid", "iid"], *parts)
+
+
+def current_orphans(state: DataFrame) -> DataFrame:
+    """(ref_table, month, fid, iid, refs): references of the state whose key has no existence, by table and period."""
+    exists = state.where("ref_table is null").groupBy("fid", "iid").agg(F.sum("exists").alias("e")).where("e > 0")
+    refs = state.where("ref_table is not null and refs > 0").alias("r")
+    gone = refs.join(exists.alias("e"), F.col("r.fid").eqNullSafe(F.col("e.fid")) & (F.col("r.iid") == F.col("e.iid")), "left_anti")
+    return gone.select("ref_table", "month", "fid", "iid", "refs")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedlake.operators import references as R
+from pedlake.plans.scratch import Scratch
 from pedlake.sources.tables import table
 
 
@@ -22,7 +23,9 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_current(spark: SparkSession, folder: str) -> DataFrame:
-    return R.current_orphans(*_tables(spark, folder)).select("fid", "iid", F.col("refs").alias("n_refs"))
+    """Keys without a record in force after all deltas, with their references by table and month."""
+    scratch = Scratch(spark, "current")
+    return R.current_orphans(scratch.cut(R.current_state(*_tables(spark, folder)))).select("ref_table", "month", "fid", "iid", F.col("refs").alias("n_refs"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_current": p1_current}
@@ -51,8 +54,9 @@ SQL = {
 SELECT n.ref_table, n.month, n_read, coalesce(b.n, 0) n_dangling FROM n LEFT JOIN b ON n.ref_table = b.ref_table AND n.month IS NOT DISTINCT FROM b.month""",
     "p1_current": f"""
 WITH s AS {_S},
-r AS (SELECT {_K.format('fid')} fid, {_K.format('iid')} iid FROM (SELECT DISTINCT * FROM phenotype)
-      UNION ALL SELECT {_K.format('fid')}, {_K.format('iid')} FROM (SELECT DISTINCT * FROM genotype))
-SELECT fid, iid, count(*) n_refs FROM r WHERE fid IS NOT NULL AND iid IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM s WHERE s.fid = r.fid AND s.iid = r.iid AND s.deleted_at IS NULL AND s.loaded_at IS NOT NULL) GROUP BY ALL""",
+r AS (SELECT 'phenotype' ref_table, {_K.format('fid')} fid, {_K.format('iid')} iid, loaded_at FROM (SELECT DISTINCT * FROM phenotype)
+      UNION ALL SELECT 'genotype', {_K.format('fid')}, {_K.format('iid')}, loaded_at FROM (SELECT DISTINCT * FROM genotype)),
+q AS (SELECT * FROM r WHERE fid IS NOT NULL AND iid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.fid = r.fid AND s.iid = r.iid AND s.deleted_at IS NULL AND s.loaded_at IS NOT NULL)
+      UNION ALL SELECT 'samples', NULL, p, loaded_at FROM (SELECT pat p, loaded_at FROM s UNION ALL SELECT mat, loaded_at FROM s) c WHERE p IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.iid = c.p AND s.deleted_at IS NULL AND s.loaded_at IS NOT NULL))
+SELECT ref_table, strftime(loaded_at, '%Y-%m') AS month, fid, iid, count(*) n_refs FROM q GROUP BY ALL""",
 }

@@ -61,3 +61,21 @@ def test_report(spark):
     s, p, g = tables(spark, [(1, "F", "I", None, None, JAN, None, "x")], [(1, "F", "Q", "T", FEB, ""), (1, "F", "Q", "T", FEB, ""), (2, "F", "I", "T", None, "")], [])
     got = {(r["ref_table"], r["month"]): (r["n_read"], r["n_dangling"]) for r in R.dangling_report(s, p, g).collect()}
     assert got == {("samples", "2024-01"): (1, 0), ("phenotype", "2024-02"): (2, 1), ("phenotype", None): (1, 1)}
+
+
+def test_current_state_is_folded_with_later_rows(spark):
+    """The state of an earlier load and the deltas of later rows give what all rows give."""
+    import datetime as dt
+
+    day = lambda d: dt.datetime(2024, 1, d)
+    schema = "sample_id long, fid string, iid string, pat string, mat string, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
+    samples = [(1, "f", "a", None, None, day(1), None), (2, "f", "b", "A", "zz", day(2), None), (3, "g", "c", "0", "a", day(3), day(9))]
+    pheno = [(1, "f", "a ", day(4)), (2, "f", "q", day(5)), (2, "f", "q", day(5)), (3, "g", "C", day(5)), (4, None, "c", day(5))]
+    geno = [(1, "F", "Q", day(20))]
+    table = lambda rows, key: spark.createDataFrame(rows, f"{key} long, fid string, iid string, loaded_at timestamp_ntz")
+    s, p, g = spark.createDataFrame(samples, schema), table(pheno, "pheno_id"), table(geno, "geno_id")
+    whole = {tuple(r) for r in R.current_orphans(R.current_state(s, p, g)).collect()}
+    assert whole == {("phenotype", "2024-01", "F", "Q", 1), ("genotype", "2024-01", "F", "Q", 1), ("phenotype", "2024-01", "G", "C", 1), ("samples", "2024-01", None, "ZZ", 1)}
+    first = R.current_state(s.limit(0).unionByName(s.where("sample_id < 3")), p.where("pheno_id < 3"), g.limit(0))
+    both = R.current_state(s.where("sample_id = 3"), p.where("pheno_id >= 3"), g, first)
+    assert {tuple(r) for r in R.current_orphans(both).collect()} == whole
