@@ -238,3 +238,77 @@ def model_counts(c: Cohort) -> DataFrame:
 def weighted_mean_freq(c: Cohort) -> DataFrame:
     """Beta(p; 1, 25) density weights of variants, from the frequencies of all samples."""
     return allele_freq(c).select("vidx", "maf", (25 * F.pow(1 - F.col("maf"), 24)).alias("weight"))
+
+
+def sdt(c: Cohort, trait: str) -> DataFrame:
+    """Sibship disequilibrium test: sibships whose affected sibs carry more, or fewer, minor alleles on average than the unaffected."""
+    y = c.trait(trait).where(F.col("val").isin(CASE, CONTROL)).select("iid", (F.col("val") == CASE).alias("case"))
+    kids = c.samples.where("pat is not null and mat is not null").select("iid", "pat", "mat").join(y, "iid")
+    per = c.called().join(kids, "iid").groupBy("vidx", "pat", "mat").agg(F.avg(F.when(F.col("case"), F.col("g"))).alias("a"), F.avg(F.when(~F.col("case"), F.col("g"))).alias("u")).where("a is not null and u is not null")
+    m = per.groupBy("vidx").agg(F.count_if(F.col("a") > F.col("u")).alias("n_more"), F.count_if(F.col("a") < F.col("u")).alias("n_less"), F.count(F.lit(1)).alias("n_sibship"))
+    b, k = F.col("n_more").cast("double"), F.col("n_less").cast("double")
+    return m.withColumn("stat_sdt", (b - k) * (b - k) / _null0(b + k))
+
+
+def corrected(df: DataFrame, stat: str, inflation: float | None = None) -> DataFrame:
+    """Statistics divided by the genomic control factor, that of the data or a given one, with their p-values."""
+    lam = genomic_control(df, stat) if inflation is None else df.sparkSession.createDataFrame([(float(inflation), 0)], "lambda double, n long")
+    t = df.crossJoin(F.broadcast(lam.select("lambda")))  # one row
+    return t.withColumn(f"{stat}_gc", F.col(stat) / F.col("lambda")).withColumn("p_gc", chi2_p(f"{stat}_gc", 1)).drop("lambda")
+
+
+def reported(df: DataFrame, p: str, wanted: str = "[0,1]", drop_null: bool = False) -> DataFrame:
+    """Rows whose p is in a range such as (0,0.05]; those without p stay unless ``drop_null``."""
+    from pedlake.functions.predicates import in_range
+
+    ok = in_range(F.col(p), wanted)
+    return df.where(ok if drop_null else ok | F.col(p).isNull())
+
+
+def pair_regression(c: Cohort, trait: str) -> DataFrame:
+    """y ~ 1 + g1 + g2 + g1 g2 for pairs of variants within a gene: the interaction's beta, t and p, from sums over 9 genotype cells.
+
+    A pair whose cells can't tell the interaction has null values.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from pedlake.functions import special
+    from pedlake.operators.blocks import CELLS, _dense, buckets
+
+    g = buckets(c.called().join(c.sets, "vidx").join(c.trait(trait), "iid"), c.samples.count()).select("gene", "bucket", "vidx", "iid", "g", "val")
+    names = [f"{s}{i}{j}" for s in "nyq" for i, j in CELLS]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, first, x = _dense(pdf)
+        y = pdf["val"].to_numpy(float)[first]
+        one, two = np.triu_indices(len(v), 1)
+        hit = [(x == k).astype(float) for k in range(3)]
+        out = {"gene": pdf["gene"].iloc[0], "vidx1": v[one], "vidx2": v[two]}
+        for i, j in CELLS:
+            for s, w in (("n", np.ones(len(y))), ("y", y), ("q", y * y)):
+                out[f"{s}{i}{j}"] = (hit[i].T @ (hit[j] * w[:, None]))[one, two]
+        return pd.DataFrame(out)
+
+    part = g.groupBy("gene", "bucket").applyInPandas(count, "gene string, vidx1 long, vidx2 long, " + ", ".join(f"{n} double" for n in names))
+    sums = part.groupBy("gene", "vidx1", "vidx2").agg(*(F.sum(n).alias(n) for n in names))
+    design = np.array([(1.0, i, j, i * j) for i, j in CELLS])
+
+    def solve(it):
+        for pdf in it:
+            out = []
+            for row in pdf.itertuples(index=False):
+                n, y, q = (np.array(row[3 + 9 * k : 12 + 9 * k], float) for k in range(3))
+                m, total = design.T @ (n[:, None] * design), n.sum()
+                if total <= 4 or np.linalg.matrix_rank(design[n > 0]) < 4:
+                    if total:
+                        out.append((*row[:3], int(total), None, None, None))
+                    continue
+                inv = np.linalg.inv(m)
+                b = inv @ (design.T @ y)
+                se = np.sqrt(max(0.0, q.sum() - b @ (design.T @ y)) / (total - 4) * inv[3, 3])
+                t = b[3] / se if se > 1e-12 else None
+                out.append((*row[:3], int(total), float(b[3]), t, None if t is None else float(special.t_sf2(t, total - 4))))
+            yield pd.DataFrame(out, columns=["gene", "vidx1", "vidx2", "n", "beta", "stat", "p"])
+
+    return sums.mapInPandas(solve, "gene string, vidx1 long, vidx2 long, n long, beta double, stat double, p double")

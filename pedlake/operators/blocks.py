@@ -39,14 +39,14 @@ def buckets(df: DataFrame, samples: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("iid"), F.lit(max(1, -(-samples // BUCKET)))).cast("int"))
 
 
-def pair_tables(c: Cohort, trait: str | None, sets: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+def pair_tables(c: Cohort, trait: str | None, sets: DataFrame | bool | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(gene, vidx1, vidx2, a00..a22[, u00..u22]): genotype tables of all pairs of variants of a group, over samples called
     at both; of cases and of controls if a trait is given.
 
-    sets: (gene, vidx), the gene sets unless given. queries: (vidx) restricts vidx1 to these variants, and pairs are
+    sets: (gene, vidx), the gene sets unless given; False if calls have a gene themselves. queries: (vidx) restricts vidx1 to these variants, and pairs are
     then (query, any other variant of the group).
     """
-    g = c.called().join(c.sets if sets is None else sets, "vidx")
+    g = c.called() if sets is False else c.called().join(c.sets if sets is None else sets, "vidx")
     if trait is not None:
         g = g.join(c.trait(trait).where(F.col("val").isin(CASE, CONTROL)).select("iid", (F.col("val") == CASE).alias("case")), "iid")
     else:

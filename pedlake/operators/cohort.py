@@ -75,7 +75,7 @@ def traits(df: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, folder: str) -> Cohort:
     read = lambda name: table(spark, folder, name)
-    return Cohort(samples(read("samples")), calls(read("genotype")), traits(read("phenotype")), read("variants").drop("gdist").dropDuplicates(["vidx"]), read("geneset").distinct())
+    return Cohort(samples(read("samples")), calls(read("genotype")), traits(read("phenotype")), read("variants").dropDuplicates(["vidx"]), read("geneset").distinct())
 
 
 #: The same cohort for DuckDB: s samples, g calls, p traits, v variants, gs sets.
@@ -86,6 +86,6 @@ s AS MATERIALIZED (SELECT iid, fid, CASE WHEN pat <> '0' THEN pat END pat, CASE
   FROM samples WHERE deleted_at IS NULL AND iid IS NOT NULL) WHERE k = 1),
 g AS MATERIALIZED (SELECT vidx, iid, g FROM (SELECT vidx, {_K.format('iid')} iid, g, row_number() OVER (PARTITION BY vidx, {_K.format('iid')} ORDER BY loaded_at DESC, geno_id DESC) k FROM genotype WHERE iid IS NOT NULL) WHERE k = 1),
 p AS MATERIALIZED (SELECT iid, trait, kind, nullif(val, -9) val FROM (SELECT {_K.format('iid')} iid, trait, kind, val, row_number() OVER (PARTITION BY {_K.format('iid')}, trait ORDER BY measured_at DESC, loaded_at DESC, pheno_id DESC) k FROM phenotype WHERE iid IS NOT NULL AND trait IS NOT NULL) WHERE k = 1),
-v AS MATERIALIZED (SELECT vidx, any_value(chrom) chrom, any_value(id) id, any_value(pos) pos, any_value(major) major, any_value(minor) minor, any_value(qual) qual, any_value(filt) filt, any_value(anno) anno, any_value(info) info FROM (SELECT DISTINCT * FROM variants) GROUP BY vidx),
+v AS MATERIALIZED (SELECT vidx, any_value(chrom) chrom, any_value(id) id, any_value(pos) pos, any_value(gdist) gdist, any_value(major) major, any_value(minor) minor, any_value(qual) qual, any_value(filt) filt, any_value(anno) anno, any_value(info) info FROM (SELECT DISTINCT * FROM variants) GROUP BY vidx),
 gs AS MATERIALIZED (SELECT DISTINCT gene, vidx FROM geneset)
 """

@@ -124,3 +124,92 @@ def standardized(traits: DataFrame) -> DataFrame:
     """Values over the standard deviation of their trait; the mean isn't removed."""
     sd = traits.groupBy("trait").agg(F.stddev_samp("val").alias("sd"))
     return traits.join(sd, "trait").select("iid", "trait", "kind", (F.col("val") / F.nullif("sd", F.lit(0.0))).alias("val"))
+
+
+def _bound(text: str, names: set[str]) -> Column:
+    text = text.strip()
+    return F.col(text) if text in names else F.lit(float(text))
+
+
+def variable_rule(rule: str, names: set[str]) -> Column:
+    """Whether a sample is dropped by ``v < x < w`` (or one side): bounds are numbers or other variables; a missing value or bound keeps it."""
+    import operator
+    import re
+
+    parts = re.split(r"(<=|>=|<|>|==|!=)", rule)
+    if len(parts) not in (3, 5):
+        raise ValueError(f"not a range: {rule}")
+    op = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
+    kept = F.lit(True)
+    for i in range(0, len(parts) - 2, 2):
+        kept = kept & F.coalesce(op[parts[i + 1]](_bound(parts[i], names), _bound(parts[i + 2], names)), F.lit(True))
+    return ~kept
+
+
+def filter_samples(c: Cohort, ranges: list[str] | None = None, status: str | None = None, trait: str | None = None, with_trait: bool = False, **rules) -> DataFrame:
+    """Samples with their reasons: ranges over traits, ``status`` case or control of a trait, samples without the trait, and ``sample_rules``."""
+    import re
+
+    s, own = c.samples, sample_rules(**rules)
+    names = {w.strip() for r in ranges or [] for w in re.split(r"<=|>=|<|>|==|!=", r) if not _number(w)}
+    for name in sorted(names):
+        s = s.join(c.trait(name).select("iid", F.col("val").alias(name)), "iid", "left")
+    own |= {f"range {r}": variable_rule(r, names) for r in ranges or []}
+    if trait:
+        s = s.join(c.trait(trait).select("iid", F.col("val").alias("trait_")), "iid", "left")
+        if status:
+            own["status"] = ~F.coalesce(F.col("trait_") == {"case": 2.0, "control": 1.0}[status], F.lit(False))
+        if with_trait:
+            own["no trait"] = F.col("trait_").isNull()
+    return reasons(s, own)
+
+
+def _number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
+
+
+def error_rules(c: Cohort, trait: str | None = None, mendel_share: str | None = None, missing_p: float | None = None, gdist: str | None = None, info_af: str | None = None) -> DataFrame:
+    """Variants with their reasons by Mendelian error share and genetic distance that must be in ranges, by differential missingness of
+    cases and controls, and by the frequency in INFO AF, folded at one half."""
+    from pedlake.operators.qc import mendel, missing_test
+
+    v, own = c.variants, {}
+    if mendel_share:
+        v = v.join(mendel(c, "vidx").select("vidx", "prop"), "vidx", "left")
+        own["mendel"] = ~in_range(F.coalesce("prop", F.lit(0.0)), mendel_share)
+    if missing_p is not None:
+        v = v.join(missing_test(c, trait).select("vidx", "p_missing"), "vidx", "left")
+        own["missing"] = F.col("p_missing") < missing_p
+    if gdist:
+        own["gdist"] = ~in_range(F.col("gdist"), gdist)
+    if info_af:
+        af = F.try_element_at("info", F.lit("AF")).try_cast("double")
+        own["info_af"] = ~in_range(F.least(af, 1 - af), info_af)
+    return reasons(v, own)
+
+
+def filter_cells(cells: DataFrame, rule: str, genotype: str = "g") -> DataFrame:
+    """Cells with their genotype set to missing where a rule over their own fields (GQ, DP and so on) is true."""
+    hit = F.coalesce(expression(rule, lambda n: F.col(n).try_cast("double")), F.lit(False))
+    return cells.withColumn(genotype, F.when(~hit, F.col(genotype)))
+
+
+def random_count(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """The n rows of least hash of (key, seed): the same ones whatever the order of rows."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def random_missing(calls: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """Calls with about ``share`` of the genotypes set to missing."""
+    u = F.pmod(F.xxhash64("vidx", "iid", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return calls.select("vidx", "iid", F.when(u >= share, F.col("g")).alias("g"))
+
+
+def random_missing_traits(traits: DataFrame, share: float, seed: int = 1) -> DataFrame:
+    """Traits with about ``share`` of the values set to missing."""
+    u = F.pmod(F.xxhash64("iid", "trait", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return traits.withColumn("val", F.when(u >= share, F.col("val")))

@@ -294,3 +294,19 @@ def kbac(c: Cohort, trait: str, rare: float = 0.05, permutations: int = 1000, tw
     if not n1 or not n0:
         return pattern_counts(c, trait, rare).limit(0).select("gene", F.lit(0).alias("n_pattern"), F.lit(0).alias("n_carrier"), F.lit(0.0).alias("stat_kbac"), F.lit(0.0).alias("p_kbac"))
     return pattern_counts(c, trait, rare).groupBy("gene").applyInPandas(test, "gene string, n_pattern int, n_carrier int, stat_kbac double, p_kbac double")
+
+
+def longitudinal(c: Cohort, measures: list[str], rare: float = 0.05) -> DataFrame:
+    """Burden, SKAT and SKAT-O of repeated measures of a trait, over samples with all of them: scores of each measure side by side, their
+    covariance the Kronecker product of that of the measures and that of the genotypes."""
+    y = c.trait(measures[0]).withColumnRenamed("val", "m0")
+    for k, name in enumerate(measures[1:], 1):
+        y = y.join(c.trait(name).withColumnRenamed("val", f"m{k}"), "iid")
+
+    def fit(gene, v, n, xx, xy, yy, mean, rows):
+        w = _weights(rows["maf"])
+        u = np.asarray(xy).reshape(len(v), -1) * w[:, None]
+        sigma = np.asarray(yy).reshape(u.shape[1], -1) / max(1, n - 1)
+        return pd.DataFrame([(gene, len(v), n, *kernels(u.T.ravel(), np.kron(sigma, xx * np.outer(w, w))))], columns=["gene", *(x.split()[0] for x in KERNELS.split(", "))])
+
+    return moments(rare_calls(c, rare), c.sets, y, fit, "gene string, " + KERNELS, ["maf"])

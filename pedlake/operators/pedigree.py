@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pedlake.operators.cohort import Cohort
+from pedlake.plans.scratch import Scratch
 
 
 def pairs_of(n: Column) -> Column:
@@ -144,3 +145,108 @@ def grm_relatives(c: Cohort) -> DataFrame:
     std = g.join(freq, "vidx").select("vidx", "iid", ((F.col("g") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))).alias("x"))
     pair = std.join(_links(c), "iid").join(std.select("vidx", F.col("iid").alias("parent"), F.col("x").alias("y")), ["vidx", "parent"])
     return pair.groupBy("iid", "parent").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("x") * F.col("y")).alias("grm"))
+
+
+def relative_pairs(c: Cohort) -> DataFrame:
+    """(relation, iid1, iid2): every unordered pair of the nine relations, the elder or lesser first; sib pairs stand once as ``sib`` and once
+    by sex, where known. Pairs are formed inside sibships and along links only; half sibs inside a common parent's couples."""
+    links = _links(c)
+    full = c.samples.where("pat is not null and mat is not null").select("iid", "pat", "mat", "sex")
+    two = full.select(F.col("iid").alias("iid2"), "pat", "mat", F.col("sex").alias("sex2"))
+    sib = full.join(two, ["pat", "mat"]).where("iid < iid2")
+    by_sex = F.when((F.col("sex") == 2) & (F.col("sex2") == 2), "sister_sister").when((F.col("sex") == 1) & (F.col("sex2") == 1), "brother_brother").when(F.col("sex").isin(1, 2) & F.col("sex2").isin(1, 2), "brother_sister")
+    pair = lambda df, name, a, b: df.select((F.lit(name) if isinstance(name, str) else name).alias("relation"), F.col(a).alias("iid1"), F.col(b).alias("iid2"))
+    up = links.select(F.col("iid").alias("parent"), F.col("parent").alias("grand"))
+    both = sib.select(F.col("iid").alias("parent"), F.col("iid2").alias("aunt")).unionByName(sib.select(F.col("iid2").alias("parent"), F.col("iid").alias("aunt")))
+    half = []
+    for same, other in (("pat", "mat"), ("mat", "pat")):
+        h = full.join(full.select(F.col("iid").alias("iid2"), same, F.col(other).alias("other")), same).where((F.col("iid") < F.col("iid2")) & (F.col(other) != F.col("other")))
+        half.append(pair(h, "half_sib", "iid", "iid2"))
+    cousins = links.join(sib.select(F.col("iid").alias("parent"), F.col("iid2").alias("q")), "parent").select(F.col("iid").alias("a"), "q").join(links.select(F.col("iid").alias("b"), F.col("parent").alias("q")), "q")
+    parts = [
+        pair(links, "parent_offspring", "parent", "iid"), pair(sib, "sib", "iid", "iid2"), pair(sib, by_sex, "iid", "iid2").where("relation is not null"), pair(links.join(up, "parent"), "grandparent", "grand", "iid"),
+        pair(links.join(both, "parent"), "avuncular", "aunt", "iid"), *half, cousins.select(F.lit("cousin").alias("relation"), F.least("a", "b").alias("iid1"), F.greatest("a", "b").alias("iid2")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def relation_correlations(c: Cohort, trait: str, other: str | None = None, least: int = 3) -> DataFrame:
+    """Correlation of a trait with itself, or with another trait, over the pairs of each relation and within persons (self).
+
+    Pairs of one trait enter in both orders where the relation is symmetric. The standard error is the jackknife's over
+    families of the first member, since pairs of one family depend on each other; p is that of the normal. Relations of fewer
+    than ``least`` pairs are left out.
+    """
+    y = c.trait(trait).select("iid", F.col("val").alias("x"))
+    z = c.trait(other or trait).select("iid", F.col("val").alias("z"))
+    pairs = relative_pairs(c).where("iid1 != iid2")
+    symmetric = F.col("relation").isin("sib", "sister_sister", "brother_brother", "half_sib", "cousin")
+    turned = pairs.where(symmetric).select("relation", F.col("iid2").alias("iid1"), F.col("iid1").alias("iid2"))
+    ends = pairs.withColumn("w", F.when(symmetric, 0.5).otherwise(1.0)).unionByName(turned.withColumn("w", F.lit(0.5)))
+    t = ends.join(y.withColumnRenamed("iid", "iid1"), "iid1").join(z.withColumnRenamed("iid", "iid2"), "iid2")
+    t = t.join(c.samples.select(F.col("iid").alias("iid1"), "fid"), "iid1", "left").select("relation", "fid", "w", "x", "z")
+    if other is not None:
+        own = y.join(z, "iid").join(c.samples.select("iid", "fid"), "iid", "left").select(F.lit("self").alias("relation"), "fid", F.lit(1.0).alias("w"), "x", "z")
+        t = t.unionByName(own)
+    names = {"n": F.col("w"), "sx": F.col("w") * F.col("x"), "sz": F.col("w") * F.col("z"), "sxx": F.col("w") * F.col("x") * F.col("x"), "szz": F.col("w") * F.col("z") * F.col("z"), "sxz": F.col("w") * F.col("x") * F.col("z")}
+    fam = t.groupBy("relation", "fid").agg(*(F.sum(e).alias(k) for k, e in names.items()))
+    whole = fam.groupBy("relation").agg(*(F.sum(k).alias(f"t_{k}") for k in names), F.count(F.lit(1)).alias("n_family"))
+
+    def corr(v):
+        vx, vz = v["sxx"] - v["sx"] * v["sx"] / v["n"], v["szz"] - v["sz"] * v["sz"] / v["n"]
+        ok = (v["n"] > 1e-9) & (vx > 1e-12) & (vz > 1e-12)
+        return F.when(ok, (v["sxz"] - v["sx"] * v["sz"] / v["n"]) / F.sqrt(F.when(ok, vx * vz)))
+
+    left = fam.join(whole, "relation").withColumn("r_left", corr({k: F.col(f"t_{k}") - F.col(k) for k in names}))
+    spread = left.groupBy("relation").agg(F.var_pop("r_left").alias("v"), F.count("r_left").alias("m"))
+    out = whole.join(spread, "relation").where(F.col("t_n") > least - 1e-9).withColumn("r", corr({k: F.col(f"t_{k}") for k in names}))
+    se = F.sqrt((F.col("m") - 1) * F.col("v"))
+    out = out.select("relation", F.round("t_n").cast("long").alias("n_pair"), "n_family", "r", F.when(F.col("m") > 1, se).alias("se"))
+    return out.withColumn("z", F.col("r") / F.nullif("se", F.lit(0.0)))
+
+
+def generations(c: Cohort, most: int = 1000) -> DataFrame:
+    """(iid, generation): 1 for persons without a named parent, else one more than the deepest parent's; persons on or below a cycle have null.
+
+    Rounds of joins, as many as the deepest pedigree has generations; parents without a row count as the first.
+    """
+    scratch = Scratch(c.samples.sparkSession, "generations")
+    links = scratch.cut(_links(c))
+    named = scratch.cut(c.samples.select("iid").unionByName(links.select(F.col("parent").alias("iid"))).distinct())
+    done = [scratch.cut(named.join(links.select("iid"), "iid", "left_anti").withColumn("generation", F.lit(1)))]
+    for g in range(2, most):
+        placed = reduce(DataFrame.unionByName, done).select(F.col("iid").alias("parent"), F.lit(True).alias("placed"))
+        ready = links.join(placed, "parent", "left").groupBy("iid").agg(F.count_if(F.col("placed").isNull()).alias("n")).where("n = 0").select("iid")
+        done.append(scratch.cut(ready.join(placed.select(F.col("parent").alias("iid")), "iid", "left_anti").withColumn("generation", F.lit(g))))
+        if not scratch.rows:
+            break
+    return c.samples.select("iid").join(reduce(DataFrame.unionByName, done), "iid", "left")
+
+
+def pedigree_loops(c: Cohort) -> DataFrame:
+    """Per connected pedigree with a couple: persons named, couples, generations, marriage rings and all loops.
+
+    In the graph of persons and couples, with an edge from a couple to each mate and each child, loops are edges - nodes + 1; rings
+    are those of the edges to mates alone.
+    """
+    from pedlake.operators.components import components
+
+    scratch = Scratch(c.samples.sparkSession, "loops")
+    kids = scratch.cut(c.samples.select("iid", "pat", "mat"))
+    both = kids.where("pat is not null and mat is not null")
+    couple = F.concat_ws("\u0001", "pat", "mat")
+    single = kids.where(F.col("pat").isNull() != F.col("mat").isNull()).select("iid", F.coalesce("pat", "mat").alias("mate"))
+    mates = both.select(couple.alias("couple"), F.explode(F.array("pat", "mat")).alias("mate")).distinct()
+    edges = scratch.cut(mates.select(F.concat(F.lit("c"), "couple").alias("a"), F.concat(F.lit("p"), "mate").alias("b"), F.lit(True).alias("mate")).unionByName(both.select(F.concat(F.lit("c"), couple).alias("a"), F.concat(F.lit("p"), "iid").alias("b"), F.lit(False).alias("mate"))).unionByName(single.select(F.concat(F.lit("p"), "mate").alias("a"), F.concat(F.lit("p"), "iid").alias("b"), F.lit(False).alias("mate"))))
+    part = scratch.cut(components(edges))
+    count = edges.join(part.withColumnRenamed("vertex", "a"), "a").groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    nodes = part.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.startswith("vertex", F.lit("p"))).alias("n_person"), F.count_if(F.startswith("vertex", F.lit("c"))).alias("n_couple"))
+    rings = edges.where("mate")
+    sub = scratch.cut(components(rings))
+    ring_nodes = sub.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    ring_edges = rings.join(sub.withColumnRenamed("vertex", "a"), "a").groupBy("component", F.lit(1).alias("one")).agg(F.count(F.lit(1)).alias("edges"), F.min("a").alias("a"))
+    per = ring_edges.join(ring_nodes, "component").select("a", (F.col("edges") - F.col("nodes") + 1).alias("ring")).join(part.withColumnRenamed("vertex", "a"), "a").groupBy("component").agg(F.sum("ring").alias("n_ring"))
+    deep = generations(c).select(F.concat(F.lit("p"), "iid").alias("vertex"), "generation").join(part, "vertex").groupBy("component").agg(F.max("generation").alias("n_generation"))
+    out = nodes.join(count, "component").join(per, "component", "left").join(deep, "component", "left").where("n_couple > 0")
+    least = part.where(F.startswith("vertex", F.lit("p"))).groupBy("component").agg(F.min(F.substring("vertex", 2, 1 << 30)).alias("pedigree"))
+    return out.join(least, "component").select("pedigree", "n_person", "n_couple", "n_generation", F.coalesce("n_ring", F.lit(0)).alias("n_ring"), (F.col("edges") - F.col("nodes") + 1).alias("n_loop"))

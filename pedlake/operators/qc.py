@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pedlake.functions.stats import hwe_exact
+from pedlake.functions.stats import fisher_exact, hwe_exact
 from pedlake.operators.cohort import Cohort
 
 
@@ -185,3 +185,37 @@ def top_variants(c: Cohort, k: int = 10) -> DataFrame:
     """The k variants of greatest frequency in each chromosome, ties by vidx, with their rank."""
     w = Window.partitionBy("chrom").orderBy(F.desc("maf"), "vidx")
     return allele_freq(c).join(c.variants.select("vidx", "chrom"), "vidx").where("chrom is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("chrom", "rank", "vidx", "maf")
+
+
+def inbreeding(c: Cohort, sex_chromosomes: bool = False) -> DataFrame:
+    """Observed and expected homozygotes, minor alleles carried, and F per sample over autosomes, or over X of females."""
+    freq = _with_samples(c).groupBy("vidx").agg(F.sum(F.col("g").cast("long")).alias("a"), F.count("g").alias("n"))
+    p = F.col("a") / (2.0 * F.col("n"))
+    where = "chrom = 23" if sex_chromosomes else "chrom between 1 and 22"
+    t = freq.where((F.col("a") > 0) & (F.col("a") < 2 * F.col("n"))).join(c.variants.where(where).select("vidx"), "vidx").select("vidx", p.alias("p"), (1 - 2 * p * (1 - p)).alias("e"))
+    cells = _with_samples(c, "sex").where("sex = 2" if sex_chromosomes else "true").join(t, "vidx")
+    minor = F.when(F.col("p") > 0.5, 2 - F.col("g")).otherwise(F.col("g"))
+    m = cells.groupBy("iid").agg(count_if(F.col("g") != 1).alias("obs_hom"), F.sum("e").alias("exp_hom"), F.sum(minor.cast("long")).alias("mac"), F.count("g").alias("n"))
+    return m.withColumn("f", F.when(F.abs(F.col("n") - F.col("exp_hom")) > 1e-9, (F.col("obs_hom") - F.col("exp_hom")) / (F.col("n") - F.col("exp_hom"))))
+
+
+def missing_test(c: Cohort, trait: str) -> DataFrame:
+    """Fisher's p of missing calls by case status per variant."""
+    return missing_by_status(c, trait).withColumn("p_missing", fisher_exact("case_missing", "case_called", "control_missing", "control_called"))
+
+
+def marker_check(c: Cohort, reference: DataFrame) -> DataFrame:
+    """Variants that a reference (id, chrom, pos, major, minor) doesn't confirm, with the reason: id, position or alleles."""
+    r = reference.select("id", F.col("chrom").alias("r_chrom"), F.col("pos").alias("r_pos"), F.array_sort(F.array("major", "minor")).alias("r_alleles")).dropDuplicates(["id"])
+    t = c.variants.where("id is not null and id != '.'").join(r, "id", "left")
+    place = ~(F.col("chrom").eqNullSafe(F.col("r_chrom")) & F.col("pos").eqNullSafe(F.col("r_pos")))
+    why = F.when(F.col("r_alleles").isNull(), "id").when(place, "position").when(~F.array_sort(F.array("major", "minor")).eqNullSafe(F.col("r_alleles")), "alleles")
+    return t.select("vidx", "id", why.alias("reason")).where("reason is not null")
+
+
+def sample_dosages(c: Cohort, bins: int = 20) -> DataFrame:
+    """Histogram of dosages, missing ones at the mean, for each sample."""
+    freq = c.called().groupBy("vidx").agg(F.avg("g").alias("mean"))
+    d = F.coalesce(F.col("g").cast("double"), F.col("mean"))
+    t = c.calls.join(freq, "vidx").select("iid", F.least(F.floor(d * bins / 2), F.lit(bins - 1)).cast("int").alias("bin"))
+    return t.groupBy("iid", "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -286,6 +286,58 @@ def prune(c: Cohort, window: int = 50, step: int = 5, r2: float = 0.5) -> DataFr
     return order.select("vidx").join(dropped, "vidx", "left_anti")
 
 
+def prune_vif(c: Cohort, window: int = 50, step: int = 5, most: float = 2.0) -> DataFrame:
+    """Variants kept by variance inflation: in each window of founders' genotypes, one of a perfectly correlated pair goes (the rarer),
+    then the variant of greatest inflation as long as that is above ``most``.
+
+    Correlations come from one pass over pairs less than a window apart; the windows of a chromosome, which depend on each
+    other, are walked over them.
+    """
+    from pedlake.operators.blocks import pair_tables
+
+    w = Window.partitionBy("chrom").orderBy("pos", "vidx")
+    order = c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", (F.row_number().over(w) - 1).alias("i"))
+    block = F.floor(F.col("i") / window)
+    sets = order.select("vidx", F.explode(F.array(F.concat_ws(":", "chrom", block), F.concat_ws(":", "chrom", block - 1))).alias("gene"))
+    founders = c.calls.join(c.samples.where("founder").select("iid"), "iid", "left_semi")
+    t = pair_tables(Cohort(c.samples, founders, c.traits, c.variants, c.sets), None, sets).drop("gene").dropDuplicates(["vidx1", "vidx2"])
+    cell = {(i, j): F.col(f"a{i}{j}").cast("double") for i in range(3) for j in range(3)}
+    n = sum(cell.values())
+    sx, sy = sum(i * x for (i, _), x in cell.items()), sum(j * x for (_, j), x in cell.items())
+    vx, vy = n * sum(i * i * x for (i, _), x in cell.items()) - sx * sx, n * sum(j * j * x for (_, j), x in cell.items()) - sy * sy
+    r = F.when((vx > 0) & (vy > 0), (n * sum(i * j * x for (i, j), x in cell.items()) - sx * sy) / F.sqrt(vx * vy))
+    place = order.select("vidx", "chrom", "i")
+    freq = founders.where("g is not null").groupBy("vidx").agg((F.avg("g") / 2).alias("p"))
+    pairs = t.select("vidx1", "vidx2", r.alias("r")).where("r is not null").join(place.withColumnsRenamed({"vidx": "vidx1", "i": "i1"}), "vidx1").join(place.drop("chrom").withColumnsRenamed({"vidx": "vidx2", "i": "i2"}), "vidx2").where(F.abs(F.col("i1") - F.col("i2")) < window)
+    rows = pairs.select("chrom", "i1", "i2", "r").unionByName(place.join(freq, "vidx").select("chrom", F.col("i").alias("i1"), F.lit(-1).alias("i2"), F.least("p", 1 - F.col("p")).alias("r")))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        single = pdf[pdf["i2"] < 0]
+        maf = dict(zip(single["i1"], single["r"]))
+        cor = {frozenset(x): v for *x, v in pdf[pdf["i2"] >= 0][["i1", "i2", "r"]].itertuples(index=False)}
+        gone: set[int] = set()
+        for s in range(0, int(max(maf, default=-1)) + 1, step):
+            live = [i for i in range(s, s + window) if i not in gone and maf.get(i, 0.0) > 0]
+            if len(live) < 2:
+                continue
+            m = np.array([[1.0 if a == b else cor.get(frozenset((a, b)), 0.0) for b in live] for a in live])
+            for a in range(len(live)):
+                for b in range(a):
+                    if abs(m[a, b]) > 1 - 1e-9 and live[a] not in gone and live[b] not in gone:
+                        gone.add(live[a] if maf[live[a]] <= maf[live[b]] else live[b])
+            keep = [k for k, i in enumerate(live) if i not in gone]
+            while len(keep) > 1:
+                vif = np.diag(np.linalg.pinv(m[np.ix_(keep, keep)]))
+                k = int(np.argmax(vif))
+                if vif[k] <= most:
+                    break
+                gone.add(live[keep.pop(k)])
+        return pd.DataFrame({"chrom": pdf["chrom"].iloc[0], "i": sorted(gone)}).astype({"i": "int32"})
+
+    dropped = rows.groupBy("chrom").applyInPandas(walk, "chrom int, i int")
+    return order.join(dropped, ["chrom", "i"], "left_anti").select("vidx")
+
+
 def _lasso(gene: str, v: np.ndarray, n: int, xx: np.ndarray, xy: np.ndarray, lambdas: int) -> list[tuple]:
     """Coordinate descent on the moments of centred genotypes and trait."""
     norm = np.diag(xx)
@@ -343,6 +395,67 @@ def linkage(c: Cohort, thetas: tuple[float, ...] = (0.0, 0.01, 0.05, 0.1, 0.2, 0
     return grid.withColumn("lod", score.cast("double"))
 
 
+def linkage_verdict(c: Cohort) -> DataFrame:
+    """The best recombination fraction of neighbouring variants in [0, 0.5], its LOD score and the verdict: LINKED from 3, POSSIBLE from 1.73,
+    NOT_LINKED when the score at 0.05 is -2 or less, else AMBIGUOUS."""
+    t = linkage(c, (0.05,))
+    k, n = F.col("n_rec").cast("double"), (F.col("n_rec") + F.col("n_non")).cast("double")
+    th = F.least(k / n, F.lit(0.5))
+    log = lambda x, y: F.when(x > 0, x * F.log10(F.when(y > 0, y))).otherwise(0.0)
+    best = log(k, th) + log(n - k, 1 - th) + n * F.log10(F.lit(2.0))
+    t = t.select("vidx1", "vidx2", "n_rec", "n_non", F.col("lod").alias("lod_05"), th.alias("theta"), best.alias("lod"))
+    verdict = F.when(F.col("lod") >= 3, "LINKED").when(F.col("lod") >= 1.73, "POSSIBLE").when(F.col("lod_05") <= -2, "NOT_LINKED").otherwise("AMBIGUOUS")
+    return t.withColumn("verdict", verdict)
+
+
+def genotype_elimination(c: Cohort) -> DataFrame:
+    """(pedigree, vidx): variants whose calls no assignment of genotypes in a pedigree's nuclear families can explain.
+
+    Sets of possible genotypes are narrowed from parents to children and back until nothing changes, for all variants of a
+    pedigree at once. Complete in pedigrees without loops.
+    """
+    packed = c.called().groupBy("iid").agg(F.collect_list("vidx").alias("v"), F.collect_list("g").alias("g"))
+    rows = pedigrees(c).join(packed, "iid", "left")
+    # child sets by parents' genotypes, as bits 1, 2, 4
+    child = np.array([[1, 3, 2], [3, 7, 6], [2, 6, 4]])
+
+    def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, p in pdf.groupby("pedigree", sort=False):
+            names = list(dict.fromkeys([*p["iid"], *(x for col in ("pat", "mat") for x in p[col] if isinstance(x, str))]))
+            at = {k: i for i, k in enumerate(names)}
+            called = [(at[i], v, g) for i, v, g in p[["iid", "v", "g"]].itertuples(index=False) if v is not None]
+            if not called:
+                continue
+            ids, where = np.unique(np.concatenate([v for _, v, _ in called]), return_inverse=True)
+            s = np.full((len(names), len(ids)), 7, dtype=np.int64)
+            s[np.repeat([i for i, _, _ in called], [len(v) for _, v, _ in called]), where] = 1 << np.concatenate([g for *_, g in called]).astype(np.int64)
+            trios = [(at[k], at.get(a), at.get(b)) for k, a, b in p[["iid", "pat", "mat"]].itertuples(index=False) if isinstance(a, str) or isinstance(b, str)]
+            for _ in range(4 * len(names) + 4):
+                before = s.copy()
+                for k, a, b in trios:
+                    fa = s[a] if a is not None else np.full(len(ids), 7)
+                    mo = s[b] if b is not None else np.full(len(ids), 7)
+                    new_k, new_a, new_b = (np.zeros(len(ids), dtype=np.int64) for _ in range(3))
+                    for x in range(3):
+                        for y in range(3):
+                            ok = (fa >> x & 1) * (mo >> y & 1) * ((s[k] & child[x, y]) > 0)
+                            new_k |= ok * (s[k] & child[x, y])
+                            new_a |= ok << x
+                            new_b |= ok << y
+                    s[k] = new_k
+                    if a is not None:
+                        s[a] = new_a
+                    if b is not None:
+                        s[b] = new_b
+                if (s == before).all():
+                    break
+            out.append(pd.DataFrame({"pedigree": name, "vidx": ids[(s == 0).any(0)]}))
+        return pd.concat(out) if out else pd.DataFrame({"pedigree": pd.Series([], dtype=str), "vidx": pd.Series([], dtype="int64")})
+
+    return rows.groupBy(_task(c)).applyInPandas(narrow, "pedigree string, vidx long")
+
+
 def impute_mean(c: Cohort) -> DataFrame:
     """Missing genotypes at twice the frequency of the variant."""
     freq = c.called().groupBy("vidx").agg(F.avg("g").alias("mean"))
