@@ -8,6 +8,7 @@ binary genotypes are written by tasks as parts and joined by a stream copy.
 from __future__ import annotations
 
 import html
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,6 +220,55 @@ def read_bed(spark: SparkSession, path: str, n_samples: int, n_variants: int | N
     return parts.mapInPandas(run, f"{key} long, g array<tinyint>")
 
 
+def _bgen_variant(v, g: np.ndarray) -> bytes:
+    """A variant of a BGEN file (layout 2, zlib, 8 bits): fixed fields of the format."""
+    text = lambda x, size: len(x := str(x).encode()).to_bytes(size, "little") + x
+    n = len(g)
+    head = text(v.id, 2) + text(v.id, 2) + text(v.chrom, 2) + int(v.pos).to_bytes(4, "little") + (2).to_bytes(2, "little") + text(v.major, 4) + text(v.minor, 4)
+    ploidy = np.where(g < 0, 0x82, 2).astype(np.uint8).tobytes()
+    prob = np.array([[255, 0], [0, 255], [0, 0], [0, 0]], dtype=np.uint8)[np.where(g < 0, 3, g)].tobytes()
+    data = n.to_bytes(4, "little") + (2).to_bytes(2, "little") + b"\x02\x02" + ploidy + b"\x00\x08" + prob
+    packed = zlib.compress(data)
+    return head + (len(packed) + 4).to_bytes(4, "little") + len(data).to_bytes(4, "little") + packed
+
+
+def write_bgen(calls: DataFrame, variants: DataFrame, samples: DataFrame, path: str) -> None:
+    """A BGEN file with its sample ids: probabilities 0 or 1 of hard calls, missing samples marked. Tasks write parts, copied in order."""
+    spark = calls.sparkSession
+    order = ordered_samples(samples)
+    names = [r["iid"].encode() for r in order.orderBy("k").select("iid").collect()]  # the header holds them all
+    n = len(names)
+    t = Scratch(spark, "bgen").cut(_with_calls(calls, variants.where("pos is not null"), order, n).select("vidx", F.coalesce("id", F.lit(".")).alias("id"), F.coalesce(F.col("chrom").cast("string"), F.lit("0")).alias("chrom"), "pos", F.coalesce("major", F.lit("N")).alias("major"), F.coalesce("minor", F.lit("N")).alias("minor"), "g").withColumn("at", F.monotonically_increasing_id()))
+    rows = number(t, "at").withColumnRenamed("n", "line")
+    parts = f"{path}.parts"
+    system, name = fs.FileSystem.from_uri(parts) if "://" in parts else (fs.LocalFileSystem(), parts)
+    system.create_dir(name, recursive=True)
+
+    def put(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, out = None, []
+        for pdf in it:
+            first = int(pdf["line"].iloc[0]) if first is None and len(pdf) else first
+            out += [_bgen_variant(v, np.asarray(v.g)) for v in pdf.itertuples(index=False)]
+        if first is not None:
+            with open_file(f"{parts}/{first:020d}", "wb") as f:
+                for b in out:
+                    f.write(b)
+            yield pd.DataFrame({"first": [first], "n": [len(out)]})
+
+    done = sorted((r["first"], r["n"]) for r in rows.orderBy("line").mapInPandas(put, "first long, n long").collect())  # a row per task
+    ids = n.to_bytes(4, "little") + b"".join(len(x).to_bytes(2, "little") + x for x in names)
+    ids = (len(ids) + 4).to_bytes(4, "little") + ids
+    flags = 1 | 2 << 2 | 1 << 31  # zlib, layout 2, sample ids
+    head = (20).to_bytes(4, "little") + sum(k for _, k in done).to_bytes(4, "little") + n.to_bytes(4, "little") + b"bgen" + flags.to_bytes(4, "little")
+    with open_file(path, "wb") as out:
+        out.write((len(head) + len(ids)).to_bytes(4, "little") + head + ids)
+        for k, _ in done:
+            with open_file(f"{parts}/{k:020d}") as f:
+                while block := f.read(1 << 24):
+                    out.write(block)
+    system.delete_dir(name)
+
+
 def write_by_gene(calls: DataFrame, variants: DataFrame, samples: DataFrame, sets: DataFrame, path: str) -> None:
     """Long rows of genotypes with a folder per gene."""
     t = calls.join(sets, "vidx").select("gene", "vidx", "iid", "g")
@@ -334,6 +384,11 @@ def _bed(tables, path, **options):
     write_bed(tables.calls, tables.variants, tables.samples, path, **options)
 
 
+@writer("bgen")
+def _bgen(tables, path, **options):
+    write_bgen(tables.calls, tables.variants, tables.samples, path)
+
+
 def _lines_writer(name, make):
     @writer(name)
     def put(tables, path, compression=None, **options):

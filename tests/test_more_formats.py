@@ -164,3 +164,40 @@ def test_plots(spark):
     df = spark.createDataFrame([(1 + i % 3, 1000 * i, (i + 1) / 101) for i in range(100)], "chrom int, pos int, p double")
     for svg in (writers.histogram_svg(df, "p"), writers.qq_svg(df), writers.manhattan_svg(df), writers.pedigree_svg([("a", None, None, 1), ("b", None, None, 2), ("c", "a", "b", 1)]), writers.histogram_svg(df.limit(0), "p")):
         assert ET.fromstring(svg).tag.endswith("svg")
+
+
+def test_bgen(spark, c, tmp_path):
+    """The file is read back by the fields of its format."""
+    import zlib
+
+    path = str(tmp_path / "x.bgen")
+    writers.write_bgen(c.calls, c.variants, c.samples, path)
+    data = open(path, "rb").read()
+    number = lambda a, k: int.from_bytes(data[a : a + k], "little")
+    at, m, n = 4 + number(0, 4), number(8, 4), number(12, 4)
+    assert (m, n, data[16:20]) == (9, 21, b"bgen")
+    who, p = [], 4 + 20 + 8
+    for _ in range(n):
+        k = number(p, 2)
+        who.append(data[p + 2 : p + 2 + k].decode())
+        p += 2 + k
+    assert p == at
+    want = {(r["vidx"], r["iid"]): r["g"] for r in c.calls.collect()}
+    for _ in range(m):
+        texts = []
+        for size in (2, 2, 2):
+            k = number(at, size)
+            texts.append(data[at + size : at + size + k].decode())
+            at += size + k
+        at += 6
+        for _ in range(2):
+            at += 4 + number(at, 4)
+        size, whole = number(at, 4), number(at + 4, 4)
+        block = zlib.decompress(data[at + 8 : at + 4 + size])
+        assert len(block) == whole == 10 + 3 * n
+        at += 4 + size
+        for j, s in enumerate(who):
+            a, b = block[10 + n + 2 * j], block[11 + n + 2 * j]
+            g = None if block[8 + j] & 0x80 else 0 if a == 255 else 1 if b == 255 else 2
+            assert g == want[int(texts[0][1:]), s]
+    assert at == len(data)
