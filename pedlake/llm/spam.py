@@ -58,6 +58,7 @@ BARE, BLOCK = 0.8, 512
 
 HIDDEN = re.compile("[­​-‏‪-‮⁠﻿]")
 CONTROLS = dict.fromkeys((1, 2, 3, 4), " ")
+MARKS = re.compile("[\x01-\x04]")
 FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)", re.S | re.I)
 HREF = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'\s<>]++)[^<>]*+>", re.I)
 HTML = re.compile(r"</?[a-zA-Z][^<>]*>")
@@ -83,11 +84,10 @@ JOINED_ROW = regex.compile(rf"(?:{JOINED.pattern}[\s,;|]*+){{3,}}")
 SHAPE = re.compile(r"[=(){}\[\]<>\\|&$@*^]|\w[:;]\s*$|;\s|::|\w_\w|(?:^|\s)[-~./]+\w|(?:^|[\s,])\d|^(?:for|while|if|else|elif|def|class|import|from|return|try|except|print|cd|ls|cat|grep|awk|sed|git|pip|sudo|export|echo)\b")
 STATEMENT = re.compile(r"[;{}]\s*$|\s-[a-z][\w-]*[\s=]|<-|::|->|=>")
 COMMAND = re.compile(r"^(?:\$ |>>> |#!|//(?!\x04)|--\w)\s?\S|\s--[a-z][\w-]*[\s=]")
-TERM = regex.compile(
-    r"(?P<u>\x04\S+|(?:https?://|www\.)[^\s<>()\[\]\"']+)|(?P<t>[#＃][\p{L}\p{N}][\p{L}\p{M}\p{N}_\-]*)"
-    r"|(?P<w>[\p{L}\p{M}][\p{L}\p{M}\p{N}'’_\-]*(?:[./][\p{L}\p{N}_]+)*)|(?P<n>[\p{N}][\p{N}\p{L}.,:/%\-]*)|\x02(?P<d>[0-9]+)|\x03(?P<x>[0-9]+)"
-    r"|(?P<p>[,;|/•·▪、，；]|(?<=\s)[\-–—](?=\s))|(?P<e>[.!?](?=\s|$)|[。！？؟।])"
-)
+#: Links, tags, words, numbers, marked code and letters, separators and ends of sentences, in lines of ASCII and of any writing.
+_REST = r"|[0-9][0-9%s.,:/%%\-]*|\x02[0-9]+|\x03[0-9]+|[,;|/%s]|(?<=\s)[\-%s](?=\s)|[.!?](?=\s|$)"
+ASCII_TERM = re.compile(r"\x04\S+|(?:https?://|www\.)[^\s<>()\[\]\"']+|#[A-Za-z0-9][\w\-]*|[A-Za-z][A-Za-z0-9'_\-]*(?:[./][A-Za-z0-9_]+)*" + _REST % ("A-Za-z", "", ""), re.ASCII)
+TERM = regex.compile(r"\x04\S+|(?:https?://|www\.)[^\s<>()\[\]\"']+|[#＃][\p{L}\p{N}][\p{L}\p{M}\p{N}_\-]*|[\p{L}\p{M}][\p{L}\p{M}\p{N}'’_\-]*(?:[./][\p{L}\p{N}_]+)*" + (_REST % (r"\p{L}", "•·▪、，；", "–—")).replace("[0-9][0-9", r"\p{N}[\p{N}", 1) + "|[。！？؟।]")
 IDENTIFIER = re.compile(r"^(?:[A-Za-z]+[0-9][A-Za-z0-9_.\-]*|NA|NaN)$")
 #: Writing without blanks: runs of kana, single Han characters and up to four letters of other scripts are terms.
 WRITING = regex.compile(r"[\p{Katakana}ー]+|[\p{Hiragana}]+|\p{Han}|[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]{1,4}")
@@ -113,13 +113,58 @@ APART = re.compile(r"[#＃]\w[\w\-]*|(?:https?://|www\.)\S+|[*_`]{1,3}")
 END = re.compile(r"[.!?](?=\s|$)|[。！？؟।]")
 
 
-class Words:
-    """Words of the corpus: those of sentences, and all that are known."""
+class Words(dict):
+    """Words of the corpus: those of sentences, and all that are known. As a dictionary, how tokens met so far are read:
+    (kind, term, characters) each, or a mark."""
+
+    MOST = 200_000
 
     def __init__(self, sentence: Iterable[str] = (), known: Iterable[str] = ()):
+        super().__init__()
         self.sentence = frozenset(sentence)
         self.known = frozenset(known) | self.sentence
 
+    def __reduce__(self):
+        return Words, (self.sentence, self.known)
+
+    def __missing__(self, t: str) -> tuple[tuple[str, str, int], ...] | int:
+        got = self._read(t)
+        if len(t) <= 40:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[t] = got
+        return got
+
+    def _kind(self, word: str) -> str:
+        return "f" if word in self.sentence else "k" if word in self.known else "w"
+
+    def _read(self, t: str) -> tuple[tuple[str, str, int], ...] | int:
+        c = t[0]
+        if c in ".!?。！？؟।":
+            return 2
+        if c in ",;|/•·▪、，；-–—":
+            return 1
+        if c == "\x04":
+            return (("u", t[1:].lower(), len(t) - 1),)
+        if c in "\x02\x03":
+            return (("d" if c == "\x02" else "x", "", int(t[1:])),)
+        if c in "#＃":
+            return (("t", t.lower(), len(t)),)
+        if c == "w" and t.startswith("www.") or c == "h" and t.startswith(("http://", "https://")):
+            return (("u", t.lower(), len(t)),)
+        if not (c.isalpha() or unicodedata.category(c)[0] == "M"):
+            return (("n", t.lower(), len(t)),)
+        low = t.lower()
+        if low in self.sentence:
+            return (("f", low, len(t)),)
+        if "_" in t or "." in t or "/" in t or IDENTIFIER.match(t):
+            return (("d", t, len(t)),)
+        if not t.isascii() and WRITING.search(t):
+            return tuple(("f" if HIRAGANA.match(x) else self._kind(x), x, 2 * len(x)) for x in WRITING.findall(t))
+        if low not in self.known:
+            low = low.replace("’", "'")
+        return ((self._kind(low), low, len(t)),)
+
 
 NONE = Words()
 
@@ -127,7 +172,8 @@ NONE = Words()
 def terms(text: str, words: Words = NONE) -> list[tuple[str, str, int, int]]:
     """(kind, term, characters, mark before): kinds are u link, t tag, k known word, w other word, f sentence word,
     n number, d code or data, x spaced letters; marks 1 a separator or new line, 2 the end of a sentence, else 0."""
-    text = text.translate(CONTROLS)
+    if MARKS.search(text):
+        text = text.translate(CONTROLS)
     if not text.isascii():
         text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     if "`" in text or "~" in text or "<" in text:
@@ -137,10 +183,9 @@ def terms(text: str, words: Words = NONE) -> list[tuple[str, str, int, int]]:
     if "](" in text:
         text = MARKDOWN.sub(" \x04\\2 \\1 ", text)
     if DOTTED.search(text):
-        text = HOST.sub("\x04\\g<0>", text)
-    sentence, known = words.sentence, words.known
+        text = " ".join(HOST.sub("\x04\\g<0>", w) if "." in w else w for w in text.split(" "))
     out, names = [], []
-    add, mark = out.append, 0
+    add, read, mark = out.append, words.__getitem__, 0
     for line in text.split("\n"):
         s = line.strip()
         if not s:
@@ -168,39 +213,17 @@ def terms(text: str, words: Words = NONE) -> list[tuple[str, str, int, int]]:
         # words written letter by letter hide their terms: one stuffed place, unless it is a data row
         if SPACED_HINT.search(s):
             s = SPACED.sub(lambda m: f" \x03{len(m.group())} " if len(set(m.group().lower())) > 7 else m.group(), s)
-        ascii_line, first = s.isascii(), len(out)
-        for m in TERM.finditer(INLINE.sub(lambda i: f" \x02{len(i.group(1))} ", s) if ticks else s):
-            kind = m.lastgroup
-            if kind == "p":
-                mark = mark or 1
-                continue
-            if kind == "e":
-                mark = 2
+        first = len(out)
+        tokens = (ASCII_TERM if s.isascii() else TERM).findall(INLINE.sub(lambda i: f" \x02{len(i.group(1))} ", s) if ticks else s)
+        for got in map(read, tokens):
+            if got == 1 or got == 2:
+                mark = 2 if got == 2 else mark or 1
                 continue
-            t = m.group()
-            if kind == "w":
-                low = t.lower()
-                if low in sentence:
-                    add(("f", low, len(t), mark))
-                elif "_" in t or "." in t or "/" in t or IDENTIFIER.match(t):
-                    add(("d", t, len(t), mark))
-                elif not ascii_line and WRITING.search(t):
-                    for x in WRITING.findall(t):
-                        add(("f" if x in sentence or HIRAGANA.match(x) else "k" if x in known else "w", x, 2 * len(x), mark))
-                        mark = 0
-                elif low in known:
-                    add(("k", low, len(t), mark))
-                elif "'" in low or "’" in low:
-                    low = low.replace("’", "'")
-                    add(("f" if low in sentence else "k" if low in known else "w", low, len(t), mark))
-                else:
-                    add(("w", low, len(t), mark))
-            elif kind in "dx":
-                add((kind, "", int(m[kind]), mark))
-            else:
-                t = t.removeprefix("\x04")
-                add((kind, t.lower(), len(t), mark))
-            mark = 0
+            for r in got:
+                add((*r, mark))
+                mark = 0
+        if not any(r[0] == "d" and r[1] for r in out[first:]):
+            continue
         places = [i for i in range(first, len(out)) if out[i][0] == "d" and out[i][1].isalnum() and out[i][1] not in ("NA", "NaN")]
         if places and not any(out[i][0] == "n" for i in range(first, len(out))):
             names += places
@@ -298,8 +321,13 @@ def score_all(texts: list[str | None], words: Words = NONE) -> list[tuple[float,
     if not spans:
         return out
     kind = np.frombuffer("".join(kinds).encode(), dtype=np.uint8)
-    ids, mass, marks = np.array(ids), np.array(mass), np.array(marks)
-    is_ = lambda *ks: np.isin(kind, [ord(k) for k in ks])
+    ids, mass, marks = (np.array(x, dtype=np.int32) for x in (ids, mass, marks))
+
+    def is_(*ks: str) -> np.ndarray:
+        known = np.zeros(256, dtype=bool)
+        known[[ord(k) for k in ks]] = True
+        return known[kind]
+
     function, proper, spaced, content = is_("f"), is_("d"), is_("x"), is_("u", "t", "k", "w")
     # short words that the corpus doesn't know may be those of a sentence: they make a phrase return more often
     again, periodic = _returning(ids, content, function, is_("w") & (mass <= 3), np.array(begin))
