@@ -3,7 +3,8 @@
 Every vertex whose hash is smaller than its neighbours' is a seed. All seeds expand together, one hop
 of the hash-partitioned adjacency list per round, until each vertex has a seed's label. Edges between
 different labels are collisions; they form a smaller graph of labels (at most half as many vertices,
-since seeds are never neighbours), which is solved the same way, and so on until nothing collides.
+since seeds are never neighbours), which is solved the same way, and so on until nothing collides. Once that
+graph has at most ``SMALL`` edges, which are counted as it is written, one task merges the labels at once.
 
 Scale: no step collects anything. Rounds are short, because a path that descends in hash order is; the
 smallest neighbour and the smallest label are combined map-side, and a vertex with a third of all
@@ -12,8 +13,10 @@ edges meets one row per vertex on the other side of its joins, which AQE splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return _solve(scratch, ends)
 
 
+#: Edges of a graph of colliding labels that one task merges.
+SMALL = 100_000
+
+
+def _merge(collided: DataFrame) -> DataFrame:
+    """(vertex, component) of a small graph (u, v): sets of labels joined in one task, named by their least label."""
+
+    def join(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up: dict[str, str] = {}
+
+        def top(x: str) -> str:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for pdf in it:
+            for u, v in zip(pdf["u"], pdf["v"]):
+                up.setdefault(u, u)
+                up.setdefault(v, v)
+                a, b = sorted((top(u), top(v)))
+                up[b] = a
+        yield pd.DataFrame({"vertex": list(up), "component": [top(x) for x in up]}, dtype=object)
+
+    return collided.coalesce(1).mapInPandas(join, "vertex string, component string")
+
+
 def _solve(scratch: Scratch, ends: DataFrame) -> DataFrame:
     both = F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")
     adjacent = scratch.cut(ends.select(both).select("e.u", "e.v").distinct())
@@ -45,6 +74,6 @@ def _solve(scratch: Scratch, ends: DataFrame) -> DataFrame:
     collided = scratch.cut(adjacent.where("u < v").join(left, "u").join(right, "v").where("lu != lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct())
     if not scratch.rows:
         return labelled.select("vertex", F.col("label").alias("component"))
-    merged = _solve(scratch, collided)
+    merged = _merge(collided) if scratch.rows <= SMALL else _solve(scratch, collided)
     out = labelled.join(merged.select(F.col("vertex").alias("label"), "component"), "label", "left")
     return scratch.cut(out.select("vertex", F.coalesce("component", "label").alias("component")))
