@@ -104,7 +104,10 @@ def logistic(c: Cohort, trait: str, rounds: int = 20, tolerance: float = 1e-6) -
                     live = step & (np.abs(d0) + np.abs(d1) > tolerance)
                     if not live.any():
                         break
-                z = b1 / np.sqrt(h00 / det)
+                p = 1 / (1 + np.exp(-(b0[:, None] + b1[:, None] * g)))  # the information at the solution
+                w = n * p * (1 - p)
+                h00, h01, h11 = w.sum(1), (w * g).sum(1), (w * g * g).sum(1)
+                z = b1 / np.sqrt(h00 / (h00 * h11 - h01 * h01))
             good = ok & ~live & np.isfinite(z) & (np.abs(b1) < 15)
             p = 2 * special.norm_sf(np.abs(np.where(good, z, 0)))
             value = lambda x: pd.array(np.where(good, x, 0.0), dtype="Float64").copy()

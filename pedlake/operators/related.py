@@ -547,3 +547,107 @@ def _large_pairs(rows: DataFrame) -> DataFrame:
     for side in ("i", "j"):  # parents without a row of their own count but don't come out
         pairs = pairs.join(recorded.select(F.col("iid").alias(side)), side, "left_semi")
     return pairs.select(F.col("i").alias("iid1"), F.col("j").alias("iid2"), F.col("k").alias("kinship2"))
+
+
+def conditional_variance(c: Cohort) -> DataFrame:
+    """(iid, variance, rank): each sample's variance given all others of its pedigree, 1 / diag(inv(Phi)), and its rank, most independent first
+    within the pedigree: those of least variance add least and go first from a selection."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, ped in pdf.groupby("pedigree", sort=False):
+            if len(ped) > MOST_MEMBERS:
+                raise ValueError(f"a pedigree of more than {MOST_MEMBERS} members")
+            ids = ped["iid"].tolist()
+            text = lambda v: v if isinstance(v, str) else None
+            try:
+                order, phi = kinship([(i, text(a), text(b)) for i, a, b in ped[["iid", "pat", "mat"]].itertuples(index=False)])
+                at = {k: j for j, k in enumerate(order)}
+                phi = phi[np.ix_([at[i] for i in ids], [at[i] for i in ids])]
+            except ValueError:
+                phi = np.eye(len(ids))
+            d = np.diag(np.linalg.pinv(phi, hermitian=True))
+            out.append(pd.DataFrame({"pedigree": name, "iid": ids, "variance": 1 / np.maximum(d, 1e-12)}))
+        return pd.concat(out)
+
+    t = pedigrees(c).groupBy(_task(c)).applyInPandas(solve, "pedigree string, iid string, variance double")
+    return t.withColumn("rank", F.row_number().over(Window.partitionBy("pedigree").orderBy(F.desc(F.round("variance", 9)), "iid"))).drop("pedigree")
+
+
+def impute_relatives(c: Cohort) -> DataFrame:
+    """(vidx, iid, d) for missing cells: the normal mean given the called relatives, 2p + Phi_mo inv(Phi_oo) (x_o - 2p), kept within 0 and 2;
+    2p without any. Cells of a pedigree with one pattern of calls share an inverse."""
+    freq = c.called().groupBy("vidx").agg(F.avg("g").alias("mean"))
+    packed = c.calls.join(freq, "vidx").groupBy("iid").agg(F.collect_list("vidx").alias("v"), F.collect_list(F.coalesce(F.col("g").cast("int"), F.lit(-1))).alias("g"), F.collect_list("mean").alias("m"))
+    rows = pedigrees(c).join(packed, "iid", "left")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, ped in pdf.groupby("pedigree", sort=False):
+            some = ped[[v is not None for v in ped["v"]]]
+            if some.empty:
+                continue
+            if len(ped) > MOST_MEMBERS:
+                raise ValueError(f"a pedigree of more than {MOST_MEMBERS} members")
+            ids, where = np.unique(np.concatenate(some["v"].tolist()), return_inverse=True)
+            g = np.full((len(some), len(ids)), -2)
+            mean = np.zeros(len(ids))
+            row = np.repeat(np.arange(len(some)), [len(v) for v in some["v"]])
+            g[row, where], mean[where] = np.concatenate(some["g"].tolist()), np.concatenate(some["m"].tolist())
+            text = lambda v: v if isinstance(v, str) else None
+            try:
+                order, phi = kinship([(i, text(a), text(b)) for i, a, b in ped[["iid", "pat", "mat"]].itertuples(index=False)])
+                at = [order.index(i) for i in some["iid"]] if len(order) < 50 else [{k: j for j, k in enumerate(order)}[i] for i in some["iid"]]
+                phi = phi[np.ix_(at, at)]
+            except ValueError:
+                phi = np.eye(len(some))
+            patterns: dict[bytes, list[int]] = {}
+            for j in range(len(ids)):
+                patterns.setdefault(g[:, j].clip(-2, 0).astype(np.int8).tobytes(), []).append(j)
+            for cols in patterns.values():
+                gap, have = np.nonzero(g[:, cols[0]] == -1)[0], np.nonzero(g[:, cols[0]] >= 0)[0]
+                if not len(gap):
+                    continue
+                x = np.tile(mean[cols], (len(gap), 1))
+                if len(have):
+                    x = x + phi[np.ix_(gap, have)] @ np.linalg.pinv(phi[np.ix_(have, have)], hermitian=True) @ (g[np.ix_(have, cols)] - mean[cols])
+                out.append(pd.DataFrame({"vidx": np.tile(ids[cols], len(gap)), "iid": np.repeat(some["iid"].to_numpy()[gap], len(cols)), "d": np.clip(x, 0, 2).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"vidx": pd.Series([], dtype="int64"), "iid": pd.Series([], dtype=object), "d": pd.Series([], dtype=float)})
+
+    return rows.groupBy(_task(c)).applyInPandas(fill, "vidx long, iid string, d double")
+
+
+def kinship_x(c: Cohort) -> DataFrame:
+    """(iid1, iid2, kinship): probability that an X allele of each is the same by descent, within pedigrees; a male has his mother's alone.
+
+    Persons without a recorded sex count as women; pairs that share nothing are left out.
+    """
+    rows = pedigrees(c).join(c.samples.select("iid", "sex"), "iid", "left")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, ped in pdf.groupby("pedigree", sort=False):
+            if len(ped) > MOST_MEMBERS:
+                raise ValueError(f"a pedigree of more than {MOST_MEMBERS} members")
+            text = lambda v: v if isinstance(v, str) else None
+            links = {i: (text(a), text(b)) for i, a, b in ped[["iid", "pat", "mat"]].itertuples(index=False)}
+            men = set(ped.loc[ped["sex"] == 1, "iid"]) | {a for a, _ in links.values() if a is not None}
+            try:
+                order, _ = peeled([(i, a, b) for i, (a, b) in links.items()])
+            except ValueError:
+                continue
+            at, phi = {k: i for i, k in enumerate(order)}, np.zeros((len(order), len(order)))
+            for i, k in enumerate(order):
+                a, b = links.get(k, (None, None))
+                mother = phi[at[b], :i] if b is not None else np.zeros(i)
+                father = phi[at[a], :i] if a is not None else np.zeros(i)
+                row = mother if k in men else (mother + father) / 2
+                phi[i, :i] = phi[:i, i] = row
+                phi[i, i] = 1.0 if k in men else 0.5 + (phi[at[a], at[b]] / 2 if a is not None and b is not None else 0)
+            for i, j in zip(*np.nonzero(np.tril(phi))):
+                if order[i] in links and order[j] in links:
+                    x, y = sorted((order[i], order[j]))
+                    out.append((x, y, phi[i, j]))
+        return pd.DataFrame(out, columns=["iid1", "iid2", "kinship"])
+
+    return rows.groupBy(_task(c)).applyInPandas(solve, "iid1 string, iid2 string, kinship double")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedlake.operators import assoc, filters, gene_tests, interactions, mixed, pedigree, qc, related, simulate, traits
+from pedlake.operators import assoc, filters, gene_tests, interactions, linkage_models, mixed, pedigree, qc, related, simulate, traits
 from pedlake.operators.cohort import Cohort
 from pedlake.plans.association import _TREND, BINARY, CONTINUOUS, p_fisher, p_normal
 from pedlake.plans.families import _L
 from pedlake.plans.more import SQL as MORE_SQL
 from pedlake.plans.quality import _GS, _W, on_cohort
+from pedlake.plans.scratch import Scratch
 from pedlake.sources.tables import table
 from pedlake.streaming import counts
 
@@ -42,6 +43,10 @@ def gene_mixed(c: Cohort) -> DataFrame:
     return genes.join(t, "vidx").drop("vidx")
 
 
+def cut_lods(c: Cohort) -> DataFrame:
+    return Scratch(c.samples.sparkSession, "lods").cut(linkage_models.pedigree_lods(c, BINARY))
+
+
 def filtered_samples(c: Cohort) -> DataFrame:
     out = filters.filter_samples(c, ranges=["20<AGE<=60", "P1<P2"], status="case", trait=BINARY, sexes=[1])
     return out.select("iid", F.array_join("reasons", ",").alias("reasons"))
@@ -85,6 +90,13 @@ QUERIES = {
     "pruned_vif": on_cohort(related.prune_vif),
     "linkage_verdict": on_cohort(related.linkage_verdict),
     "genotype_elimination": on_cohort(related.genotype_elimination),
+    "lod_scores": on_cohort(lambda c: linkage_models.lod_scores(linkage_models.pedigree_lods(c, BINARY))),
+    "linkage_test": on_cohort(lambda c: linkage_models.linkage_test(cut_lods(c))),
+    "homogeneity": on_cohort(lambda c: linkage_models.homogeneity(cut_lods(c))),
+    "sharing_linkage": on_cohort(lambda c: linkage_models.sharing_linkage(c, BINARY)),
+    "conditional_variance": on_cohort(related.conditional_variance),
+    "imputed_relatives": on_cohort(related.impute_relatives),
+    "kinship_x": on_cohort(related.kinship_x),
     "gene_mixed": on_cohort(gene_mixed),
     "commingling": on_cohort(lambda c: traits.commingling(c, CONTINUOUS)),
     "ridge": on_cohort(lambda c: traits.ridge(c, CONTINUOUS)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pedlake.operators import family_rare, filters, gene_tests, interactions, models, related
 from pedlake.operators.cohort import Cohort
-from pedlake.plans.association import BINARY
+from pedlake.plans.association import BINARY, p_normal
 from pedlake.plans.quality import _FREQ, _W, on_cohort
 from pedlake.sources.tables import table
 from pedlake.streaming import counts
@@ -113,3 +113,17 @@ SQL = {
   f AS (SELECT vidx, (sum(pa + ma) + 1)::DOUBLE / (4 * count(*) + 1) q FROM t GROUP BY vidx) SELECT gene, iid, vidx, 25 * (1 - q)**24 * (c - (pa + ma) / 2.0::DOUBLE) u FROM t JOIN f USING (vidx) JOIN gs USING (vidx) WHERE 25 * (1 - q)**24 * (c - (pa + ma) / 2.0::DOUBLE) <> 0""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) n, sum(value) total FROM events GROUP BY ALL",
 }
+
+# Newton steps on the 2 x 3 table, one more by recursion each
+_PR = ", ".join(f"1 / (1 + exp(-(b0 + b1 * {k}))) p{k}" for k in range(3))
+_H = ", ".join(f"{e} {n}" for n, e in (("s0", " + ".join(f"(a{k} - n{k} * p{k})" for k in range(3))), ("s1", " + ".join(f"(a{k} - n{k} * p{k}) * {k}" for k in range(3))), ("h00", " + ".join(f"n{k} * p{k} * (1 - p{k})" for k in range(3))), ("h01", " + ".join(f"n{k} * p{k} * (1 - p{k}) * {k}" for k in range(3))), ("h11", " + ".join(f"n{k} * p{k} * (1 - p{k}) * {k * k}" for k in range(3)))))
+SQL["logistic"] = "WITH RECURSIVE " + _W.removeprefix("WITH ") + f""", y AS (SELECT iid, val FROM p WHERE trait = '{BINARY}' AND val IN (1, 2)),
+  t AS (SELECT vidx, {', '.join(f"(count(*) FILTER (val = 2 AND g = {k}))::DOUBLE a{k}, (count(*) FILTER (g = {k}))::DOUBLE n{k}" for k in range(3))} FROM g JOIN y USING (iid) WHERE g IS NOT NULL GROUP BY vidx),
+  k AS (SELECT *, a0 + a1 + a2 > 0 AND a0 + a1 + a2 < n0 + n1 + n2 AND (n0 > 0)::INT + (n1 > 0)::INT + (n2 > 0)::INT > 1 ok FROM t),
+  st(vidx, it, b0, b1, d) AS (SELECT vidx, 0, 0.0::DOUBLE, 0.0::DOUBLE, 1e9::DOUBLE FROM k WHERE ok UNION ALL
+    SELECT vidx, it + 1, b0 + (h11 * s0 - h01 * s1) / det, b1 + (h00 * s1 - h01 * s0) / det, abs((h11 * s0 - h01 * s1) / det) + abs((h00 * s1 - h01 * s0) / det) FROM (SELECT *, h00 * h11 - h01 * h01 det FROM (SELECT *, {_H} FROM (SELECT st.*, k.* EXCLUDE (vidx, ok), {_PR} FROM st JOIN k USING (vidx) WHERE it < 20 AND d > 1e-6 AND abs(b1) < 500)))
+    WHERE det <> 0 AND isfinite(s0 / det)),
+  en AS (SELECT vidx, max(it) n_iter, arg_max(b0, it) b0, arg_max(b1, it) b1, arg_max(d, it) d FROM st GROUP BY vidx), z AS (SELECT *, b1 / sqrt(h00 / nullif(h00 * h11 - h01 * h01, 0)) stat FROM (SELECT *, {_H} FROM (SELECT en.*, k.* EXCLUDE (vidx), {_PR} FROM k LEFT JOIN en USING (vidx)))),
+  f AS (SELECT k.vidx, coalesce(n_iter, 0)::INTEGER n_iter, k.ok AND d <= 1e-6 AND abs(b1) < 15 AND stat IS NOT NULL AND isfinite(stat) good, k.ok, b1, stat FROM k LEFT JOIN (SELECT * EXCLUDE (ok) FROM z) z USING (vidx)),
+  fin AS (SELECT vidx, n_iter, CASE WHEN good THEN b1 END beta, CASE WHEN good THEN stat END stat, CASE WHEN coalesce(good, false) THEN NULL WHEN ok THEN 'separation' ELSE 'groups' END reason FROM f)
+  SELECT *, {p_normal('stat')} p_regr FROM fin"""

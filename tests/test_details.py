@@ -143,3 +143,32 @@ def test_gene_burden_in_the_mixed_model(c):
     got = {r["gene"]: r for r in details.gene_mixed(d).collect()}
     assert all(r["p_wald"] is None or 0 <= r["p_wald"] <= 1 for r in got.values())
     assert qc.inbreeding(c).count() == c.samples.count() and mixed.GRID[0] == 0
+
+
+def test_conditional_variance_and_imputation(spark, c):
+    from pedlake.operators import models
+
+    rows = c.samples.collect()
+    order, phi = models.kinship([(r["iid"], r["pat"], r["mat"]) for r in rows if r["iid"].endswith("0") and len(r["iid"]) == 2])
+    at = {k: i for i, k in enumerate(order)}
+    inv = np.linalg.inv(phi)
+    got = {r["iid"]: r["variance"] for r in related.conditional_variance(c).collect()}
+    assert all(abs(got[k] - 1 / inv[i, i]) < 1e-9 for k, i in at.items())
+    calls = c.calls.selectExpr("vidx", "iid", "case when iid in ('f0', 'd3') then null else g end g")
+    mean = {r["vidx"]: r["m"] for r in calls.where("g is not null").groupBy("vidx").agg({"g": "avg"}).withColumnRenamed("avg(g)", "m").collect()}
+    filled = {(r["vidx"], r["iid"]): r["d"] for r in related.impute_relatives(Cohort(c.samples, calls, c.traits, c.variants, c.sets)).collect()}
+    g = {(r["vidx"], r["iid"]): r["g"] for r in calls.where("g is not null").collect()}
+    gaps = {(r["vidx"], r["iid"]) for r in calls.where("g is null").collect()}
+    assert set(filled) == gaps
+    for v in (0, 5):
+        have = [k for k in order if (v, k) in g]
+        i, o = at["f0"], [at[k] for k in have]
+        want = mean[v] + phi[i, o] @ np.linalg.pinv(phi[np.ix_(o, o)]) @ (np.array([g[v, k] for k in have]) - mean[v])
+        assert abs(filled[v, "f0"] - min(2, max(0, want))) < 1e-9
+
+
+def test_kinship_of_x(spark, c):
+    s = spark.createDataFrame([("f", None, None, 1), ("m", None, None, 2), ("d", "f", "m", 2), ("e", "f", "m", 2), ("s", "f", "m", 1), ("t", "f", "m", 1)], "iid string, pat string, mat string, sex int")
+    got = {(r["iid1"], r["iid2"]): r["kinship"] for r in related.kinship_x(Cohort(s, c.calls, c.traits, c.variants, c.sets)).collect()}
+    assert got["d", "f"] == 0.5 and got["d", "m"] == 0.25 and got["m", "s"] == 0.5 and ("f", "s") not in got
+    assert got["d", "e"] == 0.375 and got["s", "t"] == 0.5 and got["d", "s"] == 0.25 and got["s", "s"] == 1.0 and got["d", "d"] == 0.5
