@@ -25,9 +25,18 @@ RHO = (0.0, 0.01, 0.04, 0.09, 0.16, 0.25, 0.5, 1.0)
 KERNELS = "n_variant int, n_sample int, stat_burden double, p_burden double, stat_skat double, p_skat double, p_skato double, rho double"
 
 
-def rare_calls(c: Cohort, rare: float) -> DataFrame:
-    """(vidx, iid, g, maf): minor counts of variants with 0 < MAF <= rare."""
-    return _minor(c).where((F.col("maf") > 0) & (F.col("maf") <= rare)).select("vidx", "iid", F.col("m").cast("tinyint").alias("g"), "maf")
+def rare_calls(c: Cohort, rare: float, weight: str | DataFrame = "beta", call_rate: float = 0.0) -> DataFrame:
+    """(vidx, iid, g, maf, w): minor counts of variants with 0 < MAF <= rare and a call rate of at least ``call_rate``, with their weights:
+    ``beta`` the Beta(1, 25) density, ``maf`` 1 / sqrt(2p(1 - p)), ``none``, or a table (vidx, value); variants it lacks have no weight and go."""
+    t = _minor(c).where((F.col("maf") > 0) & (F.col("maf") <= rare)).select("vidx", "iid", F.col("m").cast("tinyint").alias("g"), "maf")
+    if call_rate > 0:
+        from pedlake.operators.qc import variant_missing
+
+        t = t.join(variant_missing(c).where(F.col("call_rate") >= call_rate).select("vidx"), "vidx", "left_semi")
+    if not isinstance(weight, str):
+        return t.join(weight.select("vidx", F.col("value").cast("double").alias("w")), "vidx")
+    p = F.col("maf")
+    return t.withColumn("w", {"beta": 25 * F.pow(1 - p, 24), "maf": 1 / F.sqrt(2 * p * (1 - p)), "none": F.lit(1.0)}[weight])
 
 
 def _positive(cov: np.ndarray) -> np.ndarray:
@@ -99,19 +108,15 @@ def kernels(u: np.ndarray, cov: np.ndarray) -> tuple:
     return burden, None if burden is None else float(special.chi2_sf(burden, 1)), q, float(special.davies_sf(q, lam)), *skat_o(u, cov)
 
 
-def _weights(maf: pd.Series) -> np.ndarray:
-    return 25 * (1 - maf.to_numpy(float)) ** 24
-
-
-def skat(c: Cohort, trait: str, rare: float = 0.05) -> DataFrame:
-    """Burden, SKAT and SKAT-O of a gene's rare variants with Beta(1, 25) weights; missing genotypes at the mean."""
+def skat(c: Cohort, trait: str, rare: float = 0.05, weight: str | DataFrame = "beta", call_rate: float = 0.0) -> DataFrame:
+    """Burden, SKAT and SKAT-O of a gene's rare variants with weights as of ``rare_calls``; missing genotypes at the mean."""
 
     def fit(gene, v, n, xx, xy, yy, mean, rows):
-        w = _weights(rows["maf"])
+        w = rows["w"].to_numpy(float)
         sigma2 = yy / max(1, n - 1)
         return pd.DataFrame([(gene, len(v), n, *kernels(xy * w, xx * np.outer(w, w) * sigma2))], columns=["gene", *(x.split()[0] for x in KERNELS.split(", "))])
 
-    return moments(rare_calls(c, rare), c.sets, c.trait(trait), fit, "gene string, " + KERNELS, ["maf"])
+    return moments(rare_calls(c, rare, weight, call_rate), c.sets, c.trait(trait), fit, "gene string, " + KERNELS, ["w"])
 
 
 def quasi_weights(c: Cohort, values: DataFrame, ped: DataFrame | None = None) -> tuple[DataFrame, float]:
@@ -123,15 +128,15 @@ def quasi_weights(c: Cohort, values: DataFrame, ped: DataFrame | None = None) ->
     return w.select("iid", (F.col("a") - k * F.col("one")).alias("w")), (t["aa"] or 0.0) - k * (t["sa"] or 0.0)
 
 
-def farvat(c: Cohort, trait: str, rare: float = 0.05) -> DataFrame:
+def farvat(c: Cohort, trait: str, rare: float = 0.05, weight: str | DataFrame = "beta", call_rate: float = 0.0) -> DataFrame:
     """Family-based burden, kernel and optimal tests of a gene's rare variants: weights by pedigree kinship."""
     w, scale = quasi_weights(c, c.trait(trait))
 
     def fit(gene, v, n, xx, xy, yy, mean, rows):
-        b = _weights(rows["maf"])
+        b = rows["w"].to_numpy(float)
         return pd.DataFrame([(gene, len(v), n, *kernels(xy * b, xx / max(1, n - 1) * scale * np.outer(b, b)))], columns=["gene", *(x.split()[0] for x in KERNELS.split(", "))])
 
-    return moments(rare_calls(c, rare), c.sets, w, fit, "gene string, " + KERNELS, ["maf"])
+    return moments(rare_calls(c, rare, weight, call_rate), c.sets, w, fit, "gene string, " + KERNELS, ["w"])
 
 
 def family_threshold(c: Cohort, trait: str, rare: float = 0.05, draws: int = 20_000) -> DataFrame:
@@ -304,9 +309,9 @@ def longitudinal(c: Cohort, measures: list[str], rare: float = 0.05) -> DataFram
         y = y.join(c.trait(name).withColumnRenamed("val", f"m{k}"), "iid")
 
     def fit(gene, v, n, xx, xy, yy, mean, rows):
-        w = _weights(rows["maf"])
+        w = rows["w"].to_numpy(float)
         u = np.asarray(xy).reshape(len(v), -1) * w[:, None]
         sigma = np.asarray(yy).reshape(u.shape[1], -1) / max(1, n - 1)
         return pd.DataFrame([(gene, len(v), n, *kernels(u.T.ravel(), np.kron(sigma, xx * np.outer(w, w))))], columns=["gene", *(x.split()[0] for x in KERNELS.split(", "))])
 
-    return moments(rare_calls(c, rare), c.sets, y, fit, "gene string, " + KERNELS, ["maf"])
+    return moments(rare_calls(c, rare), c.sets, y, fit, "gene string, " + KERNELS, ["w"])

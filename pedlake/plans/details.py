@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pedlake.operators import assoc, filters, gene_tests, interactions, linkage_models, mixed, pedigree, qc, related, simulate, traits
+from pedlake.operators import assoc, filters, gene_tests, genes, interactions, linkage_models, mixed, pathways, pedigree, qc, related, segregation, simulate, traits
 from pedlake.operators.cohort import Cohort
 from pedlake.plans.association import _TREND, BINARY, CONTINUOUS, p_fisher, p_normal
 from pedlake.plans.families import _L
@@ -23,6 +23,17 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     return counts.sessions(table(spark, folder, "events"))
 
 
+def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Allele counts of the genotype table read as a stream, all that is there; state is kept per variant."""
+    raw = table(spark, folder, "genotype")
+    return counts.counted_once(counts.stream_of(spark, folder, raw, "genotype.parquet"))
+
+
+def positional_pathways(c: Cohort) -> DataFrame:
+    """Genes of a chromosome as a pathway, where no other pathways are known."""
+    return genes.gene_summary(c).where("chrom is not null").select(F.concat(F.lit("chromosome "), "chrom").alias("pathway"), "gene")
+
+
 def gene_drop(spark: SparkSession, folder: str) -> DataFrame:
     """Simulated genotypes of one family for as many variants as the folder has."""
     return simulate.gene_drop(spark, FAMILY, table(spark, folder, "variants").select("vidx").distinct().count())
@@ -102,6 +113,10 @@ QUERIES = {
     "ridge": on_cohort(lambda c: traits.ridge(c, CONTINUOUS)),
     "partial_least_squares": on_cohort(lambda c: traits.partial_least_squares(c, CONTINUOUS)),
     "longitudinal_kernel": on_cohort(lambda c: gene_tests.longitudinal(c, [CONTINUOUS, "AO"])),
+    "segregation": on_cohort(lambda c: segregation.segregation(c, CONTINUOUS)),
+    "pathway_regression": on_cohort(lambda c: pathways.pathway_regression(c, CONTINUOUS, positional_pathways(c))),
+    "skat_by_frequency": on_cohort(lambda c: gene_tests.skat(c, BINARY, weight="maf", call_rate=0.5)),
+    "streamed_counts": streamed_counts,
     "sessions": sessions,
     "gene_drop": gene_drop,
     "power": power,
@@ -180,6 +195,7 @@ SQL = {
 
 _LK = MORE_SQL["linkage"]
 SQL |= {
+    "streamed_counts": "SELECT vidx, sum(g)::BIGINT a, count(g) n FROM genotype WHERE g IS NOT NULL GROUP BY vidx",
     "linkage_verdict": "WITH b AS (" + _LK + """), c AS (SELECT vidx1, vidx2, n_rec, n_non, lod lod_05, least(n_rec::DOUBLE / (n_rec + n_non), 0.5) theta FROM b WHERE theta = 0.05),
   d AS (SELECT *, CASE WHEN n_rec > 0 THEN n_rec * log10(CASE WHEN theta > 0 THEN theta END) ELSE 0 END + CASE WHEN n_non > 0 THEN n_non * log10(1 - theta) ELSE 0 END + (n_rec + n_non) * log10(2) lod FROM c)
   SELECT *, CASE WHEN lod >= 3 THEN 'LINKED' WHEN lod >= 1.73 THEN 'POSSIBLE' WHEN lod_05 <= -2 THEN 'NOT_LINKED' ELSE 'AMBIGUOUS' END verdict FROM d""",
