@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pedlake.operators import assoc, filters, gene_tests, genes, interactions, linkage_models, mixed, pathways, pedigree, qc, related, segregation, simulate, traits
 from pedlake.operators.cohort import Cohort
-from pedlake.plans.association import _TREND, BINARY, CONTINUOUS, p_fisher, p_normal
-from pedlake.plans.families import _L
+from pedlake.plans.association import _TREND, BINARY, CONTINUOUS, p_fisher, p_normal, p_student
+from pedlake.plans.families import _COL, _L
 from pedlake.plans.more import SQL as MORE_SQL
 from pedlake.plans.quality import _GS, _W, on_cohort
 from pedlake.plans.scratch import Scratch
@@ -202,3 +202,10 @@ SQL |= {
     "sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM a)
   SELECT min(ts) AS start, user_id, count(*) n FROM b GROUP BY user_id, k""",
 }
+SQL |= {
+    "rare_patterns": _COL + f""", y AS (SELECT iid, val = 2 c FROM p WHERE trait = '{BINARY}' AND val IN (1, 2)), t AS (SELECT gene, mm.iid, c, string_agg(vidx || ':' || m, ',' ORDER BY vidx) pattern FROM mm JOIN gs USING (vidx) JOIN y ON y.iid = mm.iid WHERE maf > 0 AND maf <= 0.05 AND m > 0 GROUP BY ALL)
+  SELECT gene, pattern, count(*) FILTER (c) n_case, count(*) FILTER (NOT c) n_control FROM t GROUP BY ALL""",
+    "null_model": _W + f""", d AS (SELECT a.val y, b.val x FROM p a JOIN p b USING (iid) WHERE a.trait = '{CONTINUOUS}' AND b.trait = '{BINARY}' AND a.val IS NOT NULL AND b.val IS NOT NULL),
+  m AS (SELECT count(*) n, avg(x) mx, regr_slope(y, x) b, regr_intercept(y, x) a, regr_sxx(y, x) sxx, regr_syy(y, x) - regr_sxy(y, x)**2 / regr_sxx(y, x) rss FROM d),
+  t AS (SELECT 'intercept' term, n, a beta, a / sqrt(rss / (n - 2) * (1.0::DOUBLE / n + mx**2 / sxx)) stat FROM m UNION ALL SELECT '{BINARY}', n, b, b / sqrt(rss / (n - 2) / sxx) FROM m) SELECT *, {p_student('stat', 'n - 2')} p_regr FROM t""",
+}

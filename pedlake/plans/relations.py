@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pedlake.functions.keys import same_id
 from pedlake.operators import assoc, mixed, models, related, similarity
 from pedlake.operators.cohort import Cohort, load
-from pedlake.plans.association import BINARY, CONTINUOUS
+from pedlake.plans.association import BINARY, CONTINUOUS, p_normal
+from pedlake.plans.more import _KIN
 from pedlake.plans.quality import _W, on_cohort
 from pedlake.sources.tables import table
 
@@ -76,3 +77,10 @@ SQL = {
     "quick_epistasis_queries": _W + _Y + ", k AS (SELECT vidx, iid, g, c FROM g JOIN y USING (iid) WHERE g IS NOT NULL), t AS (SELECT a.vidx vidx1, b.vidx vidx2, a.c, a.g g1, b.g g2 FROM k a JOIN k b ON a.iid = b.iid AND a.vidx <> b.vidx WHERE a.vidx % 20 = 0), m AS (SELECT vidx1, vidx2, " + _EPI + f" FROM t GROUP BY ALL) SELECT *, {_Z} FROM m",
     "epistasis_summary": _GENE_EPI + ", b AS (SELECT DISTINCT * FROM (SELECT vidx1 vidx, vidx2 other, z FROM e UNION ALL SELECT vidx2, vidx1, z FROM e) WHERE z IS NOT NULL) SELECT vidx, count(*) FILTER (z > 3.8905918864131203) n_sig, count(*) n_total, (count(*) FILTER (z > 3.8905918864131203))::DOUBLE / count(*) prop, arg_max(other, (round(z, 10), -other)) best, max(z) best_z FROM b GROUP BY vidx",
 }
+
+_QK = "WITH RECURSIVE " + _Q.removeprefix("WITH ") + ", " + _KIN.split("FROM geneset)", 1)[1].lstrip("\n, ") + ", kr AS (SELECT * FROM kin WHERE iid1 <> iid2 AND kinship2 <> 0 AND iid1 IN (SELECT iid FROM s) AND iid2 IN (SELECT iid FROM s)), kb AS (SELECT iid1, iid2, kinship2 FROM kr UNION ALL SELECT iid2, iid1, kinship2 FROM kr), hk AS (SELECT sm.*, kinship2 FROM sm LEFT JOIN kb ON kb.iid1 = sm.iid1 AND kb.iid2 = sm.iid2)"
+SQL |= {
+    "hybrid_relationship": _QK + " SELECT iid1, iid2, coalesce(kinship2, grm) relationship, CASE WHEN kinship2 IS NOT NULL THEN 'pedigree' ELSE 'genotypes' END \"by\" FROM hk",
+    "relationship_check": _QK + f""", zz AS (SELECT iid1, iid2, n, grm, coalesce(kinship2, 0) expected, (atanh(least(greatest(grm, -0.999), 0.999)) - atanh(least(greatest(coalesce(kinship2, 0), -0.999), 0.999))) * sqrt(n - 3.0::DOUBLE) z FROM hk WHERE n >= 30 AND grm IS NOT NULL),
+  pz AS (SELECT *, {p_normal('z')} p FROM zz) SELECT * FROM pz WHERE p < 0.01""",
+}
