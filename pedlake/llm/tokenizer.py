@@ -119,7 +119,8 @@ class Encoder(dict):
 
     def __init__(self, data: bytes, pattern: str = PATTERN):
         super().__init__()
-        self.vocabulary, self.split = Vocabulary(data), regex.compile(pattern).findall
+        self.vocabulary, self.pattern = Vocabulary(data), regex.compile(pattern)
+        self.split = self.pattern.findall
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ranks = self.vocabulary.ranks
@@ -134,6 +135,45 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.split(text)))) if text else []
 
 
+class EncodedText:
+    """A text with its pieces and ids, which an edit or an append changes near the edit only, and exactly.
+
+    Pieces are found from left to right, each by what stands at its start and at most two characters behind its end (blanks
+    leave the last one to a word). So pieces that end before an edit stay, and once a new piece starts where an old one behind the edit did, the rest stays too.
+    """
+
+    def __init__(self, encoder: Encoder, text: str = ""):
+        self.encoder, self.text = encoder, text
+        self.pieces = encoder.split(text)
+
+    def edit(self, begin: int, end: int, new: str) -> int:
+        """Puts ``new`` for the characters begin..end; the number of pieces that were split again."""
+        keep, at = 0, 0
+        while keep < len(self.pieces) and at + len(self.pieces[keep]) + 1 < begin:
+            at += len(self.pieces[keep])
+            keep += 1
+        tail, place = {}, at
+        for k in range(keep, len(self.pieces)):  # where old pieces behind the edit will start
+            if place >= end:
+                tail[place + len(new) - (end - begin)] = k
+            place += len(self.pieces[k])
+        self.text = self.text[:begin] + new + self.text[end:]
+        fresh, rest = [], []
+        for m in self.encoder.pattern.finditer(self.text, at):
+            if m.start() in tail and m.start() >= begin + len(new):
+                rest = self.pieces[tail[m.start()] :]
+                break
+            fresh.append(m.group())
+        self.pieces = [*self.pieces[:keep], *fresh, *rest]
+        return len(fresh)
+
+    def append(self, more: str) -> int:
+        return self.edit(len(self.text), len(self.text), more)
+
+    def ids(self) -> list[int]:
+        return list(chain.from_iterable(map(self.encoder.__getitem__, self.pieces)))
+
+
 _encoders: dict[bytes, Encoder] = {}
 
 

@@ -216,3 +216,22 @@ def test_too_many_split_targets_raise(spark):
     targets = spark.createDataFrame([(f"s{i}", 1.0) for i in range(1001)], "split_name string, target_share double")
     with pytest.raises(ValueError, match="targets"):
         splits.assign(spark.createDataFrame([(1, "a", "x", None, None, "")], S), targets)
+
+
+def test_edits_of_a_text_are_exact():
+    with open(tokenizer.VOCABULARY, "rb") as f:
+        e = tokenizer.Encoder(f.read())
+    rng = random.Random(11)
+    alphabet = ["gene", "Gen", " ", "  ", "\n", "\n\n ", "'s", "'", "12", "3", "!?", "é", "家系", "\t", "a", "x" * 30, ".", "don't"]
+    make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    for _ in range(300):
+        t = tokenizer.EncodedText(e, make(rng.randrange(0, 60)))
+        for _ in range(4):
+            a = rng.randrange(len(t.text) + 1)
+            b = min(len(t.text), a + rng.randrange(0, 9))
+            t.edit(a, b, make(rng.randrange(0, 4)))
+            assert t.pieces == e.split(t.text) and t.ids() == e.encode(t.text)
+        t.append(make(3))
+        assert t.ids() == e.encode(t.text)
+    long = tokenizer.EncodedText(e, make(20_000))
+    assert long.edit(5000, 5003, "gene") < 100 and long.ids() == e.encode(long.text)
