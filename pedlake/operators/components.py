@@ -72,8 +72,14 @@ def _solve(scratch: Scratch, ends: DataFrame) -> DataFrame:
     labelled = reduce(DataFrame.unionByName, layers)
     left, right = (labelled.select(F.col("vertex").alias(x), F.col("label").alias(f"l{x}")) for x in ("u", "v"))
     collided = scratch.cut(adjacent.where("u < v").join(left, "u").join(right, "v").where("lu != lv").select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct())
+    scratch.drop(adjacent)
     if not scratch.rows:
         return labelled.select("vertex", F.col("label").alias("component"))
-    merged = _merge(collided) if scratch.rows <= SMALL else _solve(scratch, collided)
+    inner = Scratch(scratch.spark, "collisions")
+    merged = _merge(collided) if scratch.rows <= SMALL else _solve(inner, collided)
     out = labelled.join(merged.select(F.col("vertex").alias("label"), "component"), "label", "left")
-    return scratch.cut(out.select("vertex", F.coalesce("component", "label").alias("component")))
+    done = scratch.cut(out.select("vertex", F.coalesce("component", "label").alias("component")))
+    inner.close()
+    for df in (*layers, collided):
+        scratch.drop(df)
+    return done

@@ -7,10 +7,11 @@ variants are in ``gene_tests``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pedlake.operators.cohort import Cohort
+from pedlake.operators.order import numbered
 from pedlake.operators.qc import allele_freq
 
 BIN = 1_000_000
@@ -25,8 +26,7 @@ def gene_summary(c: Cohort) -> DataFrame:
 def consecutive_sets(c: Cohort, k: int = 10, overlap: int = 0) -> DataFrame:
     """Sets of k variants in the order of position in each chromosome, the last may be shorter."""
     step = max(1, k - overlap)
-    w = Window.partitionBy("chrom").orderBy("pos", "vidx")
-    t = c.variants.where("chrom is not null and pos is not null").withColumn("i", F.row_number().over(w) - 1)
+    t = numbered(c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", "pos"), "chrom", "pos", "vidx").withColumn("i", F.col("i") - 1)
     last = F.floor(F.col("i") / step)
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - k + 1) / step))
     return t.select("chrom", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("set_no"), "vidx")
@@ -94,8 +94,7 @@ def burden_tests(c: Cohort, trait: str, rare: float = 0.05) -> DataFrame:
 
 def neighbours_ld(c: Cohort, k: int = 2) -> DataFrame:
     """r and r squared between each variant and the next k of its chromosome, over samples with both calls."""
-    w = Window.partitionBy("chrom").orderBy("pos", "vidx")
-    order = c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", F.row_number().over(w).alias("i"))
+    order = numbered(c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", "pos"), "chrom", "pos", "vidx").select("vidx", "chrom", "i")
     step = order.select("vidx", "chrom", F.explode(F.sequence(F.col("i") + 1, F.col("i") + k)).alias("i"))
     pairs = step.join(order.select(F.col("vidx").alias("vidx2"), "chrom", "i"), ["chrom", "i"]).select("vidx", "vidx2")
     g = c.called()

@@ -243,7 +243,9 @@ class _Rounds:
         while s.rows and s.rows != before:
             before = s.rows
             both = self._ends(edges, "p").intersect(self._ends(edges, "c"))
+            last = edges
             edges = s.cut(edges.join(both.withColumnRenamed("pid", "p"), ["famid", "p"], "left_semi").join(both.withColumnRenamed("pid", "c"), ["famid", "c"], "left_semi"))
+            s.drop(last)
         return edges
 
     def _cycles(self, edges: DataFrame) -> DataFrame:
@@ -256,7 +258,9 @@ class _Rounds:
                 sent = edges.join(colour.withColumnRenamed("pid", "p"), ["famid", "p"]).select("famid", F.col("c").alias("pid"), "colour")
                 new = s.cut(colour.withColumn("old", F.col("colour")).unionByName(sent.withColumn("old", F.lit(None).cast("string"))).groupBy("famid", "pid").agg(F.max("colour").alias("colour"), F.max("old").alias("old")))
                 changed = new.where("colour != old").limit(1).count()
+                s.drop(colour)
                 colour = s.cut(new.drop("old"))
+                s.drop(new)
                 if not changed:
                     break
             inner = s.cut(edges.join(colour.withColumnRenamed("pid", "c"), ["famid", "c"]).join(colour.select("famid", F.col("pid").alias("p"), "colour"), ["famid", "p", "colour"]))

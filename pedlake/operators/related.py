@@ -24,6 +24,7 @@ from pedlake.operators.cohort import Cohort
 from pedlake.operators.components import components
 from pedlake.operators.genes import _minor
 from pedlake.operators.models import kinship, peeled
+from pedlake.operators.order import numbered
 from pedlake.operators.qc import _trios
 from pedlake.plans.scratch import Scratch
 
@@ -262,8 +263,7 @@ def prune(c: Cohort, window: int = 50, step: int = 5, r2: float = 0.5) -> DataFr
     both, if any does, and windows one after the other. Only pairs less than a window apart are correlated, by an equi join on (block, sample), where a
     block is twice a window long; the order-dependent part runs over the pairs found, per chromosome.
     """
-    w = Window.partitionBy("chrom").orderBy("pos", "vidx")
-    order = c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", F.row_number().over(w).alias("i"))
+    order = numbered(c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", "pos"), "chrom", "pos", "vidx").select("vidx", "chrom", "i")
     blocks = order.withColumn("block", F.explode(F.array(F.floor(F.col("i") / window), F.floor(F.col("i") / window) - 1)))
     g = c.called().join(c.samples.where("founder").select("iid"), "iid", "left_semi").join(blocks, "vidx")
     b = g.select("chrom", "block", "iid", F.col("vidx").alias("v2"), F.col("i").alias("j"), F.col("g").alias("h"))
@@ -295,8 +295,7 @@ def prune_vif(c: Cohort, window: int = 50, step: int = 5, most: float = 2.0) ->
     """
     from pedlake.operators.blocks import pair_tables
 
-    w = Window.partitionBy("chrom").orderBy("pos", "vidx")
-    order = c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", (F.row_number().over(w) - 1).alias("i"))
+    order = numbered(c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", "pos"), "chrom", "pos", "vidx").select("vidx", "chrom", (F.col("i") - 1).alias("i"))
     block = F.floor(F.col("i") / window)
     sets = order.select("vidx", F.explode(F.array(F.concat_ws(":", "chrom", block), F.concat_ws(":", "chrom", block - 1))).alias("gene"))
     founders = c.calls.join(c.samples.where("founder").select("iid"), "iid", "left_semi")
@@ -376,8 +375,8 @@ def linkage(c: Cohort, thetas: tuple[float, ...] = (0.0, 0.01, 0.05, 0.1, 0.2, 0
     A meiosis is known if the parent is heterozygous at both variants and its own parents tell the phase, and
     the child's transmitted alleles are certain. Counts per pair come from joins; scores are closed forms.
     """
-    w = Window.partitionBy("chrom").orderBy("pos", "vidx")
-    nxt = c.variants.where("chrom is not null and pos is not null").select("vidx", F.lead("vidx").over(w).alias("v2")).where("v2 is not null")
+    order = numbered(c.variants.where("chrom is not null and pos is not null").select("vidx", "chrom", "pos"), "chrom", "pos", "vidx")
+    nxt = order.select("vidx", "chrom", (F.col("i") + 1).alias("i")).join(order.select(F.col("vidx").alias("v2"), "chrom", "i"), ["chrom", "i"]).select("vidx", "v2")
     # transmitted minor allele of each parent, where certain
     t = _trios(c).where("pa is not null and ma is not null")
     sides = F.explode(F.array(F.struct(F.col("pat").alias("parent"), F.col("pa").alias("p"), F.col("ma").alias("o")), F.struct(F.col("mat").alias("parent"), F.col("ma").alias("p"), F.col("pa").alias("o"))))

@@ -75,3 +75,12 @@ def lod(n_recombinant: int, n_nonrecombinant: int, theta: float) -> float:
         return -math.inf
     k, m = n_recombinant, n_nonrecombinant
     return (k * math.log10(theta) if k else 0.0) + m * math.log10(1 - theta) + (k + m) * math.log10(2)
+
+
+TRIO = [("father", None, None), ("mother", None, None), ("child", "father", "mother")]
+
+
+def replicate(family: list[tuple[str, str | None, str | None]], n: int) -> list[tuple[str, str | None, str | None]]:
+    """n copies of a family, ids with the number of the copy before them: trios or larger templates for ``gene_drop``."""
+    name = lambda k, x: None if x is None else f"{k}.{x}"
+    return [(name(k, i), name(k, a), name(k, b)) for k in range(n) for i, a, b in family]

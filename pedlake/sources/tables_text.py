@@ -243,3 +243,13 @@ def _expression(spark, path, **options):
 def _mach(spark, path, info: str, **options):
     variants, dosages = read_mach(spark, path, info)
     return {"variants": variants, "dosages": dosages}
+
+
+def read_haplotypes(spark: SparkSession, path: str, positions: str) -> tuple[DataFrame, DataFrame]:
+    """(variants, haplotypes) of simulated haplotypes: lines NUMBER POPULATION ALLELE..., 1 the derived and 2 the ancestral allele, and a file of
+    positions NUMBER CHROM POS with a header. haplotypes: (haplotype, pop, vidx, allele), 1 derived, 0 ancestral."""
+    v = number(_words(spark, positions), "at").where(_at(0).try_cast("int").isNotNull())
+    first = v.agg(F.min("n")).first()[0] or 0  # a header may come before
+    variants = v.select((F.col("n") - first).alias("vidx"), chromosome(_at(1)).alias("chrom"), _at(2).try_cast("double").cast("int").alias("pos"))
+    h = _words(spark, path).select(_at(0).alias("haplotype"), _at(1).alias("pop"), F.posexplode(F.slice("f", 3, F.size("f"))).alias("vidx", "x"))
+    return variants, h.select("haplotype", "pop", F.col("vidx").cast("long").alias("vidx"), F.when(F.col("x") == "1", 1).when(F.col("x") == "2", 0).alias("allele"))
