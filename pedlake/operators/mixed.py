@@ -165,7 +165,7 @@ def mixed_scan(c: Cohort, trait: str, covariates: list[str] | None = None) -> Da
             parts = np.stack([(g * g).T @ w, *((g * z[:, [m]]).T @ w for m in range(k + 1))], 2)  # variants x grid x (gg, gy, gx)
             for v, part in zip(ids, parts):
                 out[v] = out[v] + part if v in out else part
-        return pd.DataFrame({"vidx": list(out), "s": [a.ravel() for a in out.values()]})
+        return pd.DataFrame({"vidx": pd.Series(list(out), dtype="int64"), "s": pd.Series([a.ravel() for a in out.values()], dtype=object)})
 
     size = len(grid) * (k + 2)
     part = rows.groupBy(_task(c)).applyInPandas(sums, "vidx long, s array<double>")

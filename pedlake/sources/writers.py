@@ -45,7 +45,7 @@ def dense_rows(calls: DataFrame, order: DataFrame, n: int) -> DataFrame:
                 x = np.full(n, -1, dtype=np.int8)
                 x[np.asarray(k)] = np.asarray(g)
                 rows.append(x)
-            yield pd.DataFrame({"vidx": pdf["vidx"], "g": rows})
+            yield pd.DataFrame({"vidx": pdf["vidx"], "g": pd.Series(rows, dtype=object, index=pdf.index)})
 
     return packed.mapInPandas(fill, "vidx long, g array<tinyint>")
 
