@@ -128,7 +128,7 @@ def quasi_weights(c: Cohort, values: DataFrame, ped: DataFrame | None = None) ->
     return w.select("iid", (F.col("a") - k * F.col("one")).alias("w")), (t["aa"] or 0.0) - k * (t["sa"] or 0.0)
 
 
-def farvat(c: Cohort, trait: str, rare: float = 0.05, weight: str | DataFrame = "beta", call_rate: float = 0.0) -> DataFrame:
+def family_kernels(c: Cohort, trait: str, rare: float = 0.05, weight: str | DataFrame = "beta", call_rate: float = 0.0) -> DataFrame:
     """Family-based burden, kernel and optimal tests of a gene's rare variants: weights by pedigree kinship."""
     w, scale = quasi_weights(c, c.trait(trait))
 

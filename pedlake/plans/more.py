@@ -57,7 +57,7 @@ QUERIES = {
     "family_burden": on_cohort(lambda c: family_rare.family_burden(c, BINARY)),
     "threshold_tests": on_cohort(lambda c: family_rare.threshold_tests(c, BINARY)),
     "joint_scores": on_cohort(lambda c: gene_tests.joint_scores(c, "AGE")),
-    "farvat": on_cohort(lambda c: gene_tests.farvat(c, "AGE")),
+    "family_kernels": on_cohort(lambda c: gene_tests.family_kernels(c, "AGE")),
     "family_threshold": on_cohort(lambda c: gene_tests.family_threshold(c, "AGE")),
     "pedcmc": on_cohort(lambda c: gene_tests.pedcmc(c, "AGE")),
     "multi_trait_genes": on_cohort(lambda c: gene_tests.multi_trait_scores(c, ["AGE", "AO"], c.sets)),

@@ -86,7 +86,7 @@ def test_family_based_scores(c):
     assert abs(r["stat_mfqls"] - u @ np.linalg.solve(scale * psi, u)) < 1e-6 and r["df"] == 5
     r = gene_tests.pedcmc(full, "Y", rare=0.0).where("gene = 'G0'").first()
     assert abs(r["stat_pedcmc"] - u @ np.linalg.solve(scale * psi, u)) < 1e-6
-    rows = {r["gene"]: r for r in gene_tests.farvat(full, "Y", rare=0.5).collect()}
+    rows = {r["gene"]: r for r in gene_tests.family_kernels(full, "Y", rare=0.5).collect()}
     assert rows["G0"]["p_skato"] < rows["G1"]["p_skato"] and all(0 <= r["p_skato"] <= 1 for r in rows.values())
     vt = {r["gene"]: r for r in gene_tests.family_threshold(full, "Y", rare=0.5).collect()}
     assert vt["G0"]["p_famvt"] < 0.01 < vt["G1"]["p_famvt"]
