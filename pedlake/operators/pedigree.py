@@ -31,8 +31,8 @@ def families(c: Cohort) -> DataFrame:
 
 
 def family_summary(c: Cohort) -> DataFrame:
-    """Number, mean, standard deviation and range of family sizes."""
-    return families(c).agg(F.count(F.lit(1)).alias("n_family"), F.avg("n_member").alias("mean_size"), F.stddev_samp("n_member").alias("sd_size"), F.min("n_member").alias("min_size"), F.max("n_member").alias("max_size"))
+    """Number, mean, standard deviation (of the families as a whole, null for one) and range of family sizes."""
+    return families(c).agg(F.count(F.lit(1)).alias("n_family"), F.avg("n_member").alias("mean_size"), F.when(F.count(F.lit(1)) > 1, F.stddev_pop("n_member")).alias("sd_size"), F.min("n_member").alias("min_size"), F.max("n_member").alias("max_size"))
 
 
 def sibships(c: Cohort) -> DataFrame:
@@ -42,7 +42,7 @@ def sibships(c: Cohort) -> DataFrame:
 
 
 def sibship_summary(c: Cohort) -> DataFrame:
-    return sibships(c).agg(F.count(F.lit(1)).alias("n_sibship"), F.avg("n").alias("mean_size"), F.stddev_samp("n").alias("sd_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
+    return sibships(c).agg(F.count(F.lit(1)).alias("n_sibship"), F.avg("n").alias("mean_size"), F.when(F.count(F.lit(1)) > 1, F.stddev_pop("n")).alias("sd_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
 
 
 def multi_mates(c: Cohort) -> DataFrame:

@@ -41,9 +41,9 @@ sb AS (SELECT a.val x, b.val y FROM k k1 JOIN k k2 ON k1.pat = k2.pat AND k1.mat
 
 SQL = {
     "families": _W + " SELECT fid, count(*) n_member, count(*) FILTER (founder) n_founder, count(*) FILTER (NOT founder) n_nonfounder, count(*) FILTER (sex = 1) n_male, count(*) FILTER (sex = 2) n_female, 2 * count(*) FILTER (NOT founder) - count(*) FILTER (founder) inheritance_bits FROM s WHERE fid IS NOT NULL GROUP BY fid",
-    "family_summary": _W + ", f AS (SELECT count(*) n FROM s WHERE fid IS NOT NULL GROUP BY fid) SELECT count(*) n_family, avg(n) mean_size, stddev_samp(n) sd_size, min(n) min_size, max(n) max_size FROM f",
+    "family_summary": _W + ", f AS (SELECT count(*) n FROM s WHERE fid IS NOT NULL GROUP BY fid) SELECT count(*) n_family, avg(n) mean_size, CASE WHEN count(*) > 1 THEN stddev_pop(n) END sd_size, min(n) min_size, max(n) max_size FROM f",
     "sibships": _L + " SELECT pat, mat, count(*) n, count(*) FILTER (sex = 1) n_male, count(*) FILTER (sex = 2) n_female FROM k GROUP BY ALL",
-    "sibship_summary": _L + ", f AS (SELECT count(*) n FROM k GROUP BY pat, mat) SELECT count(*) n_sibship, avg(n) mean_size, stddev_samp(n) sd_size, min(n) min_size, max(n) max_size FROM f",
+    "sibship_summary": _L + ", f AS (SELECT count(*) n FROM k GROUP BY pat, mat) SELECT count(*) n_sibship, avg(n) mean_size, CASE WHEN count(*) > 1 THEN stddev_pop(n) END sd_size, min(n) min_size, max(n) max_size FROM f",
     "multi_mates": _L + ", m AS (SELECT DISTINCT pat, mat FROM k), b AS (SELECT pat iid, mat mate FROM m UNION ALL SELECT mat, pat FROM m) SELECT iid, count(*) n_mate FROM b GROUP BY iid HAVING count(*) > 1",
     "pair_counts": _L + """, sib AS (SELECT a.iid i, b.iid j, a.sex si, b.sex sj FROM k a JOIN k b ON a.pat = b.pat AND a.mat = b.mat AND a.iid < b.iid),
   bp AS (SELECT a.iid i, b.iid j FROM (SELECT iid, unnest([pat, mat]) p FROM k) a JOIN (SELECT iid, unnest([pat, mat]) p FROM k) b ON a.p = b.p AND a.iid < b.iid)
