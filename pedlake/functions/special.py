@@ -194,21 +194,37 @@ def fisher_exact_p(a: int, b: int, c: int, d: int) -> float:
     return float(min(1.0, p[p <= p[x == a][0] * (1 + 1e-9)].sum()))
 
 
-def liu_sf(q: float, weights: np.ndarray) -> float:
-    """Tail of a weighted sum of chi-squares (1 df) by matching four moments."""
+def ncx2_sf(x, df: float, nc: float) -> np.ndarray:
+    """Noncentral chi-square tail of many values: a Poisson mixture of central ones."""
+    x = np.atleast_1d(np.asarray(x, float))
+    if nc <= 0:
+        return np.asarray(chi2_sf(np.maximum(x, 0.0), df))
+    half = nc / 2
+    j = np.arange(max(0, int(half - 9 * math.sqrt(half) - 20)), int(half + 9 * math.sqrt(half) + 40))
+    w = np.exp(-half + j * math.log(half) - lgamma(j + 1.0))
+    tail = gamma_q(df / 2 + j[None, :], np.maximum(x, 0.0)[:, None] / 2)
+    return np.where(x <= 0, 1.0, np.clip(tail @ w / w.sum(), 0.0, 1.0))
+
+
+def liu_sf_all(q, weights: np.ndarray) -> np.ndarray:
+    """Tails of a weighted sum of chi-squares (1 df) at many values, by matching four moments."""
+    q = np.atleast_1d(np.asarray(q, float))
     c1, c2, c3, c4 = (float((weights**k).sum()) for k in (1, 2, 3, 4))
     if c2 <= 0:
-        return 1.0
+        return np.ones(len(q))
     s1, s2 = c3 / c2**1.5, c4 / c2**2
     if s1 * s1 > s2:
         a = 1 / (s1 - math.sqrt(s1 * s1 - s2))
         delta = s1 * a**3 - a * a
         df = a * a - 2 * delta
     else:
-        delta, a = 0.0, 1 / s1
+        delta = 0.0
         df = c2**3 / c3**2
-    z = (q - c1) / math.sqrt(2 * c2) * math.sqrt(2 * (df + 2 * delta)) + df + delta
-    return 1 - ncx2_cdf(z, df, delta) if delta > 0 else float(chi2_sf(max(z, 0.0), df))
+    return ncx2_sf((q - c1) / math.sqrt(2 * c2) * math.sqrt(2 * (df + 2 * delta)) + df + delta, df, delta)
+
+
+def liu_sf(q: float, weights: np.ndarray) -> float:
+    return float(liu_sf_all(q, weights)[0])
 
 
 def davies_sf(q: float, weights: np.ndarray) -> float:
