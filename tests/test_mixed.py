@@ -148,3 +148,16 @@ def test_pairs_in_buckets(c, monkeypatch):
     by = {r["by"]: r for r in similarity.hybrid(c, asked, kin).collect()}
     assert set(by) == {"pedigree", "genotypes"}
     assert float(special.f_sf(0, 1, 5)) == 1.0
+
+
+def test_pairs_leave_their_task_whole(c, monkeypatch):
+    asked = c.samples.where("iid in ('a0', 'c3', 'b1')").select("iid")
+    full = similarity.pair_sums(c, asked)
+    plan = full._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan.split("MapInArrow")[0]
+    want = {tuple(r) for r in similarity.nearest_samples(full, 4).collect()}
+    for name, value in (("BUCKET", 25), ("CHUNK", 2), ("AT_ONCE", 30), ("DENSE", 0)):  # no variant through matrices
+        monkeypatch.setattr(similarity, name, value)
+    assert {tuple(r) for r in similarity.nearest_samples(similarity.pair_sums(c, asked, names=["n", "d0", "d1"], best=4), 4).collect()} == want
+    few = {(r["iid1"], r["iid2"]): r["zz"] for r in similarity.pair_sums(c, asked, names=["zz"]).collect()}
+    assert set(few) == {(r["iid1"], r["iid2"]) for r in full.collect()} and all(abs(r["zz"] - few[r["iid1"], r["iid2"]]) < 1e-9 for r in full.collect())
