@@ -116,7 +116,7 @@ def skat(c: Cohort, trait: str, rare: float = 0.05, weight: str | DataFrame = "b
     def fit(gene, v, n, xx, xy, yy, mean, rows):
         w = rows["w"].to_numpy(float)
         sigma2 = yy / max(1, n - 1)
-        return pd.DataFrame([(gene, len(v), n, *kernels(xy * w, xx * np.outer(w, w) * sigma2))], columns=["gene", *(x.split()[0] for x in KERNELS.split(", "))])
+        return [(gene, len(v), n, *kernels(xy * w, xx * np.outer(w, w) * sigma2))]
 
     return moments(rare_calls(c, rare, weight, call_rate), c.sets, c.trait(trait), fit, "gene string, " + KERNELS, ["w"])
 
@@ -152,10 +152,10 @@ def family_threshold(c: Cohort, trait: str, rare: float = 0.05, draws: int = 20_
         sd = np.sqrt(np.diag(cov))
         ok = sd > 1e-9
         if not ok.any():
-            return pd.DataFrame([(gene, len(v), None, None)], columns=["gene", "n_variant", "stat_famvt", "p_famvt"])
+            return [(gene, len(v), None, None)]
         z = np.abs(pick @ xy)[ok] / sd[ok]
         corr = cov[np.ix_(ok, ok)] / np.outer(sd[ok], sd[ok])
-        return pd.DataFrame([(gene, len(v), float(z.max()), special.normal_max_sf(float(z.max()), corr, draws))], columns=["gene", "n_variant", "stat_famvt", "p_famvt"])
+        return [(gene, len(v), float(z.max()), special.normal_max_sf(float(z.max()), corr, draws))]
 
     return moments(rare_calls(c, rare), c.sets, w, fit, "gene string, n_variant int, stat_famvt double, p_famvt double", ["maf"])
 
@@ -207,16 +207,19 @@ def multi_trait_scores(c: Cohort, traits: list[str], sets: DataFrame, max_varian
     row = all_w.agg(*(x for r in cross for x in r)).first()
     sigma = np.array([[row[f"x{k}_{m}"] or 0.0 for m in range(len(traits))] for k in range(len(traits))])
     sigma = (sigma + sigma.T) / 2
+    inverse, rank_sigma = np.linalg.pinv(sigma, hermitian=True), np.linalg.matrix_rank(sigma, hermitian=True)
 
     def fit(gene, v, n, xx, xy, yy, mean):
         if len(v) > max_variants:
             raise ValueError(f"more than {max_variants} variants in {gene}")
         u = np.asarray(xy).reshape(len(v), -1)
         psi = xx / max(1, n - 1)
-        inverse = np.linalg.pinv(sigma, hermitian=True)
-        rank = np.linalg.matrix_rank(psi, hermitian=True) * np.linalg.matrix_rank(sigma, hermitian=True)
-        stat = float(np.trace(inverse @ u.T @ np.linalg.pinv(psi, rcond=1e-8, hermitian=True) @ u))
-        return pd.DataFrame([(gene, len(v), n, stat, int(rank), float(special.chi2_sf(stat, rank)) if rank else None)], columns=["gene", "n_variant", "n_sample", "stat_mfqls", "df", "p_mfqls"])
+        if len(v) == 1:
+            rank, psi = rank_sigma * int(psi[0, 0] != 0), np.array([[1 / psi[0, 0] if psi[0, 0] else 0.0]])
+        else:
+            rank, psi = np.linalg.matrix_rank(psi, hermitian=True) * rank_sigma, np.linalg.pinv(psi, rcond=1e-8, hermitian=True)
+        stat = float(np.trace(inverse @ u.T @ psi @ u))
+        return [(gene, len(v), n, stat, int(rank), float(special.chi2_sf(stat, rank)) if rank else None)]
 
     return moments(c.called(), sets, all_w.select("iid", *(f"w{k}" for k in range(len(traits)))), fit, "gene string, n_variant int, n_sample int, stat_mfqls double, df int, p_mfqls double")
 

@@ -42,6 +42,28 @@ def test_moments_over_buckets(c, monkeypatch):
     assert np.allclose(np.reshape(r["xy"], (5, 2)), x.T @ np.column_stack([t, s])) and np.allclose(np.reshape(r["yy"], (2, 2)), [[t @ t, t @ s], [t @ s, s @ s]])
 
 
+@pytest.mark.parametrize("whole", [20, 1 << 18])
+def test_moments_of_genes_whole_and_in_parts(c, monkeypatch, whole):
+    monkeypatch.setattr(blocks, "WHOLE", whole)
+    seen = lambda gene, v, n, xx, xy, yy, mean: [(gene, n, xx.ravel().tolist(), np.ravel(xy).tolist())]
+    got = blocks.moments(c.called(), c.sets, c.trait("Y"), seen, "gene string, n int, xx array<double>, xy array<double>").collect()
+    for r in got:
+        k = int(r["gene"][1:])
+        ids, x, t = dense(c, range(5 * k, 5 * k + 5))
+        assert r["n"] == len(ids) and np.allclose(r["xx"], (x.T @ x).ravel()) and np.allclose(r["xy"], x.T @ t)
+    assert len(got) == 2
+
+
+def test_cells_of_samples_with_few_calls():
+    rng = np.random.default_rng(8)
+    si, vi = np.repeat(np.arange(3000), 2), np.column_stack([rng.permuted(np.arange(60)[None, :].repeat(3000, 0), axis=1)[:, :2]]).ravel()
+    g = rng.integers(-1, 3, len(si))
+    x = np.full((3000, 60), -1)
+    x[si, vi] = g
+    y, here = np.maximum(x, 0), (x >= 0).astype(int)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks._cells(si, vi, g, 3000, 60), (y.T @ y, y.T @ here, here.T @ here)))
+
+
 def test_pair_tables(c, monkeypatch):
     monkeypatch.setattr(blocks, "BUCKET", 30)
     d = {r["iid"]: r["val"] for r in c.trait("D").collect()}
