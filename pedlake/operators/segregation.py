@@ -7,6 +7,8 @@ search is one pass over pedigrees. Candidates of the next round are drawn around
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,36 +23,89 @@ from pedlake.plans.scratch import Scratch
 #: person of type 0, 1, 2 passes it on.
 MODELS = {"one_mean": ("m0", "sd"), "no_transmission": ("q", "m0", "m1", "m2", "sd"), "mendelian": ("q", "m0", "m1", "m2", "sd"), "general": ("q", "t0", "t1", "t2", "m0", "m1", "m2", "sd")}
 CANDIDATES, ROUNDS = 96, 14
+#: Candidates x members of pedigrees of one form that are held at once.
+TOGETHER = 200_000
 
 
 def type_likelihoods(members: list[tuple[str, str | None, str | None]], density: np.ndarray, q: np.ndarray, tau: np.ndarray) -> np.ndarray:
     """Log likelihoods of one pedigree whose parents all are members, for B candidates. density: B x members x 3; q: B; tau: B x 3."""
     b, at = len(q), {k: i for i, (k, _, _) in enumerate(members)}
+    shape = tuple((-1 if pat is None else at[pat], -1 if mat is None else at[mat]) for _, pat, mat in members)
     prior = np.stack([1 - q, q], 1)
     sent = np.stack([np.stack([np.stack([1 - tau[:, x + y], tau[:, x + y]], 1) for y in range(2)], 1) for x in range(2)], 1)  # B x 2 x 2 x 2
     types = np.array([[0, 1], [1, 2]])
-    factors = []
-    for i, (_, pat, mat) in enumerate(members):
-        factors.append(((2 * i, 2 * i + 1), density[:, i][:, types]))
-        for v, parent in ((2 * i, pat), (2 * i + 1, mat)):
-            factors.append(((v,), prior) if parent is None else ((2 * at[parent], 2 * at[parent] + 1, v), sent))
-    total, left = np.zeros(b), set(range(2 * len(members)))
+    held = [f for i, pair in enumerate(shape) for f in (density[:, i][:, types], *(prior if p < 0 else sent for p in pair))]
+    total = np.zeros(b)
+    for use, spec, kept in elimination(shape):
+        got = np.einsum(spec, *(held[k] for k in use))
+        size = got.reshape(b, -1).max(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total = total + np.log(size)
+            got = got / np.where(size > 0, size, 1.0).reshape(b, *[1] * kept)
+        for k in use:
+            held[k] = None
+        held.append(got)
+    return total
+
+
+@lru_cache(4096)
+def elimination(shape: tuple[tuple[int, int], ...]) -> list[tuple[list[int], str, int]]:
+    """Steps that sum a pedigree's factors out, those with the fewest neighbours first: places of the tables multiplied, how, and
+    how many factors are left in the new table, which is put at the end. shape: each member's parents' places, -1 for none."""
+    tables: list[tuple[int, ...]] = []
+    for i, pair in enumerate(shape):
+        tables.append((2 * i, 2 * i + 1))
+        tables += [(2 * i + k,) if p < 0 else (2 * p, 2 * p + 1, 2 * i + k) for k, p in enumerate(pair)]
+    of: dict[int, set[int]] = {v: set() for v in range(2 * len(shape))}
+    for k, vs in enumerate(tables):
+        for v in vs:
+            of[v].add(k)
+    met = {v: set().union(*(tables[k] for k in ks)) for v, ks in of.items()}
+    left, steps = sorted(of), []
     while left:
-        met = {v: set().union(*(vs for vs, _ in factors if v in vs)) for v in left}
         v = min(left, key=lambda x: len(met[x]))
         if len(met[v]) > 2 * WIDEST:
             raise ValueError("too many loops in a pedigree")
         names = {x: chr(98 + k) for k, x in enumerate(sorted(met[v]))}
-        use = [(vs, f) for vs, f in factors if v in vs]
-        keep = tuple(sorted(met[v] - {v}))
-        got = np.einsum(",".join("a" + "".join(names[x] for x in vs) for vs, _ in use) + "->a" + "".join(names[x] for x in keep), *(f for _, f in use))
-        size = got.reshape(b, -1).max(1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            total = total + np.log(size)
-            got = got / np.where(size > 0, size, 1.0).reshape(b, *[1] * len(keep))
-        factors = [(vs, f) for vs, f in factors if v not in vs] + ([(keep, got)] if keep else [])
-        left.discard(v)
-    return total
+        use, keep = sorted(of[v]), tuple(sorted(met[v] - {v}))
+        steps.append((use, ",".join("a" + "".join(names[x] for x in tables[k]) for k in use) + "->a" + "".join(names[x] for x in keep), len(keep)))
+        for k in use:
+            for x in tables[k]:
+                of[x].discard(k)
+        tables.append(keep)
+        for x in keep:
+            of[x].add(len(tables) - 1)
+        for x in keep:
+            met[x] = set().union(*(tables[k] for k in of[x]))
+        left.remove(v)
+    return steps
+
+
+def _ordered(members: dict[str, tuple[str | None, str | None]]) -> list[str]:
+    """Members so that pedigrees of one form mostly come out alike: fathers, mothers and other founders, then children by their parents."""
+    pats, mats = ({p[k] for p in members.values()} for k in range(2))
+    order = sorted((k for k, p in members.items() if p == (None, None)), key=lambda k: (k not in pats, k not in mats, k))
+    place, rest = {k: i for i, k in enumerate(order)}, [k for k, p in members.items() if p != (None, None)]
+    while rest:
+        ready = [k for k in rest if all(p is None or p in place for p in members[k])]
+        if not ready:  # a cycle
+            ready = rest
+        ready.sort(key=lambda k: ([place.get(p, -1) for p in members[k]], k not in pats, k not in mats, k))
+        for k in ready:
+            place[k] = len(place)
+        order += ready
+        rest = [k for k in rest if k not in place]
+    return order
+
+
+def _slices(pdf: pd.DataFrame):
+    """Arrays of iid, pat, mat and val of each pedigree of a task."""
+    code = pd.factorize(pdf["pedigree"])[0]
+    order = np.argsort(code, kind="stable")
+    cols = [pdf[k].to_numpy()[order] for k in ("iid", "pat", "mat", "val")]
+    ends = np.cumsum(np.bincount(code))
+    for lo, hi in zip([0, *ends[:-1]], ends):
+        yield lo, [x[lo:hi] for x in cols[:3]] + [cols[3][lo:hi].astype(float)]
 
 
 def _expand(model: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,20 +139,32 @@ def segregation(c: Cohort, trait: str, models: tuple[str, ...] = ("one_mean", "n
 
         def score(pdf: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(len(q))
-            for _, p in pdf.groupby("pedigree", sort=False):
-                if not p["val"].notna().any():
+            alike: dict[tuple, list] = {}  # pedigrees of one form are summed together
+            pdf = pdf.astype({k: object for k in ("iid", "pat", "mat")})
+            for _, p in _slices(pdf):
+                iids, pats, mats, vals = p
+                if np.isnan(vals).all():
                     continue
                 text = lambda v: v if isinstance(v, str) else None
-                members = {i: (text(a), text(b)) for i, a, b in p[["iid", "pat", "mat"]].itertuples(index=False)}
+                members = {i: (text(a), text(b)) for i, a, b in zip(iids, pats, mats)}
                 for pair in list(members.values()):
                     for x in pair:
                         if x is not None:
                             members.setdefault(x, (None, None))
-                density = np.ones((len(q), len(members), 3))
-                at = {k: i for i, k in enumerate(members)}
-                for i, v in p.loc[p["val"].notna(), ["iid", "val"]].itertuples(index=False):
-                    density[:, at[i]] = np.exp(-0.5 * ((v - means) / sd[:, None]) ** 2) / (sd[:, None] * np.sqrt(2 * np.pi))
-                total += type_likelihoods([(k, *v) for k, v in members.items()], density, q, tau)
+                order = _ordered(members)
+                at = {k: i for i, k in enumerate(order)}
+                y = np.full(len(order), np.nan)
+                y[[at[i] for i in iids]] = vals
+                alike.setdefault(tuple(tuple(-1 if x is None else at[x] for x in members[k]) for k in order), []).append(y)
+            for shape, ys in alike.items():
+                step = max(1, TOGETHER // (len(q) * len(shape)))
+                names = [(i, *(None if x < 0 else x for x in pair)) for i, pair in enumerate(shape)]
+                for lo in range(0, len(ys), step):
+                    y = np.array(ys[lo : lo + step])
+                    known = ~np.isnan(y)
+                    density = np.exp(-0.5 * ((np.where(known, y, 0.0)[:, None, :, None] - means[:, None]) / sd[:, None, None]) ** 2) / (sd[:, None, None] * np.sqrt(2 * np.pi))
+                    density = np.where(known[:, None, :, None], density, 1.0).reshape(-1, len(shape), 3)
+                    total += type_likelihoods(names, density, np.tile(q, len(y)), np.tile(tau, (len(y), 1))).reshape(len(y), -1).sum(0)
             return pd.DataFrame({"k": np.arange(len(q)), "ll": total})
 
         out = np.zeros(len(q))

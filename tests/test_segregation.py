@@ -30,6 +30,14 @@ def test_types_are_summed_over():
         assert abs(got[k] - math.log(total)) < 1e-9
 
 
+def test_pedigrees_of_one_form_come_out_alike():
+    one = {"x": ("p", "m"), "m": (None, None), "y": ("p", "m"), "p": (None, None), "z": ("x", None)}
+    two = {"A": (None, None), "B": (None, None), "K2": ("B", "A"), "K1": ("B", "A"), "N": ("K2", None)}
+    shape = lambda d: [tuple(-1 if p is None else S._ordered(d).index(p) for p in d[k]) for k in S._ordered(d)]
+    assert shape(one) == shape(two) == [(-1, -1), (-1, -1), (0, 1), (0, 1), (2, -1)]
+    assert S.elimination(tuple(shape(one))) is S.elimination(tuple(shape(two)))
+
+
 def test_one_mean_is_the_normal_likelihood(spark):
     c, _, y = cohort(spark, n_fam=6, n_var=2)
     r = S.segregation(c, "Y", ("one_mean",)).first()
